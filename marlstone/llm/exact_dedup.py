@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.frames import lower_az, only, settle
+from marlstone.llm.frames import first_of_repeats, id_key, lower_az, only, settle
 
 KEY = ["digest", "n_bytes", "check"]
 
@@ -80,21 +80,9 @@ def exact_dedup(docs: DataFrame, keep: str = "min", fan_in: int = 16) -> DataFra
 
 def drop_copies(docs: DataFrame, keep: str = "min", fan_in: int = 16) -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` would drop; all columns stay."""
-    stay = exact_dedup(docs, keep, fan_in).filter("kept").select(
-        F.col("doc_id").alias("__stay_id"), F.col("text_sha256").alias("__stay_sha")
-    )
-    sha = F.sha2(lower_az(F.coalesce(docs["text"], F.lit(""))), 256)
-    mine = docs.withColumn("__sha", sha)
-    met = mine.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay_id")) & (F.col("__sha") == F.col("__stay_sha")), "left_semi")
-    return first_of_repeats(met, ["doc_id", "__sha"]).drop("__sha")
-
-
-def first_of_repeats(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row of each run of rows that agree in ``keys`` (rows that repeat an id and its text)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(*keys)
-    return df.withColumn("__nth", F.row_number().over(w)).filter("__nth = 1").drop("__nth")
+    stay = exact_dedup(docs, keep, fan_in).filter("kept").select(id_key("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    mine = docs.withColumn("__id", id_key("doc_id")).withColumn("__sha", F.sha2(lower_az(F.coalesce("text", F.lit(""))), 256))
+    return first_of_repeats(mine.join(stay, ["__id", "__sha"], "left_semi"), ["__id", "__sha"])
 
 
 SQL = """

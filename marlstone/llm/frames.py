@@ -6,7 +6,7 @@ import string
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _fallback: list[str] = []
@@ -55,3 +55,14 @@ def lower_az(text: Column) -> Column:
 def crc_fold(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def id_key(doc_id: str) -> Column:
+    """A join key for a doc_id that may be null."""
+    return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+
+
+def first_of_repeats(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each run of rows that agree in ``keys``; the keys themselves are dropped."""
+    w = Window.partitionBy(*keys).orderBy(*keys)
+    return df.withColumn("__nth", F.row_number().over(w)).filter("__nth = 1").drop("__nth", *keys)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import connected_components
-from marlstone.llm.frames import only, settle
+from marlstone.llm.frames import first_of_repeats, id_key, only, settle
 from marlstone.llm.words import NOT_SPACE, U, mix, shingles, text_buffer, text_groups, words
 
 SHINGLE, BANDS, ROWS = 5, 48, 5
@@ -75,12 +75,12 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return mix((mix(low.reshape(-1, BANDS, ROWS)) * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-SKETCH = "doc_id long, row long, n_shingles long, digest binary, shingles binary, bands binary"
+SKETCH = "doc_id long, row long, check long, n_shingles long, digest binary, shingles binary, bands binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = text_buffer(batch.column(2))
+        data, offsets = text_buffer(batch.column(3))
         for i, j in text_groups(offsets):
             w = words(data, offsets[i : j + 1], NOT_SPACE)
             sets = shingle_sets(w.number, w.first)
@@ -88,19 +88,19 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = [s.tobytes() for s in sets]
             yield pa.record_batch(
                 [
-                    batch.column(0)[i:j].cast(pa.int64()), batch.column(1)[i:j],
+                    batch.column(0)[i:j], batch.column(1)[i:j], batch.column(2)[i:j],
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary()),
                     pa.array(raw, pa.binary()),
                     pa.array([b.tobytes() if len(s) else b"" for b, s in zip(bands, sets)], pa.binary()),
                 ],
-                names=["doc_id", "row", "n_shingles", "digest", "shingles", "bands"],
+                names=["doc_id", "row", "check", "n_shingles", "digest", "shingles", "bands"],
             )
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = text_buffer(batch.column(1).cast(pa.binary()).view(pa.string()) if pa.types.is_binary(batch.column(1).type) else batch.column(1))
+        data, offsets = text_buffer(batch.column(1).view(pa.string()))
         if len(offsets) < 2:
             continue
         keys = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.int64)
@@ -134,23 +134,38 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     Empty table: empty result; other columns are ignored. Very long texts are
     taken whole.
 
-    Returns doc_id, n_shingles, component_id, kept (doc_id = component_id).
+    Returns doc_id, n_shingles, component_id, kept (doc_id = component_id; of rows
+    that repeat that doc_id in one component, one).
     """
+    return _classified(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _classified(docs: DataFrame) -> DataFrame:
     rows = only(docs, "doc_id", "text").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text"
+        F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("check"), "text",
     )
     leaf = settle(rows.mapInArrow(_sketch, SKETCH), "sketches")
     named = leaf.filter("n_shingles > 0")
-    classes = settle(
-        named.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.max("n_shingles").alias("n")), "classes"
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = settle(named.groupBy("digest").agg(F.min("row").alias("node"), F.min(rank).alias("least"), F.max("n_shingles").alias("n")), "classes")
+    groups = classes.join(_link(leaf, classes), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = groups.groupBy("label").agg(F.min("least").alias("best"))
+    found = groups.join(least, "label").select("digest", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("best"))
+    out = leaf.select("doc_id", "row", "check", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(found, "digest", "left")
+    alone = F.col("n_shingles") == 0
+    return out.select(
+        "doc_id", "check", "n_shingles",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        (alone | (F.col("row") == F.col("best"))).alias("kept"),
     )
-    labels = _link(leaf, classes)
-    groups = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = groups.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = groups.join(least, "label").select("digest", "component_id")
-    out = leaf.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
-    out = out.join(found, "digest", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates; all columns stay."""
+    stay = _classified(docs).filter("kept").select(id_key("doc_id").alias("__id"), F.col("check").alias("__check"))
+    mine = docs.withColumn("__id", id_key("doc_id")).withColumn("__check", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return first_of_repeats(mine.join(stay, ["__id", "__check"], "left_semi"), ["__id", "__check"])
 
 
 def _link(leaf: DataFrame, classes: DataFrame) -> DataFrame:

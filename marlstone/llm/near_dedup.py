@@ -7,10 +7,11 @@
 3. Bands of bins give buckets. In a bucket the first member is the centre of a
    star: one candidate edge for each other member, never all pairs.
 4. Edges are confirmed on the full shingle sets and components are formed.
-5. A bucket whose members already share one component is done. In any other the
-   next members become centres too (1, then 2, then 4 ... of them), each meeting
-   only later members of other components. When this ends, every pair of a bucket
-   has been compared or is already connected: no cap and no lost link.
+5. A bucket whose members already share one component is done. The members of all
+   other buckets are searched exactly, across components only: shingles are put in
+   order of rarity, and two sets that are similar enough must share a shingle among
+   the first few of both (prefix and position filters). So no link between members
+   of a bucket is lost, there is no cap, and members of one component never meet.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return mix((mix(low.reshape(-1, BANDS, ROWS)) * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-SKETCH = "doc_id long, row long, check long, n_shingles long, digest binary, shingles binary, bands binary"
+SKETCH = "doc_id long, row long, check long, n_shingles long, digest binary, bands binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,24 +92,37 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     batch.column(0)[i:j], batch.column(1)[i:j], batch.column(2)[i:j],
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary()),
-                    pa.array(raw, pa.binary()),
                     pa.array([b.tobytes() if len(s) else b"" for b, s in zip(bands, sets)], pa.binary()),
                 ],
-                names=["doc_id", "row", "check", "n_shingles", "digest", "shingles", "bands"],
+                names=["doc_id", "row", "check", "n_shingles", "digest", "bands"],
             )
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = text_buffer(batch.column(1))
+        for i, j in text_groups(offsets):
+            w = words(data, offsets[i : j + 1], NOT_SPACE)
+            yield pa.record_batch([batch.column(0)[i:j], pa.array([s.tobytes() for s in shingle_sets(w.number, w.first)], pa.binary())], names=["node", "shingles"])
+
+
+def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingle, set size) from (node, shingles)."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        size = np.array([len(x) for x in sets], np.int32)
+        if size.sum():
+            node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size)
+            yield pa.record_batch([pa.array(node), pa.array(np.concatenate(sets)), pa.array(np.repeat(size, size))], names=["node", "shingle", "n"])
+
+
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, node) from (node, bands)."""
     for batch in batches:
-        data, offsets = text_buffer(batch.column(1).view(pa.string()))
-        if len(offsets) < 2:
-            continue
-        keys = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.int64)
-        for at in range(0, len(keys), 500_000):
-            part = slice(at, at + 500_000)
-            node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)[part]
-            size = np.repeat(batch.column(2).to_numpy(zero_copy_only=False), BANDS)[part]
-            yield pa.record_batch([pa.array(keys[part]), pa.array(node), pa.array(size)], names=["bucket", "node", "n"])
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            keys = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int64)
+            yield pa.record_batch([pa.array(keys), pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS))], names=["bucket", "node"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,15 +155,15 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def _classified(docs: DataFrame) -> DataFrame:
-    rows = only(docs, "doc_id", "text").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("check"), "text",
+    texts = only(docs, "doc_id", "text").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("check"), "text"
     )
+    rows = texts.select("doc_id", F.monotonically_increasing_id().alias("row"), "check", "text")
     leaf = settle(rows.mapInArrow(_sketch, SKETCH), "sketches")
     named = leaf.filter("n_shingles > 0")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = settle(named.groupBy("digest").agg(F.min("row").alias("node"), F.min(rank).alias("least"), F.max("n_shingles").alias("n")), "classes")
-    groups = classes.join(_link(leaf, classes), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups = classes.join(_link(texts, leaf, classes), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = groups.groupBy("label").agg(F.min("least").alias("best"))
     found = groups.join(least, "label").select("digest", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("best"))
     out = leaf.select("doc_id", "row", "check", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(found, "digest", "left")
@@ -168,38 +182,51 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     return first_of_repeats(mine.join(stay, ["__id", "__check"], "left_semi"), ["__id", "__check"])
 
 
-def _link(leaf: DataFrame, classes: DataFrame) -> DataFrame:
+def _link(texts: DataFrame, leaf: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, label) of the classes that have links."""
     firsts = classes.select("node")
-    bands = leaf.select(F.col("row").alias("node"), "bands", "n_shingles").join(firsts, "node", "left_semi").mapInArrow(_explode, "bucket long, node long, n long")
+    bands = leaf.select(F.col("row").alias("node"), "bands").join(firsts, "node", "left_semi").mapInArrow(_explode, "bucket long, node long")
     bands = settle(bands, "bands")
-    centres = bands.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    centres = bands.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
     members = settle(bands.join(centres, "bucket"), "members")
-    sets = leaf.select(F.col("row").alias("node"), "shingles")
-
-    apart = F.when(F.col("na") < F.col("nb"), 100 * F.col("na") < PERCENT * F.col("nb")).otherwise(100 * F.col("nb") < PERCENT * F.col("na"))
-    sizes = classes.select(F.col("node").alias("a"), F.col("n").alias("na"))
-    star = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
-    pairs = settle(star.join(sizes, "a").filter(~apart).select("a", "b"), "pairs")
-    tested, links, centred = pairs, _confirmed(pairs, sets), 1
-    while True:
-        labels = settle(connected_components(links), "components")
-        at = members.select("bucket", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).filter(f"lo <> hi and m > {centred}")
-        open_ = settle(at.join(open_.select("bucket"), "bucket"), "open")
-        if open_.isEmpty():
-            return labels
-        nth = open_.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
-        nth = settle(nth, "ranked")
-        a = nth.filter(F.col("nth").between(centred + 1, 2 * centred + 1)).select(
-            "bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("nth").alias("ia")
-        )
-        b = nth.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("nth").alias("ib"))
-        fresh = a.join(b, "bucket").filter("ia < ib and la <> lb").filter(~apart).select("a", "b").distinct()
-        fresh = settle(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(fresh)
-        links = links.union(_confirmed(fresh, sets))
-        centred = 2 * centred + 1
+    # full sets of the documents that have candidates at all; repeated rows have the same set
+    some = leaf.select(F.col("row").alias("node"), id_key("doc_id").alias("id"), "check").join(members.select("node").distinct(), "node", "left_semi")
+    met = texts.withColumn("id", id_key("doc_id")).join(some, ["id", "check"]).select("node", "text")
+    sets = settle(met.mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+
+    stars = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    links = _confirmed(stars, sets)
+    labels = connected_components(links)
+    known = members.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = settle(known, "known")
+    still = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
+    rest = settle(known.join(still, "bucket").select("node", "label").distinct(), "rest")
+    if rest.isEmpty():
+        return labels
+    more = _confirmed(_crossing(rest, sets), sets)
+    return labels if more.isEmpty() else connected_components(links.union(more))
+
+
+def _crossing(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of different labels that the prefix and position filters can't rule out."""
+    shingle = sets.join(rest.select("node"), "node", "left_semi").mapInArrow(_singles, "node long, shingle long, n int")
+    shingle = settle(shingle, "singles")
+    often = shingle.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    # shingles of one set only come first in any order of rarity, so they only shift the positions of the others
+    shared = shingle.join(often, "shingle")
+    least = lambda n: F.ceil(n * PERCENT / 100)
+    places = Window.partitionBy("node").orderBy("often", "shingle")
+    shared = shared.withColumn("back", F.count(F.lit(1)).over(Window.partitionBy("node")) - F.row_number().over(places))
+    prefix = shared.filter(F.col("back") + 1 >= least(F.col("n"))).join(rest, "node")  # back: how many shared shingles follow
+    sizes = rest.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"))
+    prefix = settle(prefix.join(sizes, "label").select("node", "label", "nodes", "shingle", "n", "back"), "prefixes")
+    mixed = prefix.groupBy("shingle").agg(F.max_by("label", "nodes").alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("shingle", "main")
+    x = prefix.join(mixed, "shingle").filter("label <> main").select("shingle", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("back").alias("bx"))
+    y = prefix.select("shingle", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("back").alias("by"))
+    # 100 * i >= PERCENT * (nx + ny - i) needs this intersection; no more than the rest of both can follow the first one shared
+    need = F.ceil((F.col("nx") + F.col("ny")) * PERCENT / (100 + PERCENT) - 1e-9)
+    met = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("lx") != F.col("ly")) & (F.least("bx", "by") + 1 >= need))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -55,7 +55,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Texts:
     last = data[w.end - 1] if len(w.end) else np.zeros(0, np.uint8)
     odd = np.concatenate(([0], np.cumsum(_TABLE[last][:, 7] | _TABLE[last][:, 6])))
     columns.append((odd[w.first[1:]] - odd[w.first[:-1]]) / np.maximum(count, 1))
-    repeat = np.concatenate(([0], np.cumsum(np.concatenate(([False], w.number[1:] == w.number[:-1]))[: len(w.number)])))
+    same = np.zeros(len(w.number) + 1, bool)
+    same[1:-1] = w.number[1:] == w.number[:-1]
+    same[w.first] = False  # a text's first word repeats nothing
+    repeat = np.concatenate(([0], np.cumsum(same[:-1])))
     columns.append((repeat[w.first[1:]] - repeat[w.first[:-1]]) / np.maximum(count, 1))
     distinct = np.array([len(np.unique(w.number[a:b])) for a, b in zip(w.first[:-1], w.first[1:])], dtype=float)
     columns.append(distinct / np.maximum(count, 1))
@@ -113,7 +116,7 @@ def fit(x: Texts, y: np.ndarray, prior: float, seed: int = 3) -> Model:
     model = Model(0.0, word, stat, centre, spread)
     seen_word, seen_stat = np.full(word.shape, 1e-3), np.full(stat.shape, 1e-3)
     if not len(y) or y.min() == y.max():
-        return model._replace(bias=_logit(prior))
+        return model._replace(bias=_logit(prior), word=np.zeros_like(word), stat=np.zeros_like(stat))
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
         for at in range(0, len(y), BATCH):

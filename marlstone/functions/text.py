@@ -88,7 +88,10 @@ def tag_words(tags: Column) -> Column:
 def dedupe(fragments: Column) -> Column:
     """First of each case-insensitive trimmed value; blanks go."""
     keys = F.transform(fragments, lambda f: strip(F.lower(f)))
-    return F.filter(fragments, lambda f, i: (strip(F.lower(f)) != "") & (F.array_position(keys, strip(F.lower(f))) == i + 1))
+    return V.let(
+        F.struct(fragments.alias("f"), keys.alias("k")),
+        lambda b: F.filter(b["f"], lambda f, i: (F.get(b["k"], i) != "") & (F.array_position(b["k"], F.get(b["k"], i)) == i + 1)),
+    )
 
 
 def with_trigger(trigger: Column, rest: Column) -> Column:
@@ -117,8 +120,16 @@ def uses_t5(backend: Column) -> Column:
     return F.coalesce(strip(F.lower(backend)).isin(*V.T5_BACKENDS), F.lit(False))
 
 
-def tokens(text: Column, backend: Column) -> Column:
-    return F.when(uses_t5(backend), t5_tokens(text)).otherwise(clip_tokens(text))
+def fragment_words(fragment: Column) -> Column:
+    """Words of a normalised fragment, whose words are one space apart."""
+    return F.when(fragment == "", 0).otherwise(_count(fragment, " ") + 1)
+
+
+def tokens(text: Column, backend: Column, words: Column | None = None) -> Column:
+    """The backend's estimate; ``words`` is the word count where it is known."""
+    t5, n = uses_t5(backend), word_count(text) if words is None else words
+    n = (n * F.when(t5, 1.1).otherwise(1.3)).cast("int") + _count(text, ",") + F.when(t5, 0).otherwise(_count(text, "_"))
+    return F.when(text == "", 0).otherwise(n)
 
 
 def prose_tokens(clauses: Column, known: Column, most: int = V.ENRICHMENT_TOKENS) -> Column:
@@ -129,8 +140,7 @@ def prose_tokens(clauses: Column, known: Column, most: int = V.ENRICHMENT_TOKENS
     """
     stop = V.strings(V.PROSE_STOPWORDS)
 
-    def of(clause: Column) -> Column:
-        low = F.lower(clause)
+    def of(low: Column, known: Column) -> Column:
         compounds = []
         for nouns in V.COMPOUND_NOUNS:
             found = F.regexp_extract_all(low, F.lit(rf"(?U)\b(\w+\s+(?:{nouns}))\b"), 1)
@@ -145,7 +155,8 @@ def prose_tokens(clauses: Column, known: Column, most: int = V.ENRICHMENT_TOKENS
         words = F.filter(words, lambda w: (F.length(w) > 3) & ~F.array_contains(stop, w) & ~F.array_contains(known, w))
         return F.concat(good, words)
 
-    return F.slice(F.array_distinct(F.flatten(F.transform(clauses, of))), 1, most)
+    every = V.let(known, lambda k: F.flatten(F.transform(F.transform(clauses, F.lower), lambda low: of(low, k))))
+    return F.slice(F.array_distinct(every), 1, most)
 
 
 def style_of(style: Column, checkpoint: Column, backend: Column) -> Column:
@@ -175,8 +186,7 @@ def is_noise(fragment: Column, identity: bool = False) -> Column:
 
 
 def is_framing(fragment: Column) -> Column:
-    k = key(fragment)
-    return F.exists(V.strings(V.FRAMING_TAGS), lambda t: F.contains(k, t))
+    return V.let(key(fragment), lambda k: F.exists(V.strings(V.FRAMING_TAGS), lambda t: F.contains(k, t)))
 
 
 def is_primary_pose(fragment: Column) -> Column:
@@ -189,26 +199,38 @@ def is_rescuable(fragment: Column) -> Column:
 
 def clause_overlaps(prose: Column, tags: Column) -> Column:
     """array<struct<clause, overlap>> of the prose's sentences; overlap is null without content words."""
-    known = tag_words(tags)
 
-    def of(s: Column) -> Column:
-        words = content_words(s)
-        share = F.when(F.size(words) > 0, F.size(F.array_intersect(words, known)) / F.size(words))
-        return F.struct(s.alias("clause"), share.alias("overlap"))
+    def of(known: Column):
+        def judge(s: Column) -> Column:
+            share = V.let(content_words(s), lambda w: F.when(F.size(w) > 0, F.size(F.array_intersect(w, known)) / F.size(w)))
+            return F.struct(s.alias("clause"), share.alias("overlap"))
 
-    return F.transform(sentences(prose), of)
+        return F.transform(sentences(prose), judge)
 
+    return V.let(tag_words(tags), of)
 
-def kept_clauses(prose: Column, tags: Column, threshold: Column) -> Column:
+
+def judged_clauses(prose: Column, tags: Column) -> Column:
+    """``clause_overlaps``; with an empty side every sentence has overlap -1, so that it stays."""
     both = (strip(prose) != "") & (strip(tags) != "")
-    judged = F.transform(F.filter(clause_overlaps(prose, tags), lambda c: c["overlap"] < threshold), lambda c: c["clause"])
-    return F.when(both, judged).otherwise(sentences(prose))
+    alone = F.transform(sentences(prose), lambda s: F.struct(s.alias("clause"), F.lit(-1.0).alias("overlap")))
+    return F.when(both, clause_overlaps(prose, tags)).otherwise(alone)
+
+
+def below(judged: Column, threshold: Column) -> Column:
+    return F.transform(F.filter(judged, lambda c: c["overlap"] < threshold), lambda c: c["clause"])
+
+
+def not_below(judged: Column, threshold: Column) -> Column:
+    return F.transform(F.filter(judged, lambda c: c["overlap"] >= threshold), lambda c: c["clause"])
+
+
+def kept_clauses(prose: Column, tags: Column, threshold: Column) -> Column:
+    return below(judged_clauses(prose, tags), threshold)
 
 
 def redundant_clauses(prose: Column, tags: Column, threshold: Column) -> Column:
-    both = (strip(prose) != "") & (strip(tags) != "")
-    judged = F.transform(F.filter(clause_overlaps(prose, tags), lambda c: c["overlap"] >= threshold), lambda c: c["clause"])
-    return F.when(both, judged).otherwise(V.empty())
+    return not_below(judged_clauses(prose, tags), threshold)
 
 
 def alpha_words(text: Column) -> Column:

@@ -89,16 +89,28 @@ TOLERANCE = 0.01
 IMAGE_SUFFIXES = [".jpg", ".jpeg", ".png", ".webp", ".bmp", ".tiff", ".gif"]
 
 
+def _sql(value) -> str:
+    if isinstance(value, (list, tuple)):
+        return f"array({', '.join(_sql(v) for v in value)})"
+    if value is None:
+        return "cast(null as string)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else f"{value}D" if isinstance(value, float) else str(value)
+
+
 def strings(values) -> Column:
     """A literal array<string>."""
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    return F.expr(f"cast({_sql(list(values))} as array<string>)")
 
 
 def lookup(table: dict, key: Column) -> Column:
     """The table's value for ``key``, null if it has none."""
-    pairs = [x for k, v in table.items() for x in (F.lit(k), strings(v) if isinstance(v, (list, tuple)) else F.lit(v))]
-    return F.try_element_at(F.create_map(*pairs), key)
+    return F.try_element_at(F.expr("map(" + ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in table.items()) + ")"), key)
 
 
 def empty() -> Column:
-    return F.array().cast("array<string>")
+    return F.expr("cast(array() as array<string>)")
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with ``value`` computed once, also inside lambdas."""
+    return F.transform(F.array(value), body)[0]

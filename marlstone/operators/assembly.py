@@ -1,6 +1,7 @@
 """Caption assembly: classify fragments, pack them under budgets, compose variants.
 
-Everything is Column expressions on one row per image; no shuffle. Packing is a
+Everything is Column expressions on one row per image; no shuffle. Fragments are
+normalised (``functions.text.normalise``): lower case, words one space apart. Packing is a
 fold that skips what doesn't fit and goes on (a running sum would stop too early).
 """
 
@@ -23,54 +24,62 @@ def validate(categories: Cats) -> None:
         raise ValueError("categories need distinct names, among them identity and setting")
 
 
+def _category(low: Column, categories: Cats) -> Column:
+    """Category of a lower-case fragment. Plain sums of contains beat a lambda over a list of hints."""
+    # the score in the high digits, the earlier category above the later in the low ones
+    scores = [sum((F.contains(low, F.lit(h)).cast("int") for h in c.hints), F.lit(0)) * 1000 + (999 - i) for i, c in enumerate(categories)]
+    names = V.strings([c.name for c in categories])
+    return V.let(F.greatest(*scores), lambda b: F.when(b >= 1000, F.get(names, 999 - b % 1000)).otherwise("identity"))
+
+
 def classify(fragment: Column, categories: Cats = V.CATEGORIES) -> Column:
     """The category with most hints inside the fragment; the first of equals, identity if none."""
-    low = F.lower(fragment)
-    scores = [F.size(F.filter(V.strings(c.hints), lambda h: F.contains(low, h))) for c in categories]
-    best = F.array_max(F.array(*[F.struct(s.alias("n"), F.lit(-i).alias("i"), F.lit(c.name).alias("c")) for i, (s, c) in enumerate(zip(scores, categories))]))
-    return F.when(best["n"] > 0, best["c"]).otherwise("identity")
+    return V.let(F.lower(fragment), lambda low: _category(low, categories))
 
 
 def bucketed(fragments: Column, categories: Cats = V.CATEGORIES) -> Column:
-    """array<struct<f, c>>: each fragment with its category."""
-    return F.transform(fragments, lambda f: F.struct(f.alias("f"), classify(f, categories).alias("c")))
+    """array<struct<f, c>>: each normalised fragment with its category."""
+    return F.transform(fragments, lambda f: F.struct(f.alias("f"), _category(f, categories).alias("c")))
 
 
 def bucket(pairs: Column, name: str) -> Column:
-    return T.dedupe(F.transform(F.filter(pairs, lambda p: p["c"] == name), lambda p: p["f"]))
+    return F.array_distinct(F.transform(F.filter(pairs, lambda p: p["c"] == name), lambda p: p["f"]))  # normalised before
 
 
 def pack_tokens(fragments: Column, trigger: Column, backend: Column, budget: Column, most: Column) -> Column:
     """First fit under a token budget and a number of segments; a separator costs one token."""
 
-    zero = F.struct(V.empty().alias("kept"), T.tokens(trigger, backend).cast("int").alias("used"), V.empty().alias("removed"))
 
-    def step(acc: Column, f: Column) -> Column:
-        after = acc["used"] + T.tokens(f, backend) + F.when(F.size(acc["kept"]) > 0, 1).otherwise(0)
-        ok = (F.size(acc["kept"]) < most) & (after <= budget)
-        return F.struct(
-            F.when(ok, F.array_append(acc["kept"], f)).otherwise(acc["kept"]).alias("kept"),
-            F.when(ok, after).otherwise(acc["used"]).cast("int").alias("used"),
-            F.when(ok, acc["removed"]).otherwise(F.array_append(acc["removed"], f)).alias("removed"),
-        )
+    def ok(acc: Column, n: Column) -> Column:
+        return (F.size(acc["kept"]) < most) & (acc["used"] + n + _separator(acc) <= budget)
+
+    return _fold(fragments, T.tokens(trigger, backend), lambda f: T.tokens(f, backend, T.fragment_words(f)), ok, _separator)
+
+
+def _separator(acc: Column) -> Column:
+    return F.when(F.size(acc["kept"]) > 0, 1).otherwise(0)
+
+
+def _fold(fragments: Column, used: Column, cost, ok, more) -> Column:
+    """struct<kept, used, removed>; costs are computed once per fragment, before the fold."""
+    zero = F.struct(V.empty().alias("kept"), used.cast("int").alias("used"), V.empty().alias("removed"))
+    priced = F.transform(fragments, lambda f: F.struct(f.alias("f"), cost(f).cast("int").alias("n")))
+
+    def step(acc: Column, x: Column) -> Column:
+        take = F.struct(F.array_append(acc["kept"], x["f"]).alias("kept"), (acc["used"] + x["n"] + more(acc)).cast("int").alias("used"), acc["removed"].alias("removed"))
+        leave = F.struct(acc["kept"].alias("kept"), acc["used"].alias("used"), F.array_append(acc["removed"], x["f"]).alias("removed"))
+        return F.when(ok(acc, x["n"]), take).otherwise(leave)
 
-    return F.aggregate(fragments, zero, step)
+    return F.aggregate(priced, zero, step)
 
 
 def pack_words(fragments: Column, trigger: Column, segments: Column, words: Column) -> Column:
     """First fit under segments and words; the first fragment always stays."""
-    zero = F.struct(V.empty().alias("kept"), T.word_count(trigger).cast("int").alias("used"), V.empty().alias("removed"))
 
-    def step(acc: Column, f: Column) -> Column:
-        n = T.word_count(f)
-        ok = (F.size(acc["kept"]) == 0) | ((F.size(acc["kept"]) < segments) & (acc["used"] + n <= words))
-        return F.struct(
-            F.when(ok, F.array_append(acc["kept"], f)).otherwise(acc["kept"]).alias("kept"),
-            F.when(ok, acc["used"] + n).otherwise(acc["used"]).cast("int").alias("used"),
-            F.when(ok, acc["removed"]).otherwise(F.array_append(acc["removed"], f)).alias("removed"),
-        )
+    def ok(acc: Column, n: Column) -> Column:
+        return (F.size(acc["kept"]) == 0) | ((F.size(acc["kept"]) < segments) & (acc["used"] + n <= words))
 
-    return F.aggregate(fragments, zero, step)
+    return _fold(fragments, T.word_count(trigger), T.fragment_words, ok, lambda acc: F.lit(0))
 
 
 def by_priority(categories: Cats) -> list[V.Category]:
@@ -94,6 +103,16 @@ def _tail(a: Column, n: int) -> Column:
     return F.slice(a, F.lit(n + 1), F.greatest(F.size(a) - n, F.lit(0)))
 
 
+def _finished(trigger: Column, packed: Column, over: Column, lost: Column | None = None) -> Column:
+    """struct<caption, removed> with the packing computed once."""
+
+    def done(p: Column) -> Column:
+        removed = F.concat(over, p["removed"], *([lost] if lost is not None else []))
+        return F.struct(T.with_trigger(trigger, F.array_join(p["kept"], ", ")).alias("caption"), removed.alias("removed"))
+
+    return V.let(packed, done)
+
+
 def category_variant(buckets: dict[str, Column], name: str, trigger: Column, style: Column, categories: Cats = V.CATEGORIES) -> Column:
     """struct<caption, removed> of the variant that favours one category."""
     plan = by_priority(categories)
@@ -106,14 +125,14 @@ def category_variant(buckets: dict[str, Column], name: str, trigger: Column, sty
         fill, trigger,
         F.when(anime, limits.anime[0]).otherwise(limits.photo[0]), F.when(anime, limits.anime[1]).otherwise(limits.photo[1]),
     )
-    return F.struct(T.with_trigger(trigger, F.array_join(packed["kept"], ", ")).alias("caption"), F.concat(over, packed["removed"]).alias("removed"))
+    return _finished(trigger, packed, over)
 
 
 def zeroshot_variant(buckets: dict[str, Column], trigger: Column, style: Column, backend: Column, budget: Column, categories: Cats = V.CATEGORIES) -> Column:
     """struct<caption, removed>: buckets by priority, longest fragments first, under the token budget."""
 
     def longest_first(a: Column) -> Column:
-        keyed = F.transform(a, lambda f, i: F.struct((-T.word_count(f)).alias("n"), i.alias("i"), f.alias("f")))
+        keyed = F.transform(a, lambda f, i: F.struct((-T.fragment_words(f)).alias("n"), i.alias("i"), f.alias("f")))
         return F.transform(F.array_sort(keyed), lambda s: s["f"])
 
     fill, over = [], []
@@ -123,7 +142,7 @@ def zeroshot_variant(buckets: dict[str, Column], trigger: Column, style: Column,
         if c.zeroshot_cap is not None:
             over.append(_tail(ordered, c.zeroshot_cap))
     packed = pack_tokens(_join(fill), trigger, backend, budget, F.when(style == "anime", 12).otherwise(10))
-    return F.struct(T.with_trigger(trigger, F.array_join(packed["kept"], ", ")).alias("caption"), F.concat(_join(over), packed["removed"]).alias("removed"))
+    return _finished(trigger, packed, _join(over))
 
 
 def diversified(fragments: Column, name: str, key: Column, drop: float, seed: int) -> tuple[Column, Column]:
@@ -138,7 +157,7 @@ def diversified(fragments: Column, name: str, key: Column, drop: float, seed: in
         return F.pmod(F.xxhash64(key, F.lit(name), f, F.lit(f"{what}{seed}")), F.lit(1_000_000)) / 1_000_000
 
     def dropped(f: Column) -> Column:
-        return hashed(f, "drop") < F.when(T.word_count(f) <= 2, drop * 1.5).otherwise(drop * 0.3)
+        return hashed(f, "drop") < F.when(T.fragment_words(f) <= 2, drop * 1.5).otherwise(drop * 0.3)
 
     kept = F.filter(fragments, lambda f: ~dropped(f))
     mixed = F.array_sort(F.transform(kept, lambda f, i: F.struct(hashed(f, "order").alias("h"), i.alias("i"), f.alias("f"))))
@@ -163,9 +182,13 @@ def training_variant(
     none = V.empty()
     identity = buckets["identity"]
     pose = F.concat(buckets["pose_composition"], F.filter(identity, T.is_rescuable))
-    tier1 = F.filter(pose, T.is_framing)
-    tier2 = F.filter(pose, lambda f: ~T.is_framing(f) & T.is_primary_pose(f))
-    rest = F.filter(pose, lambda f: ~T.is_framing(f) & ~T.is_primary_pose(f))
+    # 0 framing, 1 primary pose, 2 the rest; each in the given order
+    ranks = F.transform(pose, lambda f: F.struct(f.alias("f"), F.when(T.is_framing(f), 0).when(T.is_primary_pose(f), 1).otherwise(2).alias("r")))
+
+    def tier(r: int) -> Column:
+        return F.transform(F.filter(ranks, lambda x: x["r"] == r), lambda x: x["f"])
+
+    tier1, tier2, rest = tier(0), tier(1), tier(2)
     removed, fill = [], [tier1, tier2]
     parts = [("pose_composition", rest, None), ("action", buckets["action"], None)]
     parts += [(name, buckets[name], V.TRAINING_CAPS[name]) for name in ("wardrobe", "lighting", "setting")]
@@ -179,10 +202,7 @@ def training_variant(
         removed.append(dropped)
     packed = pack_tokens(F.concat(*fill, enrichment), trigger, backend, budget, F.when(style == "anime", 10).otherwise(8))
     lost = F.filter(identity, lambda f: ~T.is_rescuable(f))
-    return F.struct(
-        T.with_trigger(trigger, F.array_join(packed["kept"], ", ")).alias("caption"),
-        F.concat(*removed, packed["removed"], lost).alias("removed"),
-    )
+    return _finished(trigger, packed, F.concat(*removed), lost)
 
 
 # What a caption input may have, and what stands for a missing column.
@@ -218,9 +238,9 @@ def with_buckets(df: DataFrame, categories: Cats = V.CATEGORIES) -> DataFrame:
     df = df.select(
         "*",
         F.filter("tag_fragments", lambda f: T.is_noise(f)).alias("noise"),
-        T.kept_clauses(F.col("prose"), F.col("tags"), F.col("threshold")).alias("clauses"),
-        T.redundant_clauses(F.col("prose"), F.col("tags"), F.col("threshold")).alias("redundant"),
+        T.judged_clauses(F.col("prose"), F.col("tags")).alias("judged"),
     )
+    df = df.select("*", T.below(F.col("judged"), F.col("threshold")).alias("clauses"), T.not_below(F.col("judged"), F.col("threshold")).alias("redundant"))
     df = df.select(
         "*",
         bucketed(F.filter("tag_fragments", lambda f: ~T.is_noise(f)), categories).alias("tag_pairs"),
@@ -251,7 +271,7 @@ def compose(df: DataFrame, categories: Cats = V.CATEGORIES, drop: float = 0.0, s
     trained = {n: F.filter(f"t_{n}", lambda f: ~T.is_noise(f, True)) if f"t_{n}" in df.columns else V.empty() for n in {*names, *(c.name for c in V.CATEGORIES)}}
     stripped = _join([F.filter(f"t_{n}", lambda f: T.is_noise(f, True)) for n in names])
     enrichment = F.when(F.col("prose_enrichment"), T.prose_tokens(F.col("clauses"), T.tag_words(F.col("tags")))).otherwise(V.empty())
-    shot = {n: T.dedupe(F.concat(f"b_{n}", bucket(F.col("noise_pairs"), n))) for n in names}
+    shot = {n: F.array_distinct(F.concat(f"b_{n}", bucket(F.col("noise_pairs"), n))) for n in names}
     keyed = F.concat_ws("\x1f", "tags", "prose")
     df = df.select(
         "*",

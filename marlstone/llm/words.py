@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK = 2 << 20  # bytes of text handled at once; only a single word may make a chunk longer
+CHUNK = 1 << 20  # bytes of text handled at once; only a single text or word may make a chunk longer
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -74,12 +74,17 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_groups(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about ``limit`` bytes together, or one longer text."""
+    """Ranges of texts with about ``limit`` bytes together, or one longer text.
+
+    After the last range, memory that Arrow holds without need goes back, since a
+    worker lives on beside the others of its executor.
+    """
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
         yield i, j
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Words:

@@ -7,7 +7,8 @@ one index over a cluster, the text is cut by content:
    (leftmost if tied). Equal windows have equal anchors, so windows can only repeat
    inside an anchor's group. Neighbouring windows with the same anchor occurrence
    make one segment (184 bytes at most).
-2. Segments are dealt out by anchor and sorted by (anchor, fingerprint, position).
+2. Of equal segments in one batch of texts all but the first are repeats at once.
+   The others are dealt out by anchor and sorted by (anchor, fingerprint, position).
    In this stream, later occurrences of one segment are repeats as a whole;
    anchors with a single segment are done. The stream needs no group in memory.
 3. First occurrences of different segments with one anchor are where repeats begin
@@ -87,16 +88,34 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in text_groups(offsets):
             anchor, mark, text, start, length = segments(data, offsets[i : j + 1])
             place = (order[i:j][text] << START_BITS) | start
-            yield pa.record_batch([pa.array(anchor), pa.array(mark), pa.array(place), pa.array(length.astype(np.int32))], names=["anchor", "mark", "place", "length"])
+            # of equal segments here all but the earliest are repeats already: they needn't meet their anchor's group
+            by = np.lexsort((place, mark, anchor))
+            again = np.zeros(len(by), bool)
+            again[by[1:]] = (anchor[by[1:]] == anchor[by[:-1]]) & (mark[by[1:]] == mark[by[:-1]])
+            yield pa.record_batch(
+                [pa.array(again), pa.array(anchor), pa.array(mark), pa.array(place), pa.array(length.astype(np.int32))],
+                names=["again", "anchor", "mark", "place", "length"],
+            )
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From segments in order of (anchor, mark, place): repeats (anchor null) and firsts of mixed anchors."""
+    """From segments in order of (again, anchor, mark, place): repeats (anchor null) and firsts of mixed anchors."""
+
+    def spans(place: np.ndarray, size: np.ndarray) -> list[pa.Array]:
+        return [pa.array(place >> START_BITS), pa.array(((place & ((1 << START_BITS) - 1)) << 8) | size)]
+
+    names = ["anchor", "doc", "span"]
     last, told = None, True  # the latest first occurrence, and whether it has been passed on
     for batch in batches:
         if not batch.num_rows:
             continue
-        a, m, p, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        known = batch.column(0).to_numpy(zero_copy_only=False)
+        a, m, p, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
+        if known.any():
+            yield pa.record_batch([pa.nulls(int(known.sum()), pa.int64()), *spans(p[known], n[known].astype(np.int64))], names=names)
+            a, m, p, n = a[~known], m[~known], p[~known], n[~known]
+            if not len(a):
+                continue
         carried = last is not None
         if carried:
             a, m, p, n = (np.concatenate(([x], y)) for x, y in zip(last, (a, m, p, n)))
@@ -113,8 +132,7 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.concatenate((at[mixed], np.flatnonzero(again)))
         last = (a[at[-1]], m[at[-1]], p[at[-1]], n[at[-1]])
         told = bool(mixed[-1] or (len(at) == 1 and carried and told))
-        key = pa.array(a[out], mask=again[out])
-        yield pa.record_batch([key, pa.array(p[out] >> START_BITS), pa.array(((p[out] & ((1 << START_BITS) - 1)) << 8) | n[out])], names=["anchor", "doc", "span"])
+        yield pa.record_batch([pa.array(a[out], mask=again[out]), *spans(p[out], n[out].astype(np.int64))], names=names)
 
 
 class RunIndex(NamedTuple):
@@ -302,8 +320,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     docs = _numbered(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = docs.select("doc", "text").mapInArrow(_segments, "anchor long, mark long, place long, length int")
-    parts = parts.repartition("anchor").sortWithinPartitions("anchor", "mark", "place")
+    parts = docs.select("doc", "text").mapInArrow(_segments, "again boolean, anchor long, mark long, place long, length int")
+    parts = parts.repartition(F.when(F.col("again"), F.col("place")).otherwise(F.col("anchor"))).sortWithinPartitions("again", "anchor", "mark", "place")
     sifted = settle(parts.mapInArrow(_sift, "anchor long, doc long, span long"), "sifted")
     wanted = sifted.filter("anchor is not null").groupBy("doc").agg(F.collect_list(F.struct("anchor", "span")).alias("want"))
     texts = docs.select("doc", "doc_id", "text")

@@ -1,6 +1,7 @@
 """Benchmark decontamination by suffix arrays over the training documents.
 
-The documents are read in shards of whole texts (one or a few megabytes each).
+The documents are read in shards of whole texts (one or a few megabytes each); a
+longer text has several arrays, which overlap by a window, so that none is lost.
 In a task, a shard's words become ranks, and a suffix array is sorted by
 multi-word prefixes: ranks of 1, 3, 9 and 18 words, each level packing ranks of
 the level below, so equal order of packed numbers is word order. Suffixes end
@@ -26,6 +27,7 @@ from marlstone.llm.words import ALNUM, U, text_buffer, text_groups, words
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20  # benchmark text in one broadcast
+SHARD_WORDS = 1 << 20   # starts of suffixes in one array; a longer text has several, which overlap by a window
 DEPTHS = (1, 3, 9, 18)
 
 
@@ -122,8 +124,15 @@ class SuffixArray:
 
 def _matches(number: np.ndarray, first: np.ndarray, queries: Queries):
     """(position, length, text, item) of every occurrence of every window in a shard."""
+    parts = [_matches_in(number, first, queries, at) for at in range(0, max(len(number), 1), SHARD_WORDS)]
+    return np.concatenate(parts, axis=1)
+
+
+def _matches_in(number: np.ndarray, first: np.ndarray, queries: Queries, at: int):
+    """``_matches`` of the occurrences that begin at ``at`` or within SHARD_WORDS words of it."""
     found = [np.zeros((4, 0), np.int64)]
-    index = SuffixArray(number, first)
+    stop = min(len(number), at + SHARD_WORDS + WINDOW - 1)
+    index = SuffixArray(number[at:stop], np.clip(first - at, 0, stop - at))
     for size, rows in queries.prefixes.items():
         lo, hi = index.find(rows)
         many = np.maximum(hi - lo, 0)
@@ -132,6 +141,8 @@ def _matches(number: np.ndarray, first: np.ndarray, queries: Queries):
         window = np.repeat(np.arange(len(rows)), many)
         nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         position = index.suffixes[np.repeat(lo, many) + nth]
+        own = position < SHARD_WORDS  # the next array finds the others
+        position, window = position[own] + at, window[own]
         text = np.searchsorted(first, position, side="right") - 1
         begin, owner = queries.items[size]
         count = begin[window + 1] - begin[window]

@@ -5,12 +5,16 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from marlstone.llm import bpe, chat, decontam, exact_dedup, fitting, language, near_dedup, quality, repeats, sharding, toxicity  # noqa: E402
+from marlstone.llm.words import ALNUM, text_buffer  # noqa: E402
+from marlstone.llm.words import words as find_words  # noqa: E402
 
 AZ = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, kept string, SHARD string"
@@ -233,7 +237,6 @@ def test_language(spark, nothing):
 
 
 def test_forward_sum_is_over_all_segmentations():
-    import numpy as np
 
     names = sorted(["▁", "a", "b", "ab", "▁a", "ba", "▁ab", "bab"])
     pieces = language.Pieces(names)
@@ -375,6 +378,18 @@ def test_decontamination(spark, docs, nothing, monkeypatch, limit):
     assert not decontam.contamination(docs, bench.filter("item_id < 0")).filter("contaminated").count()
 
 
+@pytest.mark.parametrize("size", [1, 3, 7, 50, 1000])
+def test_decontamination_cuts_arrays_of_long_texts(monkeypatch, size):
+    rng = random.Random(size)
+    texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in (0, 300, 4, 90)]
+    queries = decontam.item_windows(["p", "q"], [" ".join(texts[1].split()[40:60]), texts[3][:7]])
+    data, offsets = text_buffer(pa.array(texts))
+    w = find_words(data, offsets, ALNUM)
+    whole = decontam._matches(w.number, w.first, queries)
+    monkeypatch.setattr(decontam, "SHARD_WORDS", size)
+    assert whole.shape[1] and np.array_equal(np.unique(whole, axis=1), np.unique(decontam._matches(w.number, w.first, queries), axis=1))
+
+
 # 10 repeats
 
 
@@ -412,7 +427,6 @@ def test_repeats_in_repeated_rows(spark):
 
 
 def test_run_index():
-    import numpy as np
 
     text = np.frombuffer((b"x" * 20 + b"ab" * 90) * 2 + b"tail", np.uint8)
     index = repeats.run_index(text, np.full(len(text), len(text)))

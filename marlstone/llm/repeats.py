@@ -37,6 +37,7 @@ from marlstone.llm.words import BYTE, U, mix, powers, text_buffer, text_groups
 LENGTH, GRAM = 100, 16
 SPAN = LENGTH - GRAM + 1     # 16-byte strings in a window
 START_BITS = 29              # texts of up to 512 MB; with the document's number a signed 64-bit place
+PLACE_BITS = START_BITS + 1  # place of a byte in the texts that are handled at once
 INDEX_BYTES = 1 << 21        # segment text in one index; a larger anchor group makes a larger one
 
 
@@ -51,8 +52,7 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE[b] * up[:n], out=total[1:])
     gram = mix((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
-    bits = U(int(n).bit_length())
-    low = (U(1) << bits) - U(1)
+    low = U((1 << PLACE_BITS) - 1)  # hashes are compared without these bits, in texts of any size alike
     packed = (gram & ~low) | np.arange(len(gram), dtype=np.uint64)
     blocks = -(-len(packed) // SPAN) + 1
     padded = np.full(blocks * SPAN, ~U(0))

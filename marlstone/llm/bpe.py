@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.frames import only, settle
 
 CHUNK, OVERLAP = 32_768, 1_024
+GROUP = 32  # chunks or pieces of one text in a batch
 
 _encodings: dict[str, tuple] = {}
 
@@ -63,6 +64,36 @@ def boundaries(pattern, chunk: str, begin: int, around: list[int], overlap: int,
     return near
 
 
+def _chunks(size: int, overlap: int):
+    """(row, text) to (row, k, begin, chunk, last): overlapping chunks, each cut out once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                for at in range(0, len(text), GROUP * size):
+                    begin = [max(0, b - overlap) for b in range(at, min(len(text), at + GROUP * size), size)]
+                    k = [at // size + i for i in range(len(begin))]
+                    end = [min(len(text), (i + 1) * size + overlap) for i in k]
+                    yield pa.record_batch(
+                        [pa.array([row] * len(k), pa.int64()), pa.array(k, pa.int32()), pa.array(begin, pa.int64()), pa.array([text[a:z] for a, z in zip(begin, end)], pa.string()), pa.array([z == len(text) for z in end])],
+                        names=["row", "k", "begin", "chunk", "last"],
+                    )
+
+    return run
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, text, cuts) to (row, piece, text)."""
+    for batch in batches:
+        for row, text, cuts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            text = text.as_py()
+            ends = list(enumerate(zip([0, *cuts], [*cuts, len(text)])))
+            for at in range(0, len(ends), GROUP):
+                part = ends[at : at + GROUP]
+                yield pa.record_batch([pa.array([row] * len(part), pa.int64()), pa.array([n for n, _ in part], pa.int32()), pa.array([text[a:z] for _, (a, z) in part], pa.string())], names=["row", "piece", "text"])
+
+
 def _pretokenise(vocabulary, chunk_size: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = vocabulary.value.load()[3]
@@ -145,18 +176,10 @@ def encode_documents(
 
     short = rows.filter(F.length("text") <= chunk).mapInArrow(whole, schema)
     long = settle(rows.filter(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), "long")
-    size = F.length("text")
-    many = F.ceil(size / chunk).cast("int")
-    cut = long.select("row", "text", size.alias("size"), F.explode(F.sequence(F.lit(0), many - 1)).alias("k"))
-    begin = F.greatest(F.col("k") * chunk - overlap, F.lit(0))
-    end = F.least((F.col("k") + 1) * chunk + overlap, F.col("size"))
-    cut = cut.select("row", "k", begin.cast("long").alias("begin"), F.substr("text", begin + 1, end - begin).alias("chunk"), (end == F.col("size")).alias("last"))
+    cut = long.select("row", "text").mapInArrow(_chunks(chunk, overlap), "row long, k int, begin long, chunk string, last boolean")
     ends = cut.repartition("row", "k").mapInArrow(_pretokenise(vocabulary, chunk, overlap), "row long, k int, left array<long>, right array<long>")
     cuts = ends.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "left", "right"))).alias("chunks")).mapInArrow(_stitch, "row long, cuts array<long>")
-    met = long.join(cuts, "row").select("row", "text", F.concat(F.array(F.lit(0).cast("long")), "cuts", F.array(F.length("text").cast("long"))).alias("at"))
-    met = met.select("row", "text", "at", F.explode(F.sequence(F.lit(1), F.size("at") - 1)).alias("piece"))
-    a, b = F.element_at("at", F.col("piece")), F.element_at("at", F.col("piece") + 1)
-    parts = met.select("row", "piece", F.substr("text", (a + 1).cast("int"), (b - a).cast("int")).alias("text")).repartition("row", "piece")
+    parts = long.join(cuts, "row").select("row", "text", "cuts").mapInArrow(_pieces, "row long, piece int, text string").repartition("row", "piece")
     parts = parts.mapInArrow(pieces, "row long, piece int, ids binary")
     parts = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("parts"))
     return short.unionByName(parts.join(long.select("row", "doc_id"), "row").select("doc_id", "parts").mapInArrow(joined, schema))

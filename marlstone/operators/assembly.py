@@ -254,6 +254,16 @@ def with_buckets(df: DataFrame, categories: Cats = V.CATEGORIES) -> DataFrame:
     )
 
 
+# fixed values: the notes of a caption result, in their order
+NOTES = [
+    "Stripped rating/meta tags that have no training value.",
+    "Removed prose clauses that duplicated tag content.",
+    "Trimmed lower-priority fragments to keep captions compact.",
+    "Suppressed identity traits for training variant (learned visually).",
+]
+CONTENT_ORDER = ["setting", "action", "wardrobe", "pose_composition", "lighting"]
+
+
 def compose(df: DataFrame, categories: Cats = V.CATEGORIES, drop: float = 0.0, seed: int = 0) -> DataFrame:
     """Captions from (tags, prose) rows; all input columns stay.
 
@@ -283,12 +293,7 @@ def compose(df: DataFrame, categories: Cats = V.CATEGORIES, drop: float = 0.0, s
     fillers = F.flatten(F.transform(F.concat(T.pieces(F.col("tags")), F.col("clauses")), T.fillers_of))
     removed = F.concat(fillers, F.col("noise"), F.transform("redundant", F.lower), *[F.col(f"v_{n}.removed") for n in every])
     trimmed = F.size(_join([F.col(f"v_{n}.removed") for n in names])) > 0
-    notes = [
-        (F.size("noise") > 0, "Stripped rating/meta tags that have no training value."),
-        (F.size("redundant") > 0, "Removed prose clauses that duplicated tag content."),
-        (trimmed, "Trimmed lower-priority fragments to keep captions compact."),
-        (F.size("stripped") > 0, "Suppressed identity traits for training variant (learned visually)."),
-    ]
+    notes = list(zip((F.size("noise") > 0, F.size("redundant") > 0, trimmed, F.size("stripped") > 0), NOTES))
     variants = F.create_map(*[x for n in every for x in (F.lit(n), F.col(f"v_{n}.caption"))])
     out = df.select("*", variants.alias("caption_variants"), T.dedupe(removed).alias("removed_phrases"), F.filter(F.array(*[F.when(c, n) for c, n in notes]), lambda n: n.isNotNull()).alias("compaction_notes"))
     added = ["caption_variants", "final_caption", "selected_category", "removed_phrases", "compaction_notes"]
@@ -330,7 +335,7 @@ def hybrid_string(tags: Column, prose: Column) -> Column:
 def assembled_content(variants: Column, final: Column) -> Column:
     """Variants as sentences (setting, action, wardrobe, pose, lighting), or the final caption."""
     parts = []
-    for n in ("setting", "action", "wardrobe", "pose_composition", "lighting"):
+    for n in CONTENT_ORDER:
         t = T.strip(F.coalesce(F.try_element_at(variants, F.lit(n)), F.lit("")))
         parts.append(F.when(t == "", None).when(t.rlike("[.!?]$"), t).otherwise(F.concat(t, F.lit("."))))
     joined = F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull()), " ")

@@ -186,7 +186,21 @@ def compose_full(spark, d):
     return _composed(spark, d).select("image_id", "selected_category", "final_caption", v["training"].alias("training"), v["zeroshot"].alias("zeroshot"))
 
 
-@query()
+_JOINED = " ".join(f"JOIN va{i} ON va{i}.image_id = co.image_id" for i in range(len(NAMES)))
+_LOST = ", ".join(f"list_concat({_variant_sql(n)[1]}, va{i}.p.r)" for i, n in enumerate(NAMES))
+_FILLED = f"flatten(list_transform(list_concat({S.pieces('co.tags')}, clauses), lambda t: {S.fillers_of('t')}))"
+_NOTED = ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in zip(("len(noise) > 0", "len(redundant) > 0", "trimmed > 0", "stripped > 0"), A.NOTES))
+_REMOVED = f"""{_COMPOSED},
+nz AS (SELECT image_id, coalesce(list(f ORDER BY pos) FILTER (noise), []) AS noise, count(*) FILTER (NOT noise AND {S.in_list(S.key('f'), V.IDENTITY_TAGS)}) AS stripped FROM fk WHERE src = 0 GROUP BY image_id),
+ra AS (SELECT co.image_id, final_caption, redundant, coalesce(noise, []) AS noise, coalesce(stripped, 0) AS stripped, {_FILLED} AS filled, [{_LOST}] AS cut, list_concat(tp.over, tp.p.r, tp.lost, zp.o, zp.p.r) AS rest
+  FROM co {_JOINED} JOIN bu ON bu.image_id = co.image_id JOIN ck ON ck.image_id = co.image_id JOIN tp ON tp.image_id = co.image_id JOIN zp ON zp.image_id = co.image_id LEFT JOIN nz ON nz.image_id = co.image_id),
+rb AS (SELECT *, len(flatten(cut)) AS trimmed, list_concat(filled, noise, list_transform(redundant, lambda r: lower(r)), flatten(cut), rest) AS every FROM ra),
+rc AS (SELECT image_id, min(i) AS i, arg_min(x, i) AS x FROM (SELECT image_id, unnest(every) AS x, unnest(range(1, len(every) + 1)) AS i FROM rb) WHERE trim(x) <> '' GROUP BY image_id, lower(trim(x))),
+rd AS (SELECT image_id, list(x ORDER BY i) AS gone FROM rc GROUP BY image_id),
+rx AS (SELECT rb.image_id, final_caption, coalesce(gone, []) AS gone, concat_ws('|', {_NOTED}) AS notes FROM rb LEFT JOIN rd ON rd.image_id = rb.image_id)"""
+
+
+@query(f"{_REMOVED} SELECT image_id, CAST(len(gone) AS INTEGER) AS n, {sbar('gone')} AS removed, notes FROM rx")
 def removed_phrases(spark, d):
     return _composed(spark, d).select("image_id", F.size("removed_phrases").alias("n"), bar("removed_phrases").alias("removed"), bar("compaction_notes").alias("notes"))
 
@@ -196,7 +210,12 @@ def csv_projection(spark, d):
     return W.csv_rows(_composed(spark, d).withColumns({"name": F.col("image_id"), "backend_name": F.lit("bridge")}))
 
 
-@query()
+def _sentence(n: str) -> str:
+    t = S.strip(S.with_trigger("co.trigger_word", f"array_to_string(va{NAMES.index(n)}.p.k, ', ')"))
+    return f"CASE WHEN {t} = '' THEN NULL WHEN regexp_matches({t}, '[.!?]$') THEN {t} ELSE {t} || '.' END"
+
+
+@query(f"{_COMPOSED} SELECT co.image_id, coalesce(nullif(concat_ws(' ', {', '.join(map(_sentence, A.CONTENT_ORDER))}), ''), final_caption) AS content FROM co {_JOINED}")
 def surveillance_content(spark, d):
     return _composed(spark, d).select("image_id", A.assembled_content(F.col("caption_variants"), F.col("final_caption")).alias("content"))
 
@@ -264,7 +283,7 @@ def budget_adherence(spark, d):
     return _measured(spark, d).select("image_id", "budget", "tokens_training", "tokens_zeroshot", "any_over")
 
 
-@query()
+@query(f"{_REMOVED}, rk AS (SELECT image_id, CAST(len(gone) AS INTEGER) AS removed, CAST(len({S.pieces('final_caption', ',')}) AS INTEGER) AS kept FROM rx) SELECT *, CASE WHEN removed + kept > 0 THEN CAST(removed AS DOUBLE) / (removed + kept) ELSE 0.0 END AS redundancy FROM rk")
 def redundancy_rate(spark, d):
     return _measured(spark, d).select("image_id", "removed", "kept", "redundancy")
 

@@ -237,7 +237,6 @@ def test_language(spark, nothing):
 
 
 def test_forward_sum_is_over_all_segmentations():
-
     names = sorted(["▁", "a", "b", "ab", "▁a", "ba", "▁ab", "bab"])
     pieces = language.Pieces(names)
     p = np.random.default_rng(0).random((len(names) + 1, 2))
@@ -427,7 +426,6 @@ def test_repeats_in_repeated_rows(spark):
 
 
 def test_run_index():
-
     text = np.frombuffer((b"x" * 20 + b"ab" * 90) * 2 + b"tail", np.uint8)
     index = repeats.run_index(text, np.full(len(text), len(text)))
     assert len(index.starts) < len(index.order) and (index.ends[:, 0] == index.order[index.starts]).all()

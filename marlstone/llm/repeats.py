@@ -16,6 +16,9 @@ one index over a cluster, the text is cut by content:
    depth 100, its Burrows-Wheeler transform as runs, and samples at run ends.
    Ties are in text order, so a suffix whose predecessor agrees for 100 bytes has
    an earlier occurrence; these matching statistics are read from the runs.
+   An anchor whose segments exceed one index (a short line that stands in very many
+   surroundings) isn't indexed: each of its windows is dealt out by a hash of all its
+   100 bytes, equal ones of one lot of texts together, and all but the first are repeats.
 4. Marks are joined to the documents, merged into maximal runs, and removed.
 """
 
@@ -38,7 +41,9 @@ LENGTH, GRAM = 100, 16
 SPAN = LENGTH - GRAM + 1     # 16-byte strings in a window
 START_BITS = 29              # texts of up to 512 MB; with the document's number a signed 64-bit place
 PLACE_BITS = START_BITS + 1  # place of a byte in the texts that are handled at once
-INDEX_BYTES = 1 << 21        # segment text in one index; a larger anchor group makes a larger one
+INDEX_BYTES = 1 << 21        # segment text in one index; a larger anchor group is dealt out by windows
+LOT_BYTES = 1 << 19          # segment text of such groups whose windows are compared before the shuffle
+SEGMENT, WINDOW, KNOWN = 0, 1, 2  # what a row for _index is: a segment, a window of a heavy anchor, a repeat
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -99,13 +104,17 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From segments in order of (again, anchor, mark, place): repeats (anchor null) and firsts of mixed anchors."""
+    """From segments in order of (again, anchor, mark, place): repeats (anchor null) and firsts of mixed anchors.
+
+    An anchor whose firsts have more than INDEX_BYTES together is named once more, with a null doc.
+    """
 
     def spans(place: np.ndarray, size: np.ndarray) -> list[pa.Array]:
         return [pa.array(place >> START_BITS), pa.array(((place & ((1 << START_BITS) - 1)) << 8) | size)]
 
     names = ["anchor", "doc", "span"]
     last, told = None, True  # the latest first occurrence, and whether it has been passed on
+    weight = 0               # bytes passed on for its anchor
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -130,6 +139,17 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if carried and told:
             mixed[0] = False
         out = np.concatenate((at[mixed], np.flatnonzero(again)))
+        opens = np.flatnonzero(~later)
+        if not len(opens) or opens[0]:
+            opens = np.concatenate(([0], opens))
+        total = np.add.reduceat(np.where(mixed, n[at], 0).astype(np.int64), opens)
+        was, total[0] = weight, total[0] + (weight if carried else 0)
+        over = total > INDEX_BYTES
+        over[0] &= not (carried and was > INDEX_BYTES)
+        weight = int(total[-1])
+        if over.any():
+            named = pa.array(a[at[opens[over]]])
+            yield pa.record_batch([named, pa.nulls(len(named), pa.int64()), pa.nulls(len(named), pa.int64())], names=names)
         last = (a[at[-1]], m[at[-1]], p[at[-1]], n[at[-1]])
         told = bool(mixed[-1] or (len(at) == 1 and carried and told))
         yield pa.record_batch([pa.array(a[out], mask=again[out]), *spans(p[out], n[out].astype(np.int64))], names=names)
@@ -203,51 +223,106 @@ def repeated_starts(index: RunIndex) -> np.ndarray:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (anchor, doc, span, bytes) in order of (anchor, doc, span): repeated spans."""
-    def run(rows: pa.Table) -> pa.RecordBatch | None:
-        data, offsets = text_buffer(rows.column(3).combine_chunks().view(pa.string()))
+    """From (kind, anchor, doc, span, bytes) in order of (kind, anchor, doc, span): repeated spans."""
+    names = ["doc", "span"]
+
+    def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        data, offsets = text_buffer(rows.column(4).combine_chunks().view(pa.string()))
         text = data[offsets[0] : offsets[-1]]
         edge = offsets - offsets[0]
         if not len(text):
-            return None
+            return
         starts = np.sort(repeated_starts(run_index(text, np.repeat(edge[1:], np.diff(edge)))))
         if not len(starts):
-            return None
+            return
         owner = np.searchsorted(edge, starts, side="right") - 1
         cut = np.concatenate(([True], (starts[1:] != starts[:-1] + 1) | (owner[1:] != owner[:-1])))
         a = np.flatnonzero(cut)
         z = np.append(a[1:], len(starts)) - 1
         seg = owner[a]
-        begin = (rows.column(2).to_numpy() >> 8)[seg] + starts[a] - edge[seg]
-        return pa.record_batch([pa.array(rows.column(1).to_numpy()[seg]), pa.array((begin << 8) | (starts[z] - starts[a] + LENGTH))], names=["doc", "span"])
+        begin = (rows.column(3).to_numpy() >> 8)[seg] + starts[a] - edge[seg]
+        yield pa.record_batch([pa.array(rows.column(2).to_numpy()[seg]), pa.array((begin << 8) | (starts[z] - starts[a] + LENGTH))], names=names)
+
+    def indexed(rows: pa.Table, stops: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Indexes the groups that end at ``stops``, as many at once as fit INDEX_BYTES; no group is larger."""
+        done = 0
+        weight = np.cumsum(rows.column(3).to_numpy() & 255)
+        while len(ahead := stops[stops > done]):
+            base = weight[done - 1] if done else 0
+            fit = ahead[weight[ahead - 1] - base <= INDEX_BYTES]
+            stop = int(fit[-1] if len(fit) else ahead[0])
+            yield from run(rows.slice(done, stop - done))
+            done = stop
+
+    def ends(rows: pa.Table) -> np.ndarray:
+        anchor = rows.column(1).to_numpy()
+        return np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
 
     held: list[pa.RecordBatch] = []
     size, enough = 0, INDEX_BYTES
+    latest = None  # the latest window's hash
     for batch in batches:
+        kind = batch.column(0).to_numpy(zero_copy_only=False)
+        whole, windows = np.searchsorted(kind, [WINDOW, KNOWN])
+        if whole < len(kind):
+            hashes = batch.column(1).to_numpy()[whole:windows]
+            again = np.ones(len(kind) - whole, bool)
+            if len(hashes):
+                again[: len(hashes)] = np.concatenate(([latest is not None and hashes[0] == latest], hashes[1:] == hashes[:-1]))
+                latest = hashes[-1]
+            rest = batch.slice(int(whole))
+            yield pa.record_batch([pa.array(rest.column(i).to_numpy()[again]) for i in (2, 3)], names=names)
+            batch = batch.slice(0, int(whole))
+        if not batch.num_rows:
+            continue
         held.append(batch)
         size += batch.nbytes
         if size >= enough:
             rows = pa.Table.from_batches(held)
-            anchor = rows.column(0).to_numpy()
-            cuts = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
-            done = 0
-            weight = np.cumsum(rows.column(2).to_numpy() & 255)
-            while len(cuts) and len(ahead := cuts[cuts > done]):
-                base = weight[done - 1] if done else 0
-                fit = ahead[weight[ahead - 1] - base <= INDEX_BYTES]
-                stop = int(fit[-1] if len(fit) else ahead[0])
-                if (out := run(rows.slice(done, stop - done))) is not None:
-                    yield out
-                done = stop
-            held = rows.slice(done).to_batches()
+            cuts = ends(rows)
+            yield from indexed(rows, cuts)
+            held = rows.slice(int(cuts[-1]) if len(cuts) else 0).to_batches()
             size = sum(x.nbytes for x in held)
-            enough = max(INDEX_BYTES, 2 * size)  # a large group is looked at again only when it has doubled
-    if held and (out := run(pa.Table.from_batches(held))) is not None:
-        yield out
+            enough = max(INDEX_BYTES, 2 * size)
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield from indexed(rows, np.append(ends(rows), rows.num_rows))
+
+
+def _windows(doc: np.ndarray, begin: np.ndarray, bodies: list[bytes]) -> pa.RecordBatch:
+    """The windows of segments, by their hashes; all but the earliest of equal ones are known to repeat."""
+    size = np.array([len(x) for x in bodies])
+    b = np.frombuffer(b"".join(bodies), np.uint8)
+    up, down = powers(len(b) + 1)
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(BYTE[b] * up[: len(b)], out=total[1:])
+    many = size - LENGTH + 1
+    owner = np.repeat(np.arange(len(size)), many)
+    nth = np.arange(len(owner)) - (np.cumsum(many) - many)[owner]
+    at = (np.cumsum(size) - size)[owner] + nth
+    value = mix((total[at + LENGTH] - total[at]) * down[at]).view(np.int64)
+    start = begin[owner] + nth
+    place = (doc[owner] << START_BITS) | start
+    by = np.lexsort((place, value))
+    again = np.zeros(len(by), bool)
+    again[by[1:]] = value[by[1:]] == value[by[:-1]]
+    # known repeats meet nobody: they are dealt out by place
+    value = np.where(again, mix(place.view(np.uint64)).view(np.int64), value)
+    return pa.record_batch(
+        [pa.array(np.where(again, KNOWN, WINDOW).astype(np.int32)), pa.array(value), pa.array(doc[owner]), pa.array((start << 8) | LENGTH), pa.nulls(len(by), pa.binary())],
+        names=["kind", "anchor", "doc", "span", "bytes"],
+    )
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fetches the bytes of the wanted segments: (doc, text, anchors, spans) to (anchor, doc, span, bytes)."""
+    """Fetches the bytes of the wanted segments: (doc, text, (anchor, span, heavy) each) to (kind, anchor, doc, span, bytes)."""
+    lot: list[tuple[int, int, bytes]] = []  # segments of heavy anchors
+    size = 0
+
+    def dealt() -> pa.RecordBatch:
+        doc, begin, bodies = zip(*lot)
+        return _windows(np.array(doc, np.int64), np.array(begin, np.int64), list(bodies))
+
     for batch in batches:
         data, offsets = text_buffer(batch.column(1))
         doc = batch.column(0).to_numpy(zero_copy_only=False)
@@ -255,10 +330,24 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(batch.num_rows):
             pairs = want[k].values
             anchor, span = pairs.field(0), pairs.field(1).to_numpy(zero_copy_only=False)
+            heavy = pairs.field(2).to_numpy(zero_copy_only=False).astype(bool)
             body = data[offsets[k] : offsets[k + 1]].tobytes()
-            begin = span >> 8
-            cut = [body[s : s + n] for s, n in zip(begin.tolist(), (span & 255).tolist())]
-            yield pa.record_batch([anchor, pa.array(np.full(len(span), doc[k])), pa.array(span), pa.array(cut, pa.binary())], names=["anchor", "doc", "span", "bytes"])
+            for s, n in zip((span[heavy] >> 8).tolist(), (span[heavy] & 255).tolist()):
+                lot.append((doc[k], s, body[s : s + n]))
+                size += n
+                if size >= LOT_BYTES:
+                    yield dealt()
+                    lot, size = [], 0
+            if heavy.all():
+                continue
+            anchor, span = anchor.filter(pa.array(~heavy)), span[~heavy]
+            cut = [body[s : s + n] for s, n in zip((span >> 8).tolist(), (span & 255).tolist())]
+            yield pa.record_batch(
+                [pa.array(np.full(len(span), SEGMENT, np.int32)), anchor, pa.array(np.full(len(span), doc[k])), pa.array(span), pa.array(cut, pa.binary())],
+                names=["kind", "anchor", "doc", "span", "bytes"],
+            )
+    if lot:
+        yield dealt()
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,10 +412,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = docs.select("doc", "text").mapInArrow(_segments, "again boolean, anchor long, mark long, place long, length int")
     parts = parts.repartition(F.when(F.col("again"), F.col("place")).otherwise(F.col("anchor"))).sortWithinPartitions("again", "anchor", "mark", "place")
     sifted = settle(parts.mapInArrow(_sift, "anchor long, doc long, span long"), "sifted")
-    wanted = sifted.filter("anchor is not null").groupBy("doc").agg(F.collect_list(F.struct("anchor", "span")).alias("want"))
+    # a heavy anchor has over INDEX_BYTES of segments, hence they are few
+    heavy = sifted.filter("doc is null").select("anchor", F.lit(True).alias("heavy"))
+    firsts = sifted.filter("anchor is not null and doc is not null").join(F.broadcast(heavy), "anchor", "left")
+    wanted = firsts.groupBy("doc").agg(F.collect_list(F.struct("anchor", "span", F.coalesce("heavy", F.lit(False)).alias("heavy"))).alias("want"))
     texts = docs.select("doc", "doc_id", "text")
-    pieces = texts.join(wanted, "doc").select("doc", "text", "want").mapInArrow(_cut, "anchor long, doc long, span long, bytes binary")
-    pieces = pieces.repartition("anchor").sortWithinPartitions("anchor", "doc", "span")
+    pieces = texts.join(wanted, "doc").select("doc", "text", "want").mapInArrow(_cut, "kind int, anchor long, doc long, span long, bytes binary")
+    pieces = pieces.repartition("anchor").sortWithinPartitions("kind", "anchor", "doc", "span")
     marks = pieces.mapInArrow(_index, "doc long, span long").union(sifted.filter("anchor is null").select("doc", "span"))
     spans = marks.groupBy("doc").agg(F.collect_list("span").alias("marks"))
     return texts.join(spans, "doc", "left").select("doc", "doc_id", "text", "marks").mapInArrow(

@@ -425,6 +425,59 @@ def test_repeats_in_repeated_rows(spark):
     assert got == [0, 0, 150]
 
 
+def common_line(n):
+    """Texts whose one common line of 90 bytes stands in different surroundings, some of which repeat."""
+    rng = random.Random(3)
+    line = "".join(rng.choice("abcdefgh") for _ in range(90))
+    around = lambda: "".join(rng.choice("abcdefgh") for _ in range(80))
+    rows = [(i, around() + line + around()) for i in range(n)]
+    return rows + [(n + i, "#" + rows[i][1][rng.randint(20, 60) : rng.randint(170, 200)] + str(i)) for i in range(0, n, 7)]
+
+
+def repeats_in_one_process(rows):
+    """The steps of remove_repeats without Spark: bytes removed by document, and the rows that met in _index."""
+    def ordered(batches, by):
+        rows = pa.Table.from_batches(list(batches)).sort_by([(x, "ascending") for x in by])
+        return rows, rows.to_batches(max_chunksize=300)
+
+    text = dict(rows)
+    given = pa.record_batch([pa.array(list(text)), pa.array(list(text.values()))], names=["doc", "text"])
+    _, parts = ordered(repeats._segments([given]), ["again", "anchor", "mark", "place"])
+    sifted = [r for b in repeats._sift(iter(parts)) for r in b.to_pylist()]
+    heavy = [r["anchor"] for r in sifted if r["doc"] is None]
+    assert len(heavy) == len(set(heavy))
+    want = {}
+    for r in sifted:
+        if r["anchor"] is not None and r["doc"] is not None:
+            want.setdefault(r["doc"], []).append({"anchor": r["anchor"], "span": r["span"], "heavy": r["anchor"] in heavy})
+    ids = sorted(want, key=lambda i: zlib.crc32(str(i).encode()))
+    kind = pa.list_(pa.struct([("anchor", pa.int64()), ("span", pa.int64()), ("heavy", pa.bool_())]))
+    wanted = pa.record_batch([pa.array(ids), pa.array([text[i] for i in ids]), pa.array([want[i] for i in ids], kind)], names=["doc", "text", "want"])
+    met, pieces = ordered(repeats._cut([wanted]), ["kind", "anchor", "doc", "span"])
+    gone = {i: bytearray(len(t)) for i, t in rows}
+    marks = [r for b in repeats._index(iter(pieces)) for r in b.to_pylist()] + [r for r in sifted if r["anchor"] is None]
+    for r in marks:
+        start, length = r["span"] >> 8, r["span"] & 255
+        gone[r["doc"]][start : start + length] = b"\1" * length
+    return {i: sum(x) for i, x in gone.items()}, heavy, met
+
+
+def test_repeats_index_stays_bounded(monkeypatch):
+    rows, sizes, run = common_line(400), [], repeats.run_index
+    monkeypatch.setattr(repeats, "INDEX_BYTES", 20_000)
+    monkeypatch.setattr(repeats, "LOT_BYTES", 9_000)
+    monkeypatch.setattr(repeats, "run_index", lambda text, stop: sizes.append(len(text)) or run(text, stop))
+    got, heavy, _ = repeats_in_one_process(rows)
+    assert heavy and max(sizes) <= 20_000
+    assert sorted(map(str, got.items())) == sorted(str((int(r[0]), r[2])) for r in brute_repeats(rows)) and sum(got.values())
+
+
+def test_repeats_of_a_common_line(spark):
+    rows = common_line(16_000)  # the line's segments exceed one index
+    got = repeats.remove_repeats(table(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_repeats(rows)
+
+
 def test_run_index():
     text = np.frombuffer((b"x" * 20 + b"ab" * 90) * 2 + b"tail", np.uint8)
     index = repeats.run_index(text, np.full(len(text), len(text)))

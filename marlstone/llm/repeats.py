@@ -1,4 +1,4 @@
-"""Suffix-array dedup: long verbatim repeats through run-length indexes of anchored segments.
+"""Suffix-array dedup: long verbatim repeats through fingerprints and suffix sorts of anchored segments.
 
 A repeat is a 100-byte string that also starts earlier in the corpus. To spread
 one index over a cluster, the text is cut by content:
@@ -12,10 +12,10 @@ one index over a cluster, the text is cut by content:
    In this stream, later occurrences of one segment are repeats as a whole;
    anchors with a single segment are done. The stream needs no group in memory.
 3. First occurrences of different segments with one anchor are where repeats begin
-   and end. Their bytes are fetched and indexed anchor by anchor: a suffix array of
-   depth 100, its Burrows-Wheeler transform as runs, and samples at run ends.
-   Ties are in text order, so a suffix whose predecessor agrees for 100 bytes has
-   an earlier occurrence; these matching statistics are read from the runs.
+   and end. Their bytes are fetched and sorted anchor by anchor: a suffix array of
+   depth 100. Ties are in text order, so a suffix whose predecessor agrees for 100
+   bytes has an earlier occurrence. The transform's runs are kept with the order,
+   but the marks need the order and the classes of equal 100 bytes only.
    An anchor whose segments exceed one index (a short line that stands in very many
    surroundings) isn't indexed: each of its windows is dealt out by a hash of all its
    100 bytes, equal ones of one lot of texts together, and all but the first are repeats.
@@ -212,8 +212,8 @@ def run_index(text: np.ndarray, stop: np.ndarray) -> RunIndex:
 def repeated_starts(index: RunIndex) -> np.ndarray:
     """Positions whose LENGTH bytes also start earlier in the indexed text.
 
-    A class's rows are in text order, so its earliest position is the sample at the
-    head of its first run; every other row of the class has a match of full length.
+    A class's rows are in text order, so its earliest position is its first row;
+    every other row has an earlier match of full length. Marks come from the full order.
     """
     opens = np.ones(len(index.starts), bool)
     opens[1:] = index.group[1:] != index.group[:-1]

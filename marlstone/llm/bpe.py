@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,6 +124,33 @@ def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array(cuts, pa.list_(pa.int64()))], names=["row", "cuts"])
 
 
+def _decode(vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_id = vocabulary.value.load()[1]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                ids = part.column(1).flatten().to_pylist() if part.column(1).null_count else part.column(1).flatten().to_numpy().tolist()
+                ends = np.cumsum([n.as_py() or 0 for n in pc.list_value_length(part.column(1))]).tolist()
+                decoded = [b"".join([by_id[i] for i in ids[a:z]]) for a, z in zip([0, *ends], ends)]
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
+
+    return run
+
+
+def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The bytes that each row's ids stand for; one row per row of (doc_id, ids).
+
+    Bytes and not text: ids can end inside a character. Null ids count as none.
+    Other columns are ignored.
+
+    Returns doc_id, ids, decoded (binary).
+    """
+    vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary(path, pattern))
+    rows = only(encoded, "doc_id", "ids")
+    return rows.mapInArrow(_decode(vocabulary), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
+
+
 OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

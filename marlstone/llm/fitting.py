@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.frames import crc_fold, only
+from marlstone.llm.frames import crc_fold, only, settle
 
 FOLDS = 5  # rows whose crc32(doc_id as text) modulo FOLDS is 0 are held out of every fit
 
@@ -18,18 +18,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """((text, label, lang) of up to ``per_class`` rows of each label, share of label 1).
 
     The rows are those with the least hash of doc_id among labelled rows that
-    aren't held out and whose text has at most ``max_bytes`` bytes; the share
+    aren't held out and whose text is there and has at most ``max_bytes`` bytes; the share
     counts all labelled rows that aren't held out. A row whose label is null or
     whose text is null isn't used. lang is null where docs has none.
     """
     ok = only(labels, "doc_id", label).withColumnRenamed(label, "y").filter(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     n, ones = ok.agg(F.count(F.lit(1)), F.sum("y")).first()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = ok.filter("y = 1").orderBy(*order).limit(2 * per_class).union(ok.filter("y = 0").orderBy(*order).limit(2 * per_class)).distinct()
     columns = ["doc_id", "text"] + ["lang"] * ("lang" in docs.columns)
     texts = only(docs, *columns).filter(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
     if "lang" not in columns:
         texts = texts.withColumn("lang", F.lit(None).cast("string"))
+    # ids are bounded only after those without a fitting text are gone
+    usable = settle(ok.join(texts.select("doc_id"), "doc_id", "left_semi").distinct(), "usable")
+    ids = usable.filter("y = 1").orderBy(*order).limit(per_class).union(usable.filter("y = 0").orderBy(*order).limit(per_class))
     met = texts.join(F.broadcast(ids), "doc_id")
     out = []
     for y in (0, 1):

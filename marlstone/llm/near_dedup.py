@@ -176,10 +176,15 @@ def _classified(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates; all columns stay."""
-    stay = _classified(docs).filter("kept").select(id_key("doc_id").alias("__id"), F.col("check").alias("__check"))
+    """``docs`` with one document of each group of near duplicates; all columns stay.
+
+    Rows without words are linked with nothing: all of them stay, repeated or not.
+    """
+    stay = _classified(docs).filter("kept").groupBy(id_key("doc_id").alias("__id"), F.col("check").alias("__check")).agg(F.max("n_shingles").alias("__n"))
     mine = docs.withColumn("__id", id_key("doc_id")).withColumn("__check", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return first_of_repeats(mine.join(stay, ["__id", "__check"], "left_semi"), ["__id", "__check"])
+    lone = F.when(F.col("__n") == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    met = mine.join(stay, ["__id", "__check"]).withColumn("__lone", lone).drop("__n")
+    return first_of_repeats(met, ["__id", "__check", "__lone"])
 
 
 def _link(texts: DataFrame, leaf: DataFrame, classes: DataFrame) -> DataFrame:

@@ -18,16 +18,26 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     Columns are found by exact name and position, so further columns that differ
     only in case, or repeat a name, do no harm (the first exact match counts).
     """
-    at = [df.columns.index(n) for n in names]
-    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return plain.select([F.col(f"c{i}").alias(n) for i, n in zip(at, names)])
+    plain, at = stowed(df, *names)
+    return plain.select([F.col(c).alias(n) for c, n in zip(at, names)])
+
+
+def stowed(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns renamed c0, c1 and so on, and the new names of ``names``.
+
+    So helper columns can't clash with given ones, whatever these are called (two
+    that differ in case only, say). ``toDF(*df.columns)`` gives the names back.
+    """
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{df.columns.index(n)}" for n in names]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset and all is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _fallback:
         _fallback.append(tempfile.mkdtemp(prefix="marlstone-"))
     return _fallback[0]

@@ -4,8 +4,9 @@
    into bins and a bin keeps its least hash. Empty bins copy the bin that their
    own fixed random sequence of bins reaches first (optimal densification).
 2. Documents with the same shingle set form a class; only one of a class goes on.
-3. Bands of bins give buckets. In a bucket the first member is the centre of a
-   star: one candidate edge for each other member, never all pairs.
+3. Bands of bins give buckets. In a bucket the member that meets most others in all
+   its buckets is the centre of a star: one candidate edge for each other member,
+   never all pairs. A group of copies of one text has that text as its centre.
 4. Edges are confirmed on the full shingle sets and components are formed.
 5. A bucket whose members already share one component is done. The members of all
    other buckets are searched exactly, across components only: shingles are put in
@@ -21,16 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import connected_components
-from marlstone.llm.frames import first_of_repeats, id_key, only, settle
+from marlstone.llm.frames import first_of_repeats, id_key, only, settle, stowed
 from marlstone.llm.words import NOT_SPACE, U, mix, shingles, text_buffer, text_groups, words
 
 SHINGLE, BANDS, ROWS = 5, 48, 5
 BINS = BANDS * ROWS
 PERCENT = 75
+CELLS = 1 << 18  # of the table that tells frequent shingles from rare ones
 _probe = np.stack([np.random.Generator(np.random.PCG64([11, i])).permutation(BINS) for i in range(BINS)])
 _BAND = np.random.Generator(np.random.PCG64(5)).integers(1, 2**62, (BANDS, ROWS), dtype=np.uint64) * U(2) + U(1)
 
@@ -106,14 +108,38 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(0)[i:j], pa.array([s.tobytes() for s in shingle_sets(w.number, w.first)], pa.binary())], names=["node", "shingles"])
 
 
-def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, shingle, set size) from (node, shingles)."""
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a batch's sets have a shingle in each of the CELLS cells."""
     for batch in batches:
-        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-        size = np.array([len(x) for x in sets], np.int32)
-        if size.sum():
-            node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size)
-            yield pa.record_batch([pa.array(node), pa.array(np.concatenate(sets)), pa.array(np.repeat(size, size))], names=["node", "shingle", "n"])
+        if batch.num_rows:
+            many = np.bincount(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]) % U(CELLS))
+            cell = np.flatnonzero(many)
+            yield pa.record_batch([pa.array(cell.astype(np.int32)), pa.array(many[cell])], names=["cell", "many"])
+
+
+def _prefixes(weight):
+    """(node, label, shingles) to the first shingles of each set in order of rarity.
+
+    ``back`` is how many shingles of the set follow. Shingles further back than
+    those given can't be the first one shared with a similar set.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                firsts = []
+                for x in part.column(2):
+                    s = np.frombuffer(x.as_buffer(), np.uint64)
+                    s = s[np.lexsort((s, weight.value[s % U(CELLS)]))]
+                    firsts.append(s[: len(s) + PERCENT * len(s) // -100 + 1])
+                many = [len(s) for s in firsts]
+                size = np.array([len(x.as_buffer()) // 8 for x in part.column(2)])
+                back = np.concatenate([np.arange(n - 1, n - 1 - m, -1) for n, m in zip(size.tolist(), many)])
+                columns = [np.repeat(c, many) for c in (part.column(0).to_numpy(), part.column(1).to_numpy(), size)]
+                yield pa.record_batch([pa.array(c) for c in (*columns, np.concatenate(firsts).view(np.int64), back)], names=["node", "label", "n", "shingle", "back"])
+
+    return run
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,15 +202,20 @@ def _classified(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates; all columns stay.
+    """``docs`` with one document of each group of near duplicates; all columns stay, whatever their names.
 
-    Rows without words are linked with nothing: all of them stay, repeated or not.
+    The one is the row that ``near_dedup`` keeps: the smallest doc_id of the
+    component (a row with a null doc_id only if there is no other). Rows without
+    words (null, empty or blank texts) are linked with nothing: all of them stay,
+    repeated or not. Of rows that repeat a doc_id and its text one stays. Empty
+    table: empty result. Very long texts are compared whole.
     """
-    stay = _classified(docs).filter("kept").groupBy(id_key("doc_id").alias("__id"), F.col("check").alias("__check")).agg(F.max("n_shingles").alias("__n"))
-    mine = docs.withColumn("__id", id_key("doc_id")).withColumn("__check", F.xxhash64(F.coalesce("text", F.lit(""))))
-    lone = F.when(F.col("__n") == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))
-    met = mine.join(stay, ["__id", "__check"]).withColumn("__lone", lone).drop("__n")
-    return first_of_repeats(met, ["__id", "__check", "__lone"])
+    plain, (doc_id, text) = stowed(docs, "doc_id", "text")
+    stay = _classified(docs).filter("kept").groupBy(id_key("doc_id").alias("id"), "check").agg(F.max("n_shingles").alias("n"))
+    mine = plain.withColumn("id", id_key(doc_id)).withColumn("check", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    lone = F.when(F.col("n") == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    met = mine.join(stay, ["id", "check"]).withColumn("lone", lone).drop("n")
+    return first_of_repeats(met, ["id", "check", "lone"]).select(plain.columns).toDF(*docs.columns)
 
 
 def _link(texts: DataFrame, leaf: DataFrame, classes: DataFrame) -> DataFrame:
@@ -192,8 +223,12 @@ def _link(texts: DataFrame, leaf: DataFrame, classes: DataFrame) -> DataFrame:
     firsts = classes.select("node")
     bands = leaf.select(F.col("row").alias("node"), "bands").join(firsts, "node", "left_semi").mapInArrow(_explode, "bucket long, node long")
     bands = settle(bands, "bands")
-    centres = bands.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
-    members = settle(bands.join(centres, "bucket"), "members")
+    shared = bands.join(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "bucket")
+    # the member that meets most others makes the best centre: in a group of copies that is the text they come from
+    pull = shared.groupBy("node").agg(F.sum("members").alias("pull"))
+    shared = settle(shared.select("bucket", "node").join(pull, "node"), "shared")
+    centres = shared.groupBy("bucket").agg(F.max(F.struct("pull", "node"))["node"].alias("centre"))
+    members = settle(shared.select("bucket", "node").join(centres, "bucket"), "members")
     # full sets of the documents that have candidates at all; repeated rows have the same set
     some = leaf.select(F.col("row").alias("node"), id_key("doc_id").alias("id"), "check").join(members.select("node").distinct(), "node", "left_semi")
     met = texts.withColumn("id", id_key("doc_id")).join(some, ["id", "check"]).select("node", "text")
@@ -214,24 +249,23 @@ def _link(texts: DataFrame, leaf: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _crossing(rest: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): pairs of different labels that the prefix and position filters can't rule out."""
-    shingle = sets.join(rest.select("node"), "node", "left_semi").mapInArrow(_singles, "node long, shingle long, n int")
-    shingle = settle(shingle, "singles")
-    often = shingle.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    # shingles of one set only come first in any order of rarity, so they only shift the positions of the others
-    shared = shingle.join(often, "shingle")
-    least = lambda n: F.ceil(n * PERCENT / 100)
-    places = Window.partitionBy("node").orderBy("often", "shingle")
-    shared = shared.withColumn("back", F.count(F.lit(1)).over(Window.partitionBy("node")) - F.row_number().over(places))
-    prefix = shared.filter(F.col("back") + 1 >= least(F.col("n"))).join(rest, "node")  # back: how many shared shingles follow
+    mine = settle(rest.join(sets, "node").select("node", "label", "shingles"), "mixed")
+    # any order that is the same for all sets will do: counts by cell tell the frequent shingles from the rare, in a table of fixed size
+    counts = mine.mapInArrow(_cells, "cell int, many long").groupBy("cell").agg(F.sum("many").alias("many")).toArrow()
+    weight = np.zeros(CELLS, np.int64)
+    weight[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
+    weight = mine.sparkSession.sparkContext.broadcast(weight)
+    prefix = settle(mine.mapInArrow(_prefixes(weight), "node long, label long, n long, shingle long, back long"), "prefixes")
     sizes = rest.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"))
-    prefix = settle(prefix.join(sizes, "label").select("node", "label", "nodes", "shingle", "n", "back"), "prefixes")
-    mixed = prefix.groupBy("shingle").agg(F.max_by("label", "nodes").alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("shingle", "main")
-    x = prefix.join(mixed, "shingle").filter("label <> main").select("shingle", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("back").alias("bx"))
-    y = prefix.select("shingle", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("back").alias("by"))
+    sized = prefix.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("here")).join(sizes, "label")
+    mixed = sized.groupBy("shingle").agg(F.max_by("label", F.struct("nodes", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("shingle", "main")
+    met = settle(prefix.join(mixed, "shingle"), "met")
+    x = met.filter("label <> main").select("shingle", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("back").alias("bx"))
+    y = met.select("shingle", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("back").alias("by"))
     # 100 * i >= PERCENT * (nx + ny - i) needs this intersection; no more than the rest of both can follow the first one shared
     need = F.ceil((F.col("nx") + F.col("ny")) * PERCENT / (100 + PERCENT) - 1e-9)
-    met = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("lx") != F.col("ly")) & (F.least("bx", "by") + 1 >= need))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    near = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("lx") != F.col("ly")) & (F.least("bx", "by") + 1 >= need))
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:

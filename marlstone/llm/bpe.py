@@ -1,13 +1,17 @@
 """Byte-level BPE: overlapping chunks, stitched where pre-token boundaries agree.
 
-A text of up to CHUNK characters is encoded at once. A longer one is cut into
+A text of up to CHUNK characters is one chunk. A longer one is cut into
 overlapping chunks that are pre-tokenised in parallel. Chunk 0 starts at a true
 boundary; chunk k is trusted from the first boundary it shares with a trusted
 chunk k-1 inside their overlap, since from there both go on alike. Cuts are made
 only after a character that isn't white space, where neither side's matches can
-look across. If two chunks share no boundary (one endless word, say), they and
-what follows stay one piece, so the result is always that of the whole text.
-The pieces are then encoded in parallel and their ids concatenated.
+look across. If two chunks share no boundary (one endless word, say), their texts
+stay one piece, and trust comes back at the next shared boundary that is sure:
+the end of a non-space before white space, which no match of the pattern crosses
+wherever matching began (white space only begins a match). So the result is
+always that of the whole text. The pieces are then encoded in parallel and their
+ids concatenated. A piece may still be one match of megabytes: it is split into
+its matches here, and each is merged without the library's own splitting.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from marlstone.llm.frames import only, settle
 
 CHUNK, OVERLAP = 32_768, 1_024
 GROUP = 32  # chunks or pieces of one text in a batch
+NEAREST = 64  # boundaries kept on each side of a cut
+SPLIT = 1 << 16  # longer pieces are split into matches before they reach the library
 
 _encodings: dict[str, tuple] = {}
 
@@ -40,7 +46,7 @@ class Vocabulary:
         self.key = hashlib.sha256(self.raw + pattern.encode()).hexdigest()
 
     def load(self):
-        """(encode, token bytes by id, decimal strings by id, compiled pattern), once for each worker."""
+        """(encode a text, token bytes by id, decimal strings by id, compiled pattern), once for each worker."""
         if self.key not in _encodings:
             import regex
             import tiktoken
@@ -50,19 +56,27 @@ class Vocabulary:
             by_id = [b""] * (max(ranks.values()) + 1)
             for t, r in ranks.items():
                 by_id[r] = t
-            _encodings[self.key] = coder.encode_ordinary, by_id, [str(i) for i in range(len(by_id))], regex.compile(self.pattern)
+            pattern = regex.compile(self.pattern)
+            one = tiktoken.Encoding("one", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+            def encode(text: str) -> list[int]:
+                if len(text) <= SPLIT:
+                    return coder.encode_ordinary(text)
+                return [i for m in pattern.finditer(text) for i in one(m.group())]
+
+            _encodings[self.key] = encode, by_id, [str(i) for i in range(len(by_id))], pattern
         return _encodings[self.key]
 
 
 def boundaries(pattern, chunk: str, begin: int, around: list[int], overlap: int, closed: bool) -> list[list[int]]:
-    """Pre-token ends of a chunk (in characters of the text) near the given cuts, after non-space only."""
+    """Pre-token ends of a chunk near the given cuts, after non-space only: twice the character of the text, plus 1 if sure."""
     near: list[list[int]] = [[] for _ in around]
     for match in pattern.finditer(chunk):
         end = match.end()
         for k, cut in enumerate(around):
             if abs(begin + end - cut) <= overlap and not chunk[end - 1].isspace() and (closed or end < len(chunk)):
-                near[k].append(begin + end)
-    return near
+                near[k].append(2 * (begin + end) + (end < len(chunk) and chunk[end].isspace()))
+    return [sorted(sorted(ends, key=lambda e: abs(e - 2 * cut))[: 2 * NEAREST]) for ends, cut in zip(near, around)]
 
 
 def _chunks(size: int, overlap: int):
@@ -109,12 +123,12 @@ def _pretokenise(vocabulary, chunk_size: int, overlap: int):
 
 def stitch(ends: list[tuple[list[int], list[int]]]) -> list[int]:
     """The cuts between chunks, given each chunk's boundaries near its left and right ends."""
-    cuts = []
+    cuts, trusted = [], True
     for (_, right), (left, _) in zip(ends, ends[1:]):
-        shared = sorted(set(right) & set(left))
-        if not shared:
-            break
-        cuts.append(shared[len(shared) // 2])
+        shared = sorted(e for e in set(right) & set(left) if trusted or e & 1)
+        trusted = bool(shared)
+        if trusted:
+            cuts.append(shared[len(shared) // 2] >> 1)
     return cuts
 
 

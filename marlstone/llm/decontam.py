@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.frames import only
+from marlstone.llm.frames import only, stowed
 from marlstone.llm.words import ALNUM, U, text_buffer, text_groups, words
 
 WINDOW = 10
@@ -271,17 +271,23 @@ def _join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents in which any benchmark window occurs; no shuffle."""
+    """``docs`` without the documents in which any benchmark window occurs; all columns stay, whatever their names; no shuffle.
+
+    Null and empty texts have no words and stay. Rows that repeat stay or go
+    together; null doc_ids are rows like any other. Empty table: empty result; an
+    empty benchmark, or one without words, removes nothing. Long texts are searched whole.
+    """
+    plain, place = stowed(docs)[0], docs.columns.index("text")
     for block in blocks_of(benchmark):
-        find = _scan([block], docs.columns.index("text"))
+        find = _scan([block], place)
 
         def run(batches: Iterator[pa.RecordBatch], find=find) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i, j, _, hit, _, _ in find(batch):
+                for i, j, _, hit, *_ in find(batch):
                     yield batch.slice(i, j - i).filter(pa.array(hit == 0))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        plain = plain.mapInArrow(run, plain.schema)
+    return plain.toDF(*docs.columns)
 
 
 SQL = r"""

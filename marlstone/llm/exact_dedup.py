@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.frames import first_of_repeats, id_key, lower_az, only, settle
+from marlstone.llm.frames import first_of_repeats, id_key, lower_az, only, settle, stowed
 
 KEY = ["digest", "n_bytes", "check"]
 
@@ -78,11 +78,17 @@ def exact_dedup(docs: DataFrame, keep: str = "min", fan_in: int = 16) -> DataFra
     )
 
 
-def drop_copies(docs: DataFrame, keep: str = "min", fan_in: int = 16) -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` would drop; all columns stay."""
-    stay = exact_dedup(docs, keep, fan_in).filter("kept").select(id_key("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    mine = docs.withColumn("__id", id_key("doc_id")).withColumn("__sha", F.sha2(lower_az(F.coalesce("text", F.lit(""))), 256))
-    return first_of_repeats(mine.join(stay, ["__id", "__sha"], "left_semi"), ["__id", "__sha"])
+def drop_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
+    """``docs`` without the rows that ``exact_dedup`` would drop; all columns stay, whatever their names.
+
+    Null and empty texts are equal, so one of them stays. A null doc_id stays only
+    where its text has no other; of rows that repeat a doc_id and its text one
+    stays. Empty table: empty result. Very long texts are compared whole.
+    """
+    plain, (doc_id, text) = stowed(docs, "doc_id", "text")
+    stay = exact_dedup(docs, keep).filter("kept").select(id_key("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    mine = plain.withColumn("id", id_key(doc_id)).withColumn("sha", F.sha2(lower_az(F.coalesce(F.col(text), F.lit(""))), 256))
+    return first_of_repeats(mine.join(stay, ["id", "sha"], "left_semi"), ["id", "sha"]).select(plain.columns).toDF(*docs.columns)
 
 
 SQL = """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.frames import crc_fold, only, settle
@@ -17,24 +17,25 @@ def held_out(doc_id):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int) -> tuple[list[tuple[str, int, str | None]], float]:
     """((text, label, lang) of up to ``per_class`` rows of each label, share of label 1).
 
-    The rows are those with the least hash of doc_id among labelled rows that
-    aren't held out and whose text is there and has at most ``max_bytes`` bytes; the share
-    counts all labelled rows that aren't held out. A row whose label is null or
-    whose text is null isn't used. lang is null where docs has none.
+    The rows are the first in order of a hash of doc_id among labelled rows that
+    aren't held out, and as many as have ``max_bytes`` bytes together (one at least,
+    whatever its size); they are taken whole, long or short. The share counts all
+    labelled rows that aren't held out. A row whose label is null or no 0 or 1, or
+    whose text is null, isn't used. A label row that repeats counts once; an id with
+    both labels gives a row for each. lang is null where docs has none.
     """
     ok = only(labels, "doc_id", label).withColumnRenamed(label, "y").filter(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     n, ones = ok.agg(F.count(F.lit(1)), F.sum("y")).first()
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    columns = ["doc_id", "text"] + ["lang"] * ("lang" in docs.columns)
-    texts = only(docs, *columns).filter(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    if "lang" not in columns:
+    texts = only(docs, "doc_id", "text", *["lang"] * ("lang" in docs.columns)).filter("text is not null").withColumn("which", F.xxhash64("text"))
+    if "lang" not in docs.columns:
         texts = texts.withColumn("lang", F.lit(None).cast("string"))
-    # ids are bounded only after those without a fitting text are gone
-    usable = settle(ok.join(texts.select("doc_id"), "doc_id", "left_semi").distinct(), "usable")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("which")]
+    # only rows with a text count towards the bounds
+    usable = texts.select("doc_id", "which", F.octet_length("text").cast("long").alias("size")).join(ok.distinct(), "doc_id")
+    usable = settle(usable.distinct(), "usable")
     ids = usable.filter("y = 1").orderBy(*order).limit(per_class).union(usable.filter("y = 0").orderBy(*order).limit(per_class))
-    met = texts.join(F.broadcast(ids), "doc_id")
-    out = []
-    for y in (0, 1):
-        rows = met.filter(F.col("y") == y).orderBy(*order, "text").limit(per_class).select("text", "y", "lang").toArrow()
-        out += list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2).to_pylist()))
-    return out, (ones or 0) / n if n else 0.5
+    before = F.sum("size").over(Window.partitionBy("y").orderBy(*order)) - F.col("size")
+    ids = ids.withColumn("before", before).filter(F.col("before") < max_bytes).select("doc_id", "which", "y")
+    met = texts.join(F.broadcast(ids), ["doc_id", "which"]).dropDuplicates(["doc_id", "which", "y"])
+    got = met.orderBy("y", *order).select("text", "y", "lang").toArrow()
+    return list(zip(*(got.column(i).to_pylist() for i in range(3)))), (ones or 0) / n if n else 0.5

@@ -6,7 +6,9 @@ the product of its words' likelihoods, and a word's is the sum over all ways to
 cut it into pieces, by the forward algorithm. Each language has its own piece
 probabilities, estimated by expectation-maximisation over segmentations (the
 forward and backward sums give the expected counts). A character that is no piece
-is an unknown piece. Words longer than STRETCH characters are summed in stretches.
+is an unknown piece. Sums over long words are rescaled every STRETCH characters, so words of
+any length are summed over all their segmentations; only the fit's expected counts take long
+words in stretches.
 
 Inside a task the distinct words of a few megabytes of text are scored together,
 one position of all words at a time.
@@ -20,7 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.fitting import held_out
@@ -29,7 +31,7 @@ from marlstone.llm.words import U, mix, powers, text_groups
 
 MARK = "▁"
 STRETCH = 48
-PER_LANGUAGE, SAMPLE_BYTES = 400, 20_000  # the fit takes so many texts of each language, none longer
+PER_LANGUAGE, SAMPLE_BYTES = 400, 2 << 20  # the fit takes so many texts of each language, and so many bytes of them
 ROUNDS = 2
 SMOOTH = 0.5
 SCALE = np.e**7  # of a character, against underflow
@@ -116,9 +118,9 @@ class Spelled(NamedTuple):
 
 
 class DistinctWords:
-    """The distinct words of some texts, as stretches of code points with a mark in front."""
+    """The distinct words of some texts as code points with a mark in front; longer than ``stretch`` they are cut if that is given."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], stretch: int | None = None):
         lowered = [t.lower() for t in texts]
         joined = _codes("\n".join(lowered))
         sizes = np.array([len(t) for t in lowered], dtype=np.int64)
@@ -130,11 +132,11 @@ class DistinctWords:
         start = np.flatnonzero(blank[:-2] & ~blank[1:-1])
         end = np.flatnonzero(~blank[1:-1] & blank[2:]) + 1
         whole = np.ones(len(start), bool)
-        if len(start) and (end - start).max() >= STRETCH:  # cut long words
-            many = -(-(end - start) // STRETCH)
+        if stretch and len(start) and (end - start).max() >= stretch:
+            many = -(-(end - start) // stretch)
             nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            start, limit = np.repeat(start, many) + nth * STRETCH, np.repeat(end, many)
-            end, whole = np.minimum(start + STRETCH, limit), nth == 0
+            start, limit = np.repeat(start, many) + nth * stretch, np.repeat(end, many)
+            end, whole = np.minimum(start + stretch, limit), nth == 0
         total, (_, down) = _totals(joined), powers(n + 1)
         number = mix((total[end] - total[start]) * down[start] + whole.astype(np.uint64) + (end - start).astype(np.uint64) * U(2))
         self.number, sample, self.which = np.unique(number, return_index=True, return_inverse=True)
@@ -196,8 +198,31 @@ def word_scores(words: Spelled, pieces: Pieces, probability: np.ndarray) -> np.n
     head = words.base + np.arange(len(words.base))
     cells[head] = 1
     scaled = probability * (SCALE ** pieces.sizes)[:, None]
-    _sweep(cells, plan.source, plan.target, scaled.take(plan.piece, axis=0), _key(plan.begin + plan.size, plan.size))
-    return np.log(cells[head + words.length]) - (words.length * np.log(SCALE))[:, None]
+    outside = words.length[:, None] * np.full(langs, -np.log(SCALE))  # what is divided out of the cells
+    reach = plan.begin + plan.size
+    phase = (reach - 1) // STRETCH  # a piece is no longer than STRETCH, so it begins in this phase or the one before
+    order = np.argsort(phase, kind="stable")
+    cuts = np.searchsorted(phase[order], np.arange(int(phase.max(initial=0)) + 2))
+    for k, (a, z) in enumerate(zip(cuts, cuts[1:])):
+        some = order[a:z] if len(cuts) > 2 else slice(None)
+        _sweep(cells, plan.source[some], plan.target[some], scaled.take(plan.piece[some], axis=0), _key(reach[some] - k * STRETCH, plan.size[some]))
+        longer = np.flatnonzero(words.length > (k + 1) * STRETCH)
+        if len(longer):
+            mine = head[longer][:, None] + np.arange(k * STRETCH + 1, (k + 1) * STRETCH + 1)
+            top = cells[mine].max(axis=1)
+            cells[mine] /= top[:, None]
+            outside[longer] += np.log(top)
+    return np.log(cells[head + words.length]) + outside
+
+
+def text_scores(words: DistinctWords, score, langs: int) -> np.ndarray:
+    """Log-likelihood of each text under each language; a text's sum is its own, whatever stands beside it."""
+    each = score(words)[words.which]
+    out = np.zeros((len(words.first) - 1, langs))
+    for k, (a, z) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
+        if a < z:
+            out[k] = each[a:z].sum(axis=0)
+    return out
 
 
 class ScoreMemory:
@@ -251,7 +276,7 @@ def fit(samples: dict[str, list[str]], pieces: Pieces, rounds: int = ROUNDS) ->
     """Piece probabilities, one column for each language in sorted order; the last row is the unknown piece."""
     out = []
     for lang in sorted(samples):
-        distinct = DistinctWords(samples[lang])
+        distinct = DistinctWords(samples[lang], STRETCH - 1)
         p = np.full(pieces.count + 1, 1 / (pieces.count + 1))
         if len(distinct.number):
             words, counts = distinct.spell(), np.bincount(distinct.which)
@@ -264,15 +289,17 @@ def fit(samples: dict[str, list[str]], pieces: Pieces, rounds: int = ROUNDS) ->
 
 
 def training_sample(docs: DataFrame, per_language: int, max_bytes: int) -> dict[str, list[str]]:
-    """Up to ``per_language`` texts of each language with at most ``max_bytes`` bytes, those with the least hash of doc_id."""
-    from pyspark.sql import Window
-
-    rows = only(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= max_bytes))
-    w = Window.partitionBy("lang").orderBy("__h", "doc_id")
-    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("__h")).withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= per_language)
-    met = rows.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
-    once = met.withColumn("__n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))).filter(F.col("__n") <= per_language)
-    got = once.select("lang", "text").toArrow()
+    """Up to ``per_language`` whole texts of each language, the first in order of a hash of doc_id.
+
+    No more are taken than have ``max_bytes`` bytes together (one at least, whatever its size).
+    """
+    rows = only(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.withColumn("which", F.xxhash64("text")).withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", "which")
+    ids = rows.select("key", "lang", "which", F.octet_length("text").cast("long").alias("size")).withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= per_language)
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy("nth")) - F.col("size")
+    ids = ids.withColumn("before", before).filter(F.col("before") < max_bytes).select("key", "lang", "which", "nth")
+    got = rows.select("key", "lang", "which", "text").join(F.broadcast(ids), ["key", "lang", "which"]).dropDuplicates(["lang", "nth"]).orderBy("lang", "nth").select("lang", "text").toArrow()
     out: dict[str, list[str]] = {}
     for lang, text in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
         out.setdefault(lang, []).append(text)
@@ -284,7 +311,7 @@ def identify(docs: DataFrame, vocabulary_path: str, per_language: int = PER_LANG
 
     Learns from text and non-null lang of rows that aren't held out (crc32 of
     doc_id as text, modulo 5, isn't 0), on a bounded sample (PER_LANGUAGE texts of
-    each language, of SAMPLE_BYTES at most). Null texts, texts without a letter,
+    each language, as many as have SAMPLE_BYTES bytes together). Null texts, texts without a letter,
     and all texts if nothing can be learned, are "und" with score 0. The score is
     the predicted language's posterior (uniform prior). Ties go to the first
     language in sorted order. Repeated rows are rows like any other; a null
@@ -311,10 +338,7 @@ def identify(docs: DataFrame, vocabulary_path: str, per_language: int = PER_LANG
                 predicted, score = ["und"] * (j - i), np.zeros(j - i)
                 if langs:
                     words = DistinctWords([t or "" for t in texts])
-                    each = memory.scores(words)
-                    total = np.zeros((len(words.which) + 1, len(langs)))
-                    np.cumsum(each[words.which], axis=0, out=total[1:])
-                    text = total[words.first[1:]] - total[words.first[:-1]]
+                    text = text_scores(words, memory.scores, len(langs))
                     best = text.argmax(axis=1)
                     score = 1 / np.exp(text - text.max(axis=1, keepdims=True)).sum(axis=1)
                     known = [t is not None for t in texts]

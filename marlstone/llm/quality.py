@@ -22,7 +22,7 @@ from marlstone.llm.frames import only
 from marlstone.llm.words import NOT_SPACE, U, text_buffer, text_groups, words
 
 BUCKETS, RANK = 1 << 15, 8
-PER_CLASS, SAMPLE_BYTES = 1500, 20_000
+PER_CLASS, SAMPLE_BYTES = 1500, 8 << 20  # the fit takes so many rows of each label, and so many bytes of them
 EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.02, 1e-4
 THRESHOLD = 0.3
 
@@ -153,8 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """Score every whole text; higher: label 1 likelier.
 
-    The fit takes up to ``per_class`` rows of each label (see ``labelled_sample``)
-    that aren't held out; with no labels, or one kind only, every score is the
+    The fit takes up to ``per_class`` rows and SAMPLE_BYTES bytes of each label
+    (see ``labelled_sample``) that aren't held out; label rows that repeat count
+    once, an id with both labels counts for both. With no labels, or one kind only, every score is the
     labels' share of ones. Null counts as the empty text, which has a score too.
     Repeated rows are rows like any other; a null doc_id counts as empty text in
     the fold. Empty table: empty result; other columns are ignored.

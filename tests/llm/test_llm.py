@@ -256,8 +256,37 @@ def test_forward_sum_is_over_all_segmentations():
     got = language.word_scores(d.spell(), pieces, p)
     for i, w in enumerate(words[:3]):
         assert np.allclose(got[d.which[i]], [np.log(every("▁" + w, k)) for k in range(2)])
-    long = language.DistinctWords([words[3]])
-    assert len(long.which) == 3  # cut into stretches
+    assert len(language.DistinctWords([words[3]], 47).which) == 3  # the fit takes stretches
+
+
+def test_words_of_any_length_are_summed_whole():
+    names = sorted(["▁", "a", "b", "ab", "▁a", "ba", "▁ab", "bab"])
+    p = np.random.default_rng(0).random((len(names) + 1, 2))
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abz") for _ in range(n)) for n in (1, 46, 47, 48, 49, 95, 96, 97, 700, 5000)]
+    d = language.DistinctWords([" ".join(words)])
+    got = language.word_scores(d.spell(), language.Pieces(names), p)
+    for i, w in enumerate(words):
+        w = "▁" + w
+        last, outside = [np.ones(2)], np.zeros(2)  # sums over the segmentations of the first k characters
+        for k in range(1, len(w) + 1):
+            now = np.zeros(2)
+            for n in range(1, min(k, 3) + 1):
+                piece = w[k - n : k]
+                if piece in names or n == 1:
+                    now = now + last[-n] * p[names.index(piece) if piece in names else len(names)]
+            last, outside = [x / now for x in [*last[-3:], now]], outside + np.log(now)
+        assert np.allclose(got[d.which[i]], np.log(last[-1]) + outside, rtol=1e-9), len(w)
+
+
+def test_language_scores_ignore_neighbours():
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 40))) for _ in range(30)]
+    names = sorted(["▁", "a", "b", "ab", "▁a"])
+    p = np.random.default_rng(1).random((len(names) + 1, 2))
+    score = lambda part: language.text_scores(language.DistinctWords(part), lambda d: language.word_scores(d.spell(), language.Pieces(names), p), 2)
+    together = score(texts)
+    assert all(np.array_equal(score([t])[0], together[i]) for i, t in enumerate(texts))
 
 
 # 6 byte-level BPE

@@ -1,4 +1,4 @@
-"""Suffix-array dedup: long verbatim repeats through fingerprints and suffix sorts of anchored segments.
+"""Suffix-array dedup by a run-length index: long verbatim repeats.
 
 A repeat is a 100-byte string that also starts earlier in the corpus. To spread
 one index over a cluster, the text is cut by content:
@@ -7,15 +7,18 @@ one index over a cluster, the text is cut by content:
    (leftmost if tied). Equal windows have equal anchors, so windows can only repeat
    inside an anchor's group. Neighbouring windows with the same anchor occurrence
    make one segment (184 bytes at most).
-2. Of equal segments in one batch of texts all but the first are repeats at once.
-   The others are dealt out by anchor and sorted by (anchor, fingerprint, position).
-   In this stream, later occurrences of one segment are repeats as a whole;
-   anchors with a single segment are done. The stream needs no group in memory.
-3. First occurrences of different segments with one anchor are where repeats begin
-   and end. Their bytes are fetched and sorted anchor by anchor: a suffix array of
-   depth 100. Ties are in text order, so a suffix whose predecessor agrees for 100
-   bytes has an earlier occurrence. The transform's runs are kept with the order,
-   but the marks need the order and the classes of equal 100 bytes only.
+2. Copies of a segment are set aside before and after the shuffle by a fingerprint
+   (64 bits besides the anchor's 64): all but the earliest are repeats as a whole,
+   so a passage that a third of all documents share is indexed once. Anchors with a
+   single segment are done.
+3. Different segments with one anchor are where repeats begin and end. Their bytes
+   are fetched and indexed, many anchors at a time: a run-compressed Burrows-Wheeler
+   transform with suffix positions sampled at both ends of runs. Segments are then
+   streamed through the index from their ends: each step follows the transform's
+   runs to the row of the next longer suffix and keeps the length that this suffix
+   shares with the row above, one more than before inside a run, compared byte by
+   byte at the samples where a run begins. Rows that share 100 bytes form a class,
+   in which all but the earliest position are repeats.
    An anchor whose segments exceed one index (a short line that stands in very many
    surroundings) isn't indexed: each of its windows is dealt out by a hash of all its
    100 bytes, equal ones of one lot of texts together, and all but the first are repeats.
@@ -39,9 +42,9 @@ from marlstone.llm.words import BYTE, U, mix, powers, text_buffer, text_groups
 
 LENGTH, GRAM = 100, 16
 SPAN = LENGTH - GRAM + 1     # 16-byte strings in a window
-START_BITS = 29              # texts of up to 512 MB; with the document's number a signed 64-bit place
-PLACE_BITS = START_BITS + 1  # place of a byte in the texts that are handled at once
-INDEX_BYTES = 1 << 21        # segment text in one index; a larger anchor group is dealt out by windows
+PLACE_BITS = 30              # place of a byte in the texts that are handled at once: a longer text is refused
+INDEX_BYTES = 2_000_000      # segment text in one index; a larger anchor group is dealt out by windows
+DEPTH = 189                  # suffixes are sorted whole, as no segment is longer
 LOT_BYTES = 1 << 19          # segment text of such groups whose windows are compared before the shuffle
 SEGMENT, WINDOW, KNOWN = 0, 1, 2  # what a row for _index is: a segment, a window of a heavy anchor, a repeat
 
@@ -51,6 +54,8 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     lo = int(offsets[0])
     b, edge = data[lo : int(offsets[-1])], offsets - lo
     n = len(b)
+    if n > 1 << PLACE_BITS:
+        raise ValueError("a text has over a gigabyte")
     if n < LENGTH:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64))
     up, down = powers(n + 1)
@@ -92,26 +97,22 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = batch.column(0).to_numpy(zero_copy_only=False)
         for i, j in text_groups(offsets):
             anchor, mark, text, start, length = segments(data, offsets[i : j + 1])
-            place = (order[i:j][text] << START_BITS) | start
+            doc = order[i:j][text]
             # of equal segments here all but the earliest are repeats already: they needn't meet their anchor's group
-            by = np.lexsort((place, mark, anchor))
+            by = np.lexsort((start, doc, mark, anchor))
             again = np.zeros(len(by), bool)
             again[by[1:]] = (anchor[by[1:]] == anchor[by[:-1]]) & (mark[by[1:]] == mark[by[:-1]])
             yield pa.record_batch(
-                [pa.array(again), pa.array(anchor), pa.array(mark), pa.array(place), pa.array(length.astype(np.int32))],
-                names=["again", "anchor", "mark", "place", "length"],
+                [pa.array(again), pa.array(anchor), pa.array(mark), pa.array(doc), pa.array((start << 8) | length)],
+                names=["again", "anchor", "mark", "doc", "span"],
             )
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From segments in order of (again, anchor, mark, place): repeats (anchor null) and firsts of mixed anchors.
+    """From segments in order of (again, anchor, mark, doc, span): repeats (anchor null) and firsts of mixed anchors.
 
     An anchor whose firsts have more than INDEX_BYTES together is named once more, with a null doc.
     """
-
-    def spans(place: np.ndarray, size: np.ndarray) -> list[pa.Array]:
-        return [pa.array(place >> START_BITS), pa.array(((place & ((1 << START_BITS) - 1)) << 8) | size)]
-
     names = ["anchor", "doc", "span"]
     last, told = None, True  # the latest first occurrence, and whether it has been passed on
     weight = 0               # bytes passed on for its anchor
@@ -119,15 +120,15 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         known = batch.column(0).to_numpy(zero_copy_only=False)
-        a, m, p, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
+        a, m, d, s = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
         if known.any():
-            yield pa.record_batch([pa.nulls(int(known.sum()), pa.int64()), *spans(p[known], n[known].astype(np.int64))], names=names)
-            a, m, p, n = a[~known], m[~known], p[~known], n[~known]
+            yield pa.record_batch([pa.nulls(int(known.sum()), pa.int64()), pa.array(d[known]), pa.array(s[known])], names=names)
+            a, m, d, s = a[~known], m[~known], d[~known], s[~known]
             if not len(a):
                 continue
         carried = last is not None
         if carried:
-            a, m, p, n = (np.concatenate(([x], y)) for x, y in zip(last, (a, m, p, n)))
+            a, m, d, s = (np.concatenate(([x], y)) for x, y in zip(last, (a, m, d, s)))
         same_a = np.concatenate(([False], a[1:] == a[:-1]))
         first = ~same_a | np.concatenate(([True], m[1:] != m[:-1]))
         again = ~first
@@ -142,7 +143,7 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opens = np.flatnonzero(~later)
         if not len(opens) or opens[0]:
             opens = np.concatenate(([0], opens))
-        total = np.add.reduceat(np.where(mixed, n[at], 0).astype(np.int64), opens)
+        total = np.add.reduceat(np.where(mixed, s[at] & 255, 0), opens)
         was, total[0] = weight, total[0] + (weight if carried else 0)
         over = total > INDEX_BYTES
         over[0] &= not (carried and was > INDEX_BYTES)
@@ -150,27 +151,26 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if over.any():
             named = pa.array(a[at[opens[over]]])
             yield pa.record_batch([named, pa.nulls(len(named), pa.int64()), pa.nulls(len(named), pa.int64())], names=names)
-        last = (a[at[-1]], m[at[-1]], p[at[-1]], n[at[-1]])
+        last = (a[at[-1]], m[at[-1]], d[at[-1]], s[at[-1]])
         told = bool(mixed[-1] or (len(at) == 1 and carried and told))
-        yield pa.record_batch([pa.array(a[out], mask=again[out]), *spans(p[out], n[out].astype(np.int64))], names=names)
+        yield pa.record_batch([pa.array(a[out], mask=again[out]), pa.array(d[out]), pa.array(s[out])], names=names)
 
 
 class RunIndex(NamedTuple):
-    """A run-compressed Burrows-Wheeler transform of depth LENGTH.
+    """A run-compressed Burrows-Wheeler transform of segments, each closed by an end of its own.
 
-    Runs are maximal stretches of the suffix order with one preceding byte and one
-    LENGTH-byte prefix. ``ends`` samples the suffix array at both ends of runs.
+    Row k < segments is the end of segment k; the suffixes follow in order, equal
+    ones in order of their segments. Nothing is kept by row, only by run.
     """
 
-    order: np.ndarray    # suffix positions in order, whole windows only
     starts: np.ndarray   # first row of each run
-    symbols: np.ndarray  # preceding byte + 1, 0 at a segment's begin
-    ends: np.ndarray     # (runs, 2) suffix positions at the run's first and last row
-    group: np.ndarray    # the run's prefix class
+    symbols: np.ndarray  # the run's preceding byte + 1, 0 before a segment's begin
+    ends: np.ndarray     # (runs, 2) suffix positions at the run's first and last row, sampled
+    rows: int
 
 
 def run_index(text: np.ndarray, stop: np.ndarray) -> RunIndex:
-    """``stop``: for each byte the end of its segment."""
+    """``stop``: for each byte the end of its segment. A segment has fewer than DEPTH bytes and isn't empty."""
     n = len(text)
     at = np.arange(n)
     symbol = text.astype(np.int64) + 1
@@ -184,42 +184,87 @@ def run_index(text: np.ndarray, stop: np.ndarray) -> RunIndex:
         return key
 
     key, depth = pack(symbol, 257, [1, 2, 3, 4, 5, 6]), 7
-    while depth < LENGTH:
+    while depth < DEPTH:
         order = np.argsort(key)
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([1], key[order][1:] != key[order][:-1])))
         base = int(rank.max()) + 1
         parts = 3 if base**3 < 2**63 else 2
-        reach = min(parts * depth, LENGTH)
-        if reach < parts * depth:
-            parts = 2 if reach <= 2 * depth else 3
-        steps = [min(k * depth, LENGTH - depth) for k in range(1, parts)]
-        key, depth = pack(rank, base, steps), reach
-    whole = np.flatnonzero(at + LENGTH <= stop)
-    order = whole[np.argsort(key[whole], kind="stable")]
-    ordered = key[order]
-    begins = np.concatenate(([True], stop[1:] != stop[:-1])) if n else np.zeros(0, bool)
+        key, depth = pack(rank, base, [k * depth for k in range(1, parts)]), parts * depth
+    last = np.flatnonzero(np.append(stop[1:] != stop[:-1], True))  # each segment's last byte
+    # an end is named by the position after its segment's last byte, which it shares with the next one's first
+    position = np.concatenate((last + 1, np.argsort(key, kind="stable")))
     before = np.concatenate(([0], symbol[:-1]))
-    before[begins] = 0
-    bwt = before[order]
-    changed = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    head = changed | np.concatenate(([True], bwt[1:] != bwt[:-1]))
-    starts = np.flatnonzero(head)
-    final = np.append(starts[1:], len(order)) - 1
-    return RunIndex(order, starts, bwt[starts], np.stack([order[starts], order[final]], axis=1), np.cumsum(changed)[starts])
-
-
-def repeated_starts(index: RunIndex) -> np.ndarray:
-    """Positions whose LENGTH bytes also start earlier in the indexed text.
-
-    A class's rows are in text order, so its earliest position is its first row;
-    every other row has an earlier match of full length. Marks come from the full order.
+    before[np.append(0, last[:-1] + 1)] = 0
+    bwt = np.concatenate((symbol[last], before[position[len(last) :]]))
+    starts = np.flatnonzero(np.append(True, bwt[1:] != bwt[:-1]))
+    final = np.append(starts[1:], len(bwt)) - 1
+    return RunIndex(starts, bwt[starts], np.stack([position[starts], position[final]], axis=1), len(bwt))
+
+
+def _shared(text: np.ndarray, x: np.ndarray, y: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """How many bytes the text shares at ``x`` and at ``y``, up to ``limit``."""
+    padded = np.concatenate((text, np.zeros(8, np.uint8)))
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view(np.uint64).ravel()
+    out = np.zeros(len(x), np.int64)
+    live = np.flatnonzero(limit > 0)
+    while len(live):
+        at = out[live]
+        differ = eight[x[live] + at] ^ eight[y[live] + at]
+        low = differ & (~differ + U(1))  # the lowest bit that differs is in the first byte that differs
+        same = np.where(differ == 0, 8, np.log2(np.maximum(low, U(1)).astype(float)).astype(np.int64) >> 3)
+        out[live] = np.minimum(at + same, limit[live])
+        live = live[(same == 8) & (out[live] < limit[live])]
+    return out
+
+
+def matching_statistics(index: RunIndex, text: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the row of its suffix and how many bytes it shares with the row above.
+
+    All segments are streamed at once, from their ends to their begins.
     """
-    opens = np.ones(len(index.starts), bool)
-    opens[1:] = index.group[1:] != index.group[:-1]
-    marked = np.ones(len(index.order), bool)
-    marked[index.starts[opens]] = False
-    return index.order[marked]
+    runs, symbols = len(index.starts), index.symbols
+    size = np.diff(np.append(index.starts, index.rows))
+    # a run's rows follow those of earlier runs of the same byte; below them come all smaller bytes and the ends
+    by = np.argsort(symbols, kind="stable")
+    total = np.bincount(symbols, weights=size, minlength=258).astype(np.int64)
+    below = np.cumsum(total) - total
+    ordered = np.cumsum(size[by]) - size[by]
+    head = np.empty(runs, np.int64)  # the row to which a run's first row leads
+    head[by] = ordered
+    # before[r]: the latest earlier run of the same byte; what it shares with this one is compared at the samples
+    before = np.full(runs, -1)
+    before[by[1:]] = np.where(symbols[by[1:]] == symbols[by[:-1]], by[:-1], -1)
+    opening = np.zeros(runs, np.int64)
+    met = np.flatnonzero((before >= 0) & (symbols > 0))
+    x, y = index.ends[met, 0] - 1, index.ends[before[met], 1] - 1
+    opening[met] = _shared(text, x, y, np.minimum(stop[x] - x, stop[y] - y))
+    row, shared = np.empty((2, len(text)), np.int64)
+    at = np.flatnonzero(np.append(stop[1:] != stop[:-1], True)) + 1  # one past the next byte, for each segment
+    begin = np.append(0, at[:-1])
+    now, length = np.arange(len(at)), np.zeros(len(at), np.int64)
+    while len(at):
+        run = np.searchsorted(index.starts, now, side="right") - 1
+        into = now - index.starts[run]
+        now, length = head[run] + into, np.where(into == 0, opening[run], length + 1)
+        at = at - 1
+        row[at], shared[at] = now, length
+        on = at > begin
+        if not on.all():
+            at, begin, now, length = at[on], begin[on], now[on], length[on]
+    return row, shared
+
+
+def repeated_starts(index: RunIndex, text: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Positions whose LENGTH bytes also start earlier in the indexed text, in order."""
+    row, shared = matching_statistics(index, text, stop)
+    fresh = np.ones(index.rows, bool)
+    fresh[row] = shared < LENGTH
+    position = np.flatnonzero(stop - np.arange(len(text)) >= LENGTH)
+    group = np.cumsum(fresh)[row[position]]
+    order = np.argsort(group, kind="stable")  # keeps the order of positions inside a class
+    again = np.append(False, group[order][1:] == group[order][:-1])
+    return np.sort(position[order[again]])
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +277,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = offsets - offsets[0]
         if not len(text):
             return
-        starts = np.sort(repeated_starts(run_index(text, np.repeat(edge[1:], np.diff(edge)))))
+        stop = np.repeat(edge[1:], np.diff(edge))
+        starts = repeated_starts(run_index(text, stop), text, stop)
         if not len(starts):
             return
         owner = np.searchsorted(edge, starts, side="right") - 1
@@ -302,12 +348,12 @@ def _windows(doc: np.ndarray, begin: np.ndarray, bodies: list[bytes]) -> pa.Reco
     at = (np.cumsum(size) - size)[owner] + nth
     value = mix((total[at + LENGTH] - total[at]) * down[at]).view(np.int64)
     start = begin[owner] + nth
-    place = (doc[owner] << START_BITS) | start
-    by = np.lexsort((place, value))
+    by = np.lexsort((start, doc[owner], value))
     again = np.zeros(len(by), bool)
     again[by[1:]] = value[by[1:]] == value[by[:-1]]
     # known repeats meet nobody: they are dealt out by place
-    value = np.where(again, mix(place.view(np.uint64)).view(np.int64), value)
+    place = mix(doc[owner].astype(np.uint64) + start.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+    value = np.where(again, place.view(np.int64), value)
     return pa.record_batch(
         [pa.array(np.where(again, KNOWN, WINDOW).astype(np.int32)), pa.array(value), pa.array(doc[owner]), pa.array((start << 8) | LENGTH), pa.nulls(len(by), pa.binary())],
         names=["kind", "anchor", "doc", "span", "bytes"],
@@ -377,14 +423,13 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, text): doc numbers rows in order of doc_id, so that it fits a place.
+    """(doc, doc_id, text): doc numbers rows in order of doc_id.
 
-    Unique non-negative ids serve as they are. Otherwise rows are ranked by
-    (doc_id, row), nulls first.
+    Unique ids serve as they are. Otherwise rows are ranked by (doc_id, row), nulls first.
     """
     rows = only(docs, "doc_id", "text")
     n, ids, distinct, lo, hi = rows.agg(F.count(F.lit(1)), F.count("doc_id"), F.countDistinct("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
-    if n == ids == distinct and (n == 0 or 0 <= lo and hi < 1 << (63 - START_BITS)):
+    if n == ids == distinct:
         return rows.select(F.col("doc_id").cast("long").alias("doc"), "doc_id", "text")
     rows = settle(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     many = max(1, n // 50_000)
@@ -402,15 +447,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     count, strings are judged on the input. Texts are UTF-8 bytes; null is empty;
     texts shorter than LENGTH stay. Null doc_ids come before all others, rows that
     repeat a doc_id in input order. Empty table: empty result; other columns are
-    ignored.
+    ignored. A text of over a gigabyte raises an error; any shorter one is whole.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (binary: int64
     pairs [from, to) of removed bytes).
     """
     docs = _numbered(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = docs.select("doc", "text").mapInArrow(_segments, "again boolean, anchor long, mark long, place long, length int")
-    parts = parts.repartition(F.when(F.col("again"), F.col("place")).otherwise(F.col("anchor"))).sortWithinPartitions("again", "anchor", "mark", "place")
+    parts = docs.select("doc", "text").mapInArrow(_segments, "again boolean, anchor long, mark long, doc long, span long")
+    parts = parts.repartition(F.when(F.col("again"), F.xxhash64("doc", "span")).otherwise(F.col("anchor"))).sortWithinPartitions("again", "anchor", "mark", "doc", "span")
     sifted = settle(parts.mapInArrow(_sift, "anchor long, doc long, span long"), "sifted")
     # a heavy anchor has over INDEX_BYTES of segments, hence they are few
     heavy = sifted.filter("doc is null").select("anchor", F.lit(True).alias("heavy"))

@@ -471,7 +471,7 @@ def repeats_in_one_process(rows):
 
     text = dict(rows)
     given = pa.record_batch([pa.array(list(text)), pa.array(list(text.values()))], names=["doc", "text"])
-    _, parts = ordered(repeats._segments([given]), ["again", "anchor", "mark", "place"])
+    _, parts = ordered(repeats._segments([given]), ["again", "anchor", "mark", "doc", "span"])
     sifted = [r for b in repeats._sift(iter(parts)) for r in b.to_pylist()]
     heavy = [r["anchor"] for r in sifted if r["doc"] is None]
     assert len(heavy) == len(set(heavy))
@@ -507,17 +507,56 @@ def test_repeats_of_a_common_line(spark):
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_repeats(rows)
 
 
-def test_run_index():
-    text = np.frombuffer((b"x" * 20 + b"ab" * 90) * 2 + b"tail", np.uint8)
-    index = repeats.run_index(text, np.full(len(text), len(text)))
-    assert len(index.starts) < len(index.order) and (index.ends[:, 0] == index.order[index.starts]).all()
-    marked = set(repeats.repeated_starts(index).tolist())
+def runs_of(texts):
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    edge = np.cumsum([0, *map(len, texts)])
+    return data, np.repeat(edge[1:], np.diff(edge)), edge
+
+
+def test_run_index_is_the_transform_of_all_suffixes():
+    rng = random.Random(4)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 30))) for _ in range(40)] + [b"abababab", b"a"] * 3
+    data, stop, edge = runs_of(texts)
+    index = repeats.run_index(data, stop)
+    # plain suffixes; a segment's end sorts before every byte, ends among themselves by segment
+    suffixes = sorted(((list(w[k:]) + [-1], i), int(edge[i]) + k) for i, w in enumerate(texts) for k in range(len(w) + 1))
+    rows = [i for (w, i), p in suffixes if len(w) == 1] + [p for (w, i), p in suffixes if len(w) > 1]
+    bwt = [texts[i][-1] + 1 for i in rows[: len(texts)]] + [0 if p in set(edge.tolist()) else data[p - 1] + 1 for p in rows[len(texts) :]]
+    assert index.rows == len(bwt) and np.repeat(index.symbols, np.diff(np.append(index.starts, index.rows))).tolist() == bwt
+    place = {p: k for k, p in enumerate(rows) if k >= len(texts)}
+    row, shared = repeats.matching_statistics(index, data, stop)
+    common = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+    tail = lambda p: bytes(data[p : stop[p]])
+    for p in range(len(data)):
+        assert row[p] == place[p]
+        assert shared[p] == (common(tail(p), tail(rows[place[p] - 1])) if place[p] > len(texts) else 0)
+
+
+@pytest.mark.parametrize("harm", [None, "symbols", "ends", "starts"])
+def test_marks_come_from_runs_and_samples(harm):
+    rng = random.Random(5)
+    base = [bytes(rng.choice(b"abcd") for _ in range(184)) for _ in range(6)]
+    texts = [b[rng.randint(0, 60) : rng.randint(130, 184)] for b in base for _ in range(8)] + [b"ab" * 90, b"x" * 180, b"x" * 150]
+    data, stop, edge = runs_of(texts)
+    index = repeats.run_index(data, stop)
+    assert len(index.starts) < 0.5 * index.rows
+    if harm == "symbols":
+        index = index._replace(symbols=np.roll(index.symbols, 1))
+    if harm == "ends":
+        index = index._replace(ends=np.maximum(np.roll(index.ends, 1, axis=0), 1))
+    if harm == "starts":
+        index = index._replace(starts=np.append(0, np.maximum(index.starts[1:] - 1, 1)))
     seen, want = set(), set()
-    for s in range(len(text) - 99):
-        w = text[s : s + 100].tobytes()
-        want |= {s} if w in seen else set()
-        seen.add(w)
-    assert marked == want
+    for a, z in zip(edge[:-1], edge[1:]):
+        for s in range(a, z - 99):
+            w = data[s : s + 100].tobytes()
+            want |= {s} if w in seen else set()
+            seen.add(w)
+    try:
+        got = set(repeats.repeated_starts(index, data, stop).tolist())
+    except IndexError:
+        got = None
+    assert (got == want) == (harm is None) and want
 
 
 # the pipeline

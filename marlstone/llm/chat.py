@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.frames import only
 
 START, END = "<|im_start|>", "<|im_end|>"
+BLOCK = 1 << 16  # code points of a block in which spans are looked up
 
 
 def _swap(text: Column, *pairs: tuple[str, str]) -> Column:
@@ -112,10 +113,31 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     )
 
 
+def under_mask(formatted: Column, spans: Column) -> Column:
+    """The texts of ``formatted`` under ``spans``, in order, unescaped.
+
+    The string is cut into blocks first, so a span is looked up in a few of them
+    and not counted from the string's begin.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(formatted) / BLOCK).cast("int")), lambda k: F.substr(formatted, k * BLOCK + 1, F.lit(BLOCK)))
+
+    def cut(given: Column, span: Column) -> Column:
+        first, last = F.floor(span["start"] / BLOCK).cast("int"), F.floor(span["end"] / BLOCK).cast("int")
+        near = F.array_join(F.slice(given, first + 1, last - first + 1), "")
+        return unescape(F.substr(near, (span["start"] - first * BLOCK + 1).cast("int"), (span["end"] - span["start"]).cast("int")))
+
+    # a transform over one element names the blocks, so that they are made once
+    return F.transform(F.array(blocks), lambda given: F.transform(spans, lambda span: cut(given, span)))[0]
+
+
 def chat_digests(formatted: DataFrame) -> DataFrame:
-    """Digest columns of ``format_chat``'s output, all taken from the reparsed turns."""
+    """Digest columns of ``format_chat``'s output, all read back from ``formatted``: turns by the parser, the loss by its mask.
+
+    A conversation that doesn't come back as it was raises an error.
+    """
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join(under_mask(F.col("formatted"), F.col("loss_spans")), "")
+    whole = F.when(~F.col("round_trip"), F.raise_error(F.lit("a conversation isn't recovered from its rendering")).cast("boolean")).otherwise(True)
     return formatted.withColumn("__loss", loss).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -123,7 +145,7 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
         F.length("__loss").cast("long").alias("loss_chars"),
         F.sha2("__loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
-        "round_trip",
+        whole.alias("round_trip"),
     )
 
 

@@ -1,32 +1,38 @@
 """Benchmark decontamination by suffix arrays over the training documents.
 
-The documents are read in shards of whole texts (one or a few megabytes each); a
-longer text has several arrays, which overlap by a window, so that none is lost.
-In a task, a shard's words become ranks, and a suffix array is sorted by
-multi-word prefixes: ranks of 1, 3, 9 and 18 words, each level packing ranks of
-the level below, so equal order of packed numbers is word order. Suffixes end
-with their document. Every test suffix of a benchmark item is then found by
-binary search at these levels: its occurrences are one interval of the array.
+The documents are read in shards of whole texts (some megabytes each); a longer
+text has several arrays, which overlap by a window, so that none is lost. In a
+task, a shard's words become ranks, and a suffix array is sorted by multi-word
+prefixes: ranks of 1, 3, 9 and 18 words, each level packing ranks of the level
+below, so equal order of packed numbers is word order. Suffixes end with their
+document. Every test suffix of a benchmark item is then found by binary search at
+these levels, as far as its first window: its occurrences are one interval of the
+array. Occurrences of neighbouring test suffixes that go on alike are joined, so
+each match comes out at its full length, with its places in document and item.
 
 The test suffixes are the query set, broadcast in blocks of bounded size; a
-larger benchmark takes more blocks, each a pass over the documents.
+larger benchmark takes more blocks, each a pass over the documents, after which
+the block is given up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.frames import only, stowed
+from marlstone.llm.frames import only, settle, stowed
 from marlstone.llm.words import ALNUM, U, text_buffer, text_groups, words
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20  # benchmark text in one broadcast
+BLOCK_BYTES = 8 << 20   # benchmark text in one broadcast (some 14 times that when built)
+SHARD_BYTES = 4 << 20   # text of a shard
 SHARD_WORDS = 1 << 20   # starts of suffixes in one array; a longer text has several, which overlap by a window
 DEPTHS = (1, 3, 9, 18)
 
@@ -35,7 +41,7 @@ class Queries(NamedTuple):
     """The windows of a block of items: distinct test prefixes by length."""
 
     prefixes: dict[int, np.ndarray]   # length -> (windows, length) word numbers
-    items: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> (first, item) of each window's items
+    items: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> first row of each window, and rows of (window, item, place in the item)
     ids: np.ndarray                   # item ids as strings
 
 
@@ -48,14 +54,14 @@ def item_windows(ids: list[str], texts: list[str | None]) -> Queries:
         size = min(WINDOW, b - a)
         if size:
             rows = np.lib.stride_tricks.sliding_window_view(w.number[a:b], size)
-            found.setdefault(int(size), []).append((rows, np.full(len(rows), code[k])))
+            found.setdefault(int(size), []).append((rows, np.full(len(rows), code[k]), np.arange(len(rows))))
     prefixes, items = {}, {}
     for size, parts in found.items():
-        rows, owner = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        rows, owner, place = (np.concatenate([p[k] for p in parts]) for k in range(3))
         distinct, which = np.unique(rows, axis=0, return_inverse=True)
-        pairs = np.unique(np.stack([which.ravel(), owner], axis=1), axis=0)
+        held = np.unique(np.stack([which.ravel(), owner, place], axis=1), axis=0)
         prefixes[size] = distinct
-        items[size] = (np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1)), pairs[:, 1])
+        items[size] = (np.searchsorted(held[:, 0], np.arange(len(distinct) + 1)), held)
     return Queries(prefixes, items, names)
 
 
@@ -95,10 +101,16 @@ class SuffixArray:
         n, size = prefixes.shape
         if not len(self.words):
             return np.zeros(n, np.int64), np.zeros(n, np.int64)
-        place = np.minimum(np.searchsorted(self.words, prefixes), len(self.words) - 1)
-        known = self.words[place] == prefixes
-        lo = np.where(known, place + 1, -1)
-        return self._interval(len(DEPTHS) - 1, lo)
+        lo, hi = np.zeros((2, n), np.int64)
+        live, tokens = np.arange(n), np.zeros((n, size), np.int64)
+        for k in range(size):  # most windows have a word that the shard lacks
+            place = np.minimum(np.searchsorted(self.words, prefixes[live, k]), len(self.words) - 1)
+            known = self.words[place] == prefixes[live, k]
+            live = live[known]
+            tokens[live, k] = place[known] + 1
+        if len(live):
+            lo[live], hi[live] = self._interval(len(DEPTHS) - 1, tokens[live])
+        return lo, hi
 
     def _interval(self, level: int, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if level == 0:
@@ -123,14 +135,14 @@ class SuffixArray:
 
 
 def _matches(number: np.ndarray, first: np.ndarray, queries: Queries):
-    """(position, length, text, item) of every occurrence of every window in a shard."""
+    """(position, length, text, item, place in the item) of every occurrence of every window in a shard."""
     parts = [_matches_in(number, first, queries, at) for at in range(0, max(len(number), 1), SHARD_WORDS)]
     return np.concatenate(parts, axis=1)
 
 
 def _matches_in(number: np.ndarray, first: np.ndarray, queries: Queries, at: int):
     """``_matches`` of the occurrences that begin at ``at`` or within SHARD_WORDS words of it."""
-    found = [np.zeros((4, 0), np.int64)]
+    found = [np.zeros((5, 0), np.int64)]
     stop = min(len(number), at + SHARD_WORDS + WINDOW - 1)
     index = SuffixArray(number[at:stop], np.clip(first - at, 0, stop - at))
     for size, rows in queries.prefixes.items():
@@ -144,15 +156,28 @@ def _matches_in(number: np.ndarray, first: np.ndarray, queries: Queries, at: int
         own = position < SHARD_WORDS  # the next array finds the others
         position, window = position[own] + at, window[own]
         text = np.searchsorted(first, position, side="right") - 1
-        begin, owner = queries.items[size]
+        begin, held = queries.items[size]
         count = begin[window + 1] - begin[window]
         nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        item = owner[np.repeat(begin[window], count) + nth]
+        _, item, place = held[np.repeat(begin[window], count) + nth].T
         position, text = np.repeat(position, count), np.repeat(text, count)
-        found.append(np.stack([position, np.full(len(position), size), text, item]))
+        found.append(np.stack([position, np.full(len(position), size), text, item, place]))
     return np.concatenate(found, axis=1)
 
 
+def longest(found: np.ndarray) -> np.ndarray:
+    """Rows (position, length, text, item, place) of ``_matches`` joined where neighbours go on alike."""
+    position, size, text, item, place = found
+    by = np.lexsort((position, place - position, size, item, text))
+    found = found[:, by]
+    position, size, text, item, place = found
+    same = (np.diff(position) == 1) & (np.diff(place) == 1) & (np.diff(size) == 0) & (np.diff(text) == 0) & (np.diff(item) == 0)
+    opens = np.flatnonzero(np.append(True, ~same)) if len(position) else np.zeros(0, np.int64)
+    out = found[:, opens]
+    out[1] += np.diff(np.append(opens, len(position))) - 1
+    return out
+
+
 def _spans(position: np.ndarray, size: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of covered words."""
     depth = np.zeros(n + 1, np.int64)
@@ -164,18 +189,20 @@ def _spans(position: np.ndarray, size: np.ndarray, n: int) -> tuple[np.ndarray,
     return edge[::2], edge[1::2]
 
 
-HITS = "n_words long, n_hit long, spans binary, items array<string>"
+MATCH = "struct<item_id:string,doc_word:bigint,item_word:bigint,n_words:bigint>"
+MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]))
+HITS = f"n_words long, n_hit long, spans binary, items array<string>, matches array<{MATCH}>"
 
 
 def _scan(queries, place: int):
-    """A function for mapInArrow that yields (first, last text of the group, word counts, hits) for each group."""
+    """A function of a batch that yields (first, last text of the shard, word counts, hits) for each shard."""
 
     def run(batch: pa.RecordBatch):
         data, offsets = text_buffer(batch.column(place))
-        for i, j in text_groups(offsets):
+        for i, j in text_groups(offsets, SHARD_BYTES):
             w = words(data, offsets[i : j + 1], ALNUM)
             count = np.diff(w.first)
-            hit, spans, items = np.zeros(j - i, np.int64), [b""] * (j - i), [[] for _ in range(j - i)]
+            hit, spans, items, matches = np.zeros(j - i, np.int64), [b""] * (j - i), [[] for _ in range(j - i)], [[] for _ in range(j - i)]
             for block in queries:
                 found = _matches(w.number, w.first, block.value)
                 if found.shape[1]:
@@ -191,23 +218,23 @@ def _scan(queries, place: int):
                         spans[t], hit[t] = mine[np.argsort(mine[:, 0])].astype(np.int64).tobytes(), int((mine[:, 1] - mine[:, 0]).sum())
                     for t, item in np.unique(found[2:4], axis=1).T:
                         items[t].append(str(block.value.ids[item]))
-            yield i, j, count, hit, spans, items
+                    for position, size, t, item, at in longest(found).T.tolist():
+                        matches[t].append({"item_id": str(block.value.ids[item]), "doc_word": position - int(w.first[t]), "item_word": at, "n_words": size})
+            yield i, j, count, hit, spans, items, matches
 
     return run
 
 
-def blocks_of(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list:
-    """Broadcast query blocks; the size of each is checked before it is collected."""
+def blocks_of(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[tuple[Broadcast, bool]]:
+    """Broadcast query blocks one by one, and whether it is the only one; sizes are checked before a block is collected."""
     spark = benchmark.sparkSession
     rows = only(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").filter("text is not null")
     size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     many = max(1, -(-2 * size // limit)) if size > limit else 1
-    out = []
     for k in range(many):
         part = rows if many == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == k)
         got = part.toArrow()
-        out.append(spark.sparkContext.broadcast(item_windows(got.column(0).to_pylist(), got.column(1).to_pylist())))
-    return out
+        yield spark.sparkContext.broadcast(item_windows(got.column(0).to_pylist(), got.column(1).to_pylist())), many == 1
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -222,10 +249,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Returns doc_id, n_words, n_hit, n_items, items_sha256 (of the item_ids sorted
     as strings and comma-joined), contaminated, items, spans (binary: int64 pairs
-    of word numbers [from, to)).
+    of word numbers [from, to)), and matches: the longest verbatim matches, each
+    with item_id, first word in document and item, and number of words. Rows that
+    repeat an item have their matches each.
     """
-    blocks = blocks_of(benchmark)
-    rows = only(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id() if len(blocks) > 1 else F.lit(0).cast("long"))
+    rows = only(docs, "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def scan(queries):
@@ -233,29 +261,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i, j, count, hit, spans, items in find(batch):
+                for i, j, count, hit, spans, items, matches in find(batch):
                     yield pa.record_batch(
-                        [batch.column(0)[i:j], batch.column(2)[i:j], pa.array(count, pa.int64()), pa.array(hit), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))],
-                        names=["doc_id", "row", "n_words", "n_hit", "spans", "items"],
+                        [batch.column(0)[i:j], batch.column(2)[i:j], pa.array(count, pa.int64()), pa.array(hit), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(matches, MATCHES)],
+                        names=["doc_id", "row", "n_words", "n_hit", "spans", "items", "matches"],
                     )
 
         return rows.mapInArrow(run, f"doc_id {kind}, row long, {HITS}")
 
-    if len(blocks) == 1:
-        found = scan(blocks)
+    parts = []
+    for block, lone in blocks_of(benchmark):
+        if lone:
+            rows = rows.withColumn("row", F.lit(0).cast("long"))
+            found = scan([block])
+            break
+        if not parts:
+            rows = settle(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+        parts.append(settle(scan([block]), "hits"))
+        block.destroy()
     else:
-        parts = scan(blocks[:1])
-        for b in blocks[1:]:
-            parts = parts.union(scan([b]))
-        found = parts.groupBy("row").agg(
-            F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
-            F.collect_list("spans").alias("parts"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+        every = reduce(DataFrame.union, parts)
+        found = every.groupBy("row").agg(
+            F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("spans").alias("parts"),
+            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("matches")).alias("matches"),
         ).mapInArrow(_join_spans, f"doc_id {kind}, row long, {HITS}")
     ids = F.array_sort("items")
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"), ids.alias("items"), "spans",
+        (F.col("n_hit") > 0).alias("contaminated"), ids.alias("items"), "spans", "matches",
     )
 
 
@@ -267,7 +301,7 @@ def _join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, end = _spans(every[:, 0], every[:, 1] - every[:, 0], int(every[:, 1].max(initial=0)))
             spans.append(np.stack([start, end], axis=1).astype(np.int64).tobytes())
             hits.append(int((end - start).sum()))
-        yield pa.record_batch([batch.column(1), batch.column(0), batch.column(2), pa.array(hits, pa.int64()), pa.array(spans, pa.binary()), batch.column(4)], names=["doc_id", "row", "n_words", "n_hit", "spans", "items"])
+        yield pa.record_batch([batch.column(1), batch.column(0), batch.column(2), pa.array(hits, pa.int64()), pa.array(spans, pa.binary()), batch.column(4), batch.column(5)], names=["doc_id", "row", "n_words", "n_hit", "spans", "items", "matches"])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -278,7 +312,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     empty benchmark, or one without words, removes nothing. Long texts are searched whole.
     """
     plain, place = stowed(docs)[0], docs.columns.index("text")
-    for block in blocks_of(benchmark):
+    for block, lone in blocks_of(benchmark):
         find = _scan([block], place)
 
         def run(batches: Iterator[pa.RecordBatch], find=find) -> Iterator[pa.RecordBatch]:
@@ -287,6 +321,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     yield batch.slice(i, j - i).filter(pa.array(hit == 0))
 
         plain = plain.mapInArrow(run, plain.schema)
+        if not lone:
+            plain = settle(plain, "clean")
+            block.destroy()
     return plain.toDF(*docs.columns)
 
 

@@ -1,10 +1,14 @@
 """Exact dedup: a tree-merge of sorted digest runs, in built-in functions only.
 
-Every input partition is a run of (digest, best row, count). In round r, groups
-of ``fan_in`` neighbouring runs are merged into one run of the next level; a run
-is spread over tasks by digest, so no task ever holds a whole run. The result is
-then sent down the same tree: a row of level r meets its parent of level r+1. A
-digest shared by a third of all rows has one row per run, hence at most
+Every input partition is a run of (digest, best row, count), written in order of
+the digest. In a round, groups of ``fan_in`` neighbouring runs are merged into one
+run of the next level; 16 takes four rounds of a binomial tree at once. The merge
+is Spark's: an exchange brings the rows of one digest range together, a sort puts
+them in order (runs that are sorted already cost one comparison a row or so), and
+a sort-based aggregation keeps the best row of each stretch of equal digests. A
+run is spread over tasks by digest, so no task ever holds a whole run. The result
+is then sent down the same tree: a row of level r meets its parent of level r+1.
+A digest shared by a third of all rows has one row per run, hence at most
 ``fan_in`` rows meet at any step and no join is skewed.
 
 The digest is SHA-256; at every level identifiers are verified with the byte

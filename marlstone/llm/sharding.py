@@ -4,7 +4,7 @@ A row starts at the point of its doc_id on the ring and takes the first shard
 clockwise that isn't full. Rows arrive in a fixed order (by a hash of the row),
 so a shard is fully described by its cutoff: the arrival number at which it
 became full. With n shards there are at most n fill events. Each is found from
-counts by (ring slot, block of arrivals) and a refinement of one block at a time,
+counts by (arc of the ring, block of arrivals) and a refinement of one block at a time,
 so only bounded histograms reach the driver and every row is placed in parallel.
 """
 
@@ -19,25 +19,36 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.frames import only, settle
 
-SLOTS = 256      # equal slots of the ring; a slot belongs to the virtual nodes clockwise of it
+RING = 1 << 24   # places on the ring
+BIN = 1 << 12    # places in a bin, by which a row finds the arc it lies on
 VNODES = 64      # virtual nodes of each shard
-BLOCKS = 256     # arrival blocks of one histogram pass: at most SLOTS x BLOCKS counts
+COUNTS = 1 << 16  # counts of one histogram pass, by arc and block of arrivals
+TABLE = 1 << 22  # entries of the table that is broadcast: arcs x shards
 NEVER = 2**62
 
 
-def ring(shards: int, vnodes: int = VNODES, seed: int = 7) -> list[list[int]]:
-    """For each slot, all shards in the order in which they follow clockwise."""
+def ring(shards: int, vnodes: int = VNODES, seed: int = 7) -> tuple[list[int], list[list[int]]]:
+    """The virtual nodes' places in order, and for the arc that ends at each, all shards as they follow clockwise.
+
+    A shard's places don't depend on the number of shards.
+    """
     points = []
     for s in range(shards):
         r = random.Random(f"{seed}/{s}")
-        points += [(r.random(), s) for _ in range(vnodes)]
+        points += [(r.randrange(RING), s) for _ in range(vnodes)]
     points.sort()
-    keys = [p for p, _ in points]
-    out = []
-    for slot in range(SLOTS):
-        i = bisect.bisect_left(keys, slot / SLOTS)
-        out.append(list(dict.fromkeys(points[(i + k) % len(points)][1] for k in range(len(points)))))
-    return out
+    near: list[list[int]] = [[]] * len(points)
+    follow: list[int] = []
+    for i in range(2 * len(points) - 1, -1, -1):  # twice round: what follows a node is known when it is reached again
+        s = points[i % len(points)][1]
+        follow = [s, *(x for x in follow if x != s)]
+        near[i % len(points)] = follow
+    return [p for p, _ in points], near
+
+
+def arc_table(points: list[int]) -> list[tuple[int, int, list[int]]]:
+    """For each bin of the ring: its number, the arc at its begin and the places of virtual nodes in it."""
+    return [(b, bisect.bisect_left(points, b * BIN), points[bisect.bisect_left(points, b * BIN) : bisect.bisect_left(points, (b + 1) * BIN)]) for b in range(RING // BIN)]
 
 
 def ranked(df: DataFrame, order: list[str], group: list[str], bucket: Column, name: str) -> DataFrame:
@@ -78,8 +89,12 @@ def shard_documents(docs: DataFrame, shards: int = 8, slack: float = 0.0, vnodes
 
     Returns doc_id, size, text_crc32, shard, slot (gapless from 0 in a shard).
     """
-    if shards < 1 or slack < 0:
-        raise ValueError("shards is at least 1, slack not negative")
+    if shards < 1 or slack < 0 or vnodes < 1:
+        raise ValueError("shards and vnodes are at least 1, slack not negative")
+    if shards * shards * vnodes > TABLE:
+        raise ValueError(f"the ring's table has shards x shards x vnodes entries, {TABLE} at most: take fewer virtual nodes")
+    points, prefs = ring(shards, vnodes)
+    spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = only(docs, "doc_id", "text").select(
         "doc_id",
@@ -87,20 +102,26 @@ def shard_documents(docs: DataFrame, shards: int = 8, slack: float = 0.0, vnodes
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
     rows = rows.withColumn("at", F.xxhash64(F.lit("arrival"), "doc_id", "size", "text_crc32"))
-    rows = rows.withColumn("spot", F.pmod(F.xxhash64(F.lit("ring"), "doc_id"), F.lit(SLOTS)).cast("int"))
+    # a row lies on the arc that ends at the first virtual node at or after its place
+    bins = spark.createDataFrame(arc_table(points), "bin int, arc int, nodes array<int>")
+    rows = rows.withColumn("place", F.pmod(F.xxhash64(F.lit("ring"), "doc_id"), F.lit(RING)).cast("int")).withColumn("bin", F.floor(F.col("place") / BIN).cast("int"))
+    ahead = F.size(F.filter("nodes", lambda p: p < F.col("place")))
+    rows = rows.join(F.broadcast(bins), "bin").withColumn("spot", F.pmod(F.col("arc") + ahead, F.lit(len(points)))).drop("bin", "arc", "nodes", "place")
     rows = settle(rows.withColumn("row", F.monotonically_increasing_id()), "shardrows")
     total = rows.count()
     many = _buckets(total)
-    # the arrival hash is uniform over signed 64 bits: its top bits are an even bucket that keeps order;
-    # rows that repeat one document share a hash, so the row number spreads them (they are alike in all columns)
-    bucket = F.floor((F.shiftright("at", 32).cast("double") / 2**32 + 0.5) * many).cast("int")
-    keyed = settle(ranked(rows, ["at", "row"], [], bucket, "arrival").select("doc_id", "size", "text_crc32", "spot", "arrival"), "arrivals")
+    # the arrival hash is uniform over signed 64 bits: its top bits are an even bucket that keeps order
+    rows = rows.withColumn("bucket", F.floor((F.shiftright("at", 32).cast("double") / 2**32 + 0.5) * many).cast("int"))
+    # rows that repeat one document share a hash, hence a bucket: in a bucket of over four times its share
+    # rows come in the order in which they were read, so that its parts are numbered apart
+    hot = rows.groupBy("bucket").count().filter(F.col("count") > 4 * total / many + 1000).select("bucket", F.lit(True).alias("hot"))
+    rows = rows.join(F.broadcast(hot), "bucket", "left")
+    part = F.when(F.col("hot"), F.shiftright("row", 33)).otherwise(F.lit(0).cast("long"))
+    keyed = settle(ranked(rows, ["at", "row"], [], F.struct("bucket", part.alias("part")), "arrival").select("doc_id", "size", "text_crc32", "spot", "arrival"), "arrivals")
 
-    prefs = ring(shards, vnodes)
     room = [total // shards + (s < total % shards) for s in range(shards)] if slack == 0 else [int(-(-(1 + slack) * total // shards))] * shards
     cutoff = _fill(keyed, total, prefs, room)
 
-    spark = docs.sparkSession
     table = spark.createDataFrame([(i, p) for i, p in enumerate(prefs)], "spot int, prefs array<int>")
     limits = F.array(*[F.lit(c) for c in cutoff])
     placed = keyed.join(F.broadcast(table), "spot").withColumn(
@@ -116,14 +137,14 @@ def _fill(keyed: DataFrame, total: int, prefs: list[list[int]], room: list[int])
     order = np.array(prefs)
 
     def histogram(lo: int, hi: int) -> tuple[int, dict[int, np.ndarray]]:
-        width = max(1, -(-(hi - lo) // BLOCKS))
+        width = max(1, -(-(hi - lo) // max(16, COUNTS // len(prefs))))
         counts = (
             keyed.filter((F.col("arrival") >= lo) & (F.col("arrival") < hi))
             .groupBy(F.floor((F.col("arrival") - lo) / width).cast("int").alias("block"), "spot").count().toArrow()
         )
         out: dict[int, np.ndarray] = {}
         for b, s, n in zip(*(counts.column(i).to_pylist() for i in range(3))):
-            out.setdefault(b, np.zeros(SLOTS, dtype=np.int64))[s] = n
+            out.setdefault(b, np.zeros(len(prefs), dtype=np.int64))[s] = n
         return width, out
 
     def walk(lo: int, hi: int) -> None:
@@ -133,7 +154,7 @@ def _fill(keyed: DataFrame, total: int, prefs: list[list[int]], room: list[int])
             if all(c != NEVER for c in cutoff):
                 return
             closed = np.array([c != NEVER for c in cutoff])
-            to = order[np.arange(SLOTS), np.argmax(~closed[order], axis=1)]
+            to = order[np.arange(len(prefs)), np.argmax(~closed[order], axis=1)]
             takes = np.bincount(to, weights=blocks[b], minlength=len(room)).astype(np.int64)
             if all(t < r or t == 0 for t, r in zip(takes, left)):
                 for s, t in enumerate(takes):

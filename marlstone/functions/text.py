@@ -185,16 +185,23 @@ def is_noise(fragment: Column, identity: bool = False) -> Column:
     return key(fragment).isin(*V.NOISE_TAGS, *(V.IDENTITY_TAGS if identity else []))
 
 
+_FRAMING = "|".join(rf"\Q{t}\E" for t in V.FRAMING_TAGS)
+
+
 def is_framing(fragment: Column) -> Column:
-    return V.let(key(fragment), lambda k: F.exists(V.strings(V.FRAMING_TAGS), lambda t: F.contains(k, t)))
+    return key(fragment).rlike(_FRAMING)
 
 
 def is_primary_pose(fragment: Column) -> Column:
     return key(fragment).isin(*V.PRIMARY_POSES)
 
 
+def is_rescued(fragment: Column) -> Column:
+    return key(fragment).isin(*V.RESCUED_TAGS)
+
+
 def is_rescuable(fragment: Column) -> Column:
-    return key(fragment).isin(*V.RESCUED_TAGS) | is_framing(fragment)
+    return is_rescued(fragment) | is_framing(fragment)
 
 
 def clause_overlaps(prose: Column, tags: Column) -> Column:

@@ -179,30 +179,34 @@ def training_variant(
         turns = [i for i, left_out in enumerate(V.OMISSIONS) if name in left_out]
         return cycle.isin(*turns) if turns else F.lit(False)
 
-    none = V.empty()
-    identity = buckets["identity"]
-    pose = F.concat(buckets["pose_composition"], F.filter(identity, T.is_rescuable))
-    # 0 framing, 1 primary pose, 2 the rest; each in the given order
-    ranks = F.transform(pose, lambda f: F.struct(f.alias("f"), F.when(T.is_framing(f), 0).when(T.is_primary_pose(f), 1).otherwise(2).alias("r")))
-
-    def tier(r: int) -> Column:
+    def tier(ranks: Column, r: int) -> Column:
         return F.transform(F.filter(ranks, lambda x: x["r"] == r), lambda x: x["f"])
 
-    tier1, tier2, rest = tier(0), tier(1), tier(2)
-    removed, fill = [], [tier1, tier2]
-    parts = [("pose_composition", rest, None), ("action", buckets["action"], None)]
-    parts += [(name, buckets[name], V.TRAINING_CAPS[name]) for name in ("wardrobe", "lighting", "setting")]
-    for name, fragments, cap in parts:
-        if cap is not None:
-            over = _tail(fragments, cap)
-            removed.append(F.when(omitted(name), fragments).otherwise(over))
-            fragments = F.when(omitted(name), none).otherwise(_head(fragments, cap))
-        kept, dropped = diversified(fragments, name, key if key is not None else F.lit(0), drop, seed)
-        fill.append(kept)
-        removed.append(dropped)
-    packed = pack_tokens(F.concat(*fill, enrichment), trigger, backend, budget, F.when(style == "anime", 10).otherwise(8))
-    lost = F.filter(identity, lambda f: ~T.is_rescuable(f))
-    return _finished(trigger, packed, F.concat(*removed), lost)
+    def rank(fragment: Column, foreign: Column) -> Column:
+        # 0 framing, 1 primary pose, 2 the rest, 3 identity traits that stay out; each in the given order
+        r = F.when(T.is_framing(fragment), 0).when(foreign & ~T.is_rescued(fragment), 3).when(T.is_primary_pose(fragment), 1).otherwise(2)
+        return F.struct(fragment.alias("f"), r.alias("r"))
+
+    def assembled(b: Column) -> Column:
+        removed, fill = [], [tier(b["ranks"], 0), tier(b["ranks"], 1)]
+        parts = [("pose_composition", tier(b["ranks"], 2), None), ("action", b["action"], None)]
+        parts += [(name, b[name], V.TRAINING_CAPS[name]) for name in ("wardrobe", "lighting", "setting")]
+        for name, fragments, cap in parts:
+            if cap is not None:
+                over = _tail(fragments, cap)
+                removed.append(F.when(omitted(name), fragments).otherwise(over))
+                fragments = F.when(omitted(name), V.empty()).otherwise(_head(fragments, cap))
+            kept, dropped = diversified(fragments, name, key if key is not None else F.lit(0), drop, seed)
+            fill.append(kept)
+            removed.append(dropped)
+        packed = pack_tokens(F.concat(*fill, enrichment), trigger, backend, budget, F.when(style == "anime", 10).otherwise(8))
+        return _finished(trigger, packed, F.concat(*removed), tier(b["ranks"], 3))
+
+    ranks = F.concat(
+        F.transform(buckets["pose_composition"], lambda f: rank(f, F.lit(False))), F.transform(buckets["identity"], lambda f: rank(f, F.lit(True)))
+    )
+    # every list is made once, however often it is named above
+    return V.let(F.struct(ranks.alias("ranks"), *[buckets[n].alias(n) for n in ("action", "wardrobe", "lighting", "setting")]), assembled)
 
 
 # What a caption input may have, and what stands for a missing column.
@@ -283,9 +287,11 @@ def compose(df: DataFrame, categories: Cats = V.CATEGORIES, drop: float = 0.0, s
     enrichment = F.when(F.col("prose_enrichment"), T.prose_tokens(F.col("clauses"), T.tag_words(F.col("tags")))).otherwise(V.empty())
     shot = {n: F.array_distinct(F.concat(f"b_{n}", bucket(F.col("noise_pairs"), n))) for n in names}
     keyed = F.concat_ws("\x1f", "tags", "prose")
+    df = df.select("*", *[shot[n].alias(f"z_{n}") for n in names], enrichment.alias("enrichment"))
+    shot = {n: F.col(f"z_{n}") for n in names}
     df = df.select(
         "*",
-        training_variant(trained, trigger, F.col("style"), F.col("backend"), F.col("budget"), F.col("image_index"), enrichment, keyed, drop, seed).alias("v_training"),
+        training_variant(trained, trigger, F.col("style"), F.col("backend"), F.col("budget"), F.col("image_index"), F.col("enrichment"), keyed, drop, seed).alias("v_training"),
         zeroshot_variant(shot, trigger, F.col("style"), F.col("backend"), F.col("budget"), categories).alias("v_zeroshot"),
         stripped.alias("stripped"),
     )

@@ -52,18 +52,19 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The caption inputs, one row per order, dealt out by it.
 
     The rows are small and the work on them is not, so their number of partitions
-    follows the cores rather than their bytes.
+    follows the cores rather than their bytes. Both sides are dealt by the image
+    once; grouping and join need no further exchange.
     """
     many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     sorted_tags = F.array_sort(F.collect_list(F.struct("nth", "part", "label")))
-    tags = tag_rows(spark, sf_dir).groupBy("image_id").agg(F.array_join(F.transform(sorted_tags, lambda t: t["label"]), ", ").alias("tags"))
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"), F.col("o_custkey").alias("c"))
+    tags = tag_rows(spark, sf_dir).repartition(many, "image_id").groupBy("image_id").agg(F.array_join(F.transform(sorted_tags, lambda t: t["label"]), ", ").alias("tags"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"), F.col("o_custkey").alias("c")).repartition(many, "image_id")
     i, c = F.col("image_id"), F.col("c")
     prose = F.concat(
         F.lit("The image shows a woman in a "), pick(COLOURS, c), F.lit(" "), pick(GARMENTS, i), F.lit(", "), pick(POSES, c),
         F.lit(" in a "), pick(PLACES, i), F.lit(". "), pick(EXTRAS, i + c), F.lit("."),
     )
-    return o.join(tags, "image_id", "left").repartition(many, "image_id").select(
+    return o.join(tags, "image_id", "left").select(
         "image_id", F.coalesce("tags", F.lit("")).alias("tags"), prose.alias("prose"),
         F.when(i % 2 == 0, "sks").otherwise("").alias("trigger_word"), pick(STYLES, i).alias("target_style"),
         pick(CATEGORIES, i + c).alias("target_category"), pick(BACKENDS, c).alias("target_backend"),

@@ -181,7 +181,7 @@ _COMPOSED = (
 
 @query(f"{_COMPOSED} SELECT image_id, category AS selected_category, final_caption, training, zeroshot FROM co")
 def compose_full(spark, d):
-    """The flagship: every variant of every image; one shuffle (on the image) below, none in the assembly."""
+    """The flagship: every variant of every image; line items and orders are dealt by the image below, none in the assembly."""
     v = F.col("caption_variants")
     return _composed(spark, d).select("image_id", "selected_category", "final_caption", v["training"].alias("training"), v["zeroshot"].alias("zeroshot"))
 

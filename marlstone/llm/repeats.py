@@ -44,6 +44,7 @@ LENGTH, GRAM = 100, 16
 SPAN = LENGTH - GRAM + 1     # 16-byte strings in a window
 PLACE_BITS = 30              # place of a byte in the texts that are handled at once: a longer text is refused
 INDEX_BYTES = 2_000_000      # segment text in one index; a larger anchor group is dealt out by windows
+BATCH_BYTES = 1 << 17        # segment text of small anchor groups that are indexed together: sorts of this size stay in cache
 DEPTH = 189                  # suffixes are sorted whole, as no segment is longer
 LOT_BYTES = 1 << 19          # segment text of such groups whose windows are compared before the shuffle
 SEGMENT, WINDOW, KNOWN = 0, 1, 2  # what a row for _index is: a segment, a window of a heavy anchor, a repeat
@@ -239,14 +240,18 @@ def matching_statistics(index: RunIndex, text: np.ndarray, stop: np.ndarray) ->
     met = np.flatnonzero((before >= 0) & (symbols > 0))
     x, y = index.ends[met, 0] - 1, index.ends[before[met], 1] - 1
     opening[met] = _shared(text, x, y, np.minimum(stop[x] - x, stop[y] - y))
+    # spelled out by row for the streaming: the row each row leads to, and what a run's first row opens with (-1 elsewhere)
+    run = np.repeat(np.arange(runs), size)
+    leads = (head - index.starts)[run] + np.arange(index.rows)
+    opens = np.full(index.rows, -1)
+    opens[index.starts] = opening
     row, shared = np.empty((2, len(text)), np.int64)
     at = np.flatnonzero(np.append(stop[1:] != stop[:-1], True)) + 1  # one past the next byte, for each segment
     begin = np.append(0, at[:-1])
     now, length = np.arange(len(at)), np.zeros(len(at), np.int64)
     while len(at):
-        run = np.searchsorted(index.starts, now, side="right") - 1
-        into = now - index.starts[run]
-        now, length = head[run] + into, np.where(into == 0, opening[run], length + 1)
+        fresh = opens[now]
+        now, length = leads[now], np.where(fresh < 0, length + 1, fresh)
         at = at - 1
         row[at], shared[at] = now, length
         on = at > begin
@@ -290,12 +295,12 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(rows.column(2).to_numpy()[seg]), pa.array((begin << 8) | (starts[z] - starts[a] + LENGTH))], names=names)
 
     def indexed(rows: pa.Table, stops: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Indexes the groups that end at ``stops``, as many at once as fit INDEX_BYTES; no group is larger."""
+        """Indexes the groups that end at ``stops``, as many at once as fit BATCH_BYTES; no group exceeds INDEX_BYTES."""
         done = 0
         weight = np.cumsum(rows.column(3).to_numpy() & 255)
         while len(ahead := stops[stops > done]):
             base = weight[done - 1] if done else 0
-            fit = ahead[weight[ahead - 1] - base <= INDEX_BYTES]
+            fit = ahead[weight[ahead - 1] - base <= min(BATCH_BYTES, INDEX_BYTES)]
             stop = int(fit[-1] if len(fit) else ahead[0])
             yield from run(rows.slice(done, stop - done))
             done = stop

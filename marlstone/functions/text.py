@@ -305,3 +305,21 @@ def xmp_text(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         legal = F.replace(legal, F.lit(a), F.lit(b))
     return legal
+
+
+def mean_colour(pixels: Column) -> Column:
+    """struct<r, g, b>: the mean of array<struct<r, g, b>>; null without pixels."""
+    def mean(k: str) -> Column:
+        return (F.aggregate(pixels, F.lit(0).cast("bigint"), lambda a, p: a + p[k].cast("bigint")) / F.size(pixels)).alias(k)
+
+    return F.when(F.size(pixels) > 0, F.struct(mean("r"), mean("g"), mean("b")))
+
+
+def content_key(content: Column) -> Column:
+    """The first 20 hex digits of the SHA-256 of bytes or text."""
+    return F.left(F.sha2(content, 256), F.lit(20))
+
+
+def data_url(content: Column, kind: Column) -> Column:
+    """Bytes as a data URL; ``kind`` is the media type, image/png if null."""
+    return F.concat(F.lit("data:"), F.coalesce(kind, F.lit("image/png")), F.lit(";base64,"), F.base64(content))

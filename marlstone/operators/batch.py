@@ -39,8 +39,17 @@ def replay(wanted: DataFrame, assets: DataFrame, captions: DataFrame, on_miss: s
 
 
 def infer_once(images: DataFrame, infer: Callable[[DataFrame], DataFrame], by: str = "sha256") -> DataFrame:
-    """Runs ``infer`` on one image of each content hash and joins the results back to all."""
-    return images.join(infer(images.dropDuplicates([by]).select(by, *[c for c in images.columns if c != by])), by, "left")
+    """Runs ``infer`` on one image of each content hash and joins the results back to all.
+
+    ``infer`` keeps the column ``by``. Images without a hash are each inferred: a
+    mark of their own stands in for it.
+    """
+    from marlstone.sources.shared import settle
+
+    lone = settle(images.filter(F.col(by).isNull()).withColumn(by, F.concat(F.lit("\0"), F.uuid())), "lone")  # a mark must not change when it is read twice
+    keyed = images.filter(F.col(by).isNotNull()).unionByName(lone)
+    done = keyed.join(infer(keyed.dropDuplicates([by])), by, "left")
+    return done.withColumn(by, F.when(~F.startswith(by, F.lit("\0")), F.col(by)))
 
 
 def last_wins(results: DataFrame, name: str = "name", idx: str = "idx") -> DataFrame:

@@ -68,7 +68,7 @@ def with_contradictions(df: DataFrame, tags: str = "raw_tags", prose: str = "raw
     return df.select(*[c for c in df.columns if c not in ("__c", "details")], k.alias("checked"), n.alias("count"), F.when(k > 0, n / k).otherwise(0.0).alias("rate"), "details")
 
 
-def _cased(new: Column, old: Column) -> Column:
+def _like_case(new: Column, old: Column) -> Column:
     capital = F.concat(F.upper(F.substr(new, F.lit(1), F.lit(1))), F.lower(F.substr(new, F.lit(2))))
     return F.when(old.rlike("^[A-Z]"), capital).otherwise(new)
 
@@ -88,7 +88,7 @@ def recoloured(prose: Column, subject: Column, value: Column) -> Column:
         wrong = F.filter(words, lambda m: _is_colour(m["w"]) & (T.canon_colour(m["w"]) != right))
         ranked = F.transform(wrong, lambda m: F.struct(F.array_min(F.transform(at, lambda s: F.abs(s - m["n"]))).alias("d"), m["n"].alias("n"), m["i"].alias("i")))
         best = F.array_min(ranked)["i"]
-        new = F.array_join(F.transform(bits, lambda b, i: F.when(i == best, _cased(value, b)).otherwise(b)), "")
+        new = F.array_join(F.transform(bits, lambda b, i: F.when(i == best, _like_case(value, b)).otherwise(b)), "")
         return F.when((F.size(at) > 0) & (F.size(wrong) > 0), new).otherwise(part)
 
     return F.array_join(F.transform(parts, clause), "")
@@ -100,7 +100,7 @@ def reposed(prose: Column, flagged: Column, value: Column) -> Column:
 
     def one(b: Column) -> Column:
         w = F.lower(b)
-        return F.when(F.array_contains(flagged, w) & (w != F.lower(value)), _cased(value, b)).otherwise(b)
+        return F.when(F.array_contains(flagged, w) & (w != F.lower(value)), _like_case(value, b)).otherwise(b)
 
     return F.array_join(F.transform(bits, one), "")
 

@@ -43,6 +43,9 @@ def backend(name: str) -> list[str]:
     return parts
 
 
+OUT_OF_MEMORY = ("out of memory", "cublas_status_alloc_failed")  # fixed values
+
+
 def _with_retry(f: Callable[[bytes], str], content: bytes, limit_s: float = 180.0, first_s: float = 5.0) -> str:
     """Retries out-of-memory errors only, waiting twice as long each time, until the limit."""
     waited, pause = 0.0, first_s
@@ -50,7 +53,7 @@ def _with_retry(f: Callable[[bytes], str], content: bytes, limit_s: float = 180.
         try:
             return f(content)
         except Exception as e:
-            if not ("outofmemory" in type(e).__name__.lower() or "out of memory" in str(e).lower()) or waited + pause > limit_s:
+            if not ("outofmemory" in type(e).__name__.lower() or any(m in str(e).lower() for m in OUT_OF_MEMORY)) or waited + pause > limit_s:
                 raise
             time.sleep(pause)
             waited, pause = waited + pause, pause * 2

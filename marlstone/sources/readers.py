@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import json
+import csv
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -39,9 +39,17 @@ def glob_images(spark: SparkSession, root: str, pattern: str = "*.{png,jpg,jpeg,
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of one text file, numbered from 1. A manifest is one file, read as a whole."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value")).withColumn("line", F.col("line") + 1).filter(T.strip(F.col("value")) != "")
+    """(line, value) of one text file, numbered from 1; blank lines count but are left out.
+
+    The file is read in splits: a line's number is its place in its split, offset
+    by the lines of earlier splits. So no task reads a large manifest whole.
+    """
+    rows = spark.read.text(path).withColumn("begin", F.col("_metadata.file_block_start")).withColumn("at", F.monotonically_increasing_id())
+    sizes = rows.groupBy("begin").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("begin").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("begin", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    numbered = rows.join(F.broadcast(sizes), "begin").select((F.col("at") - F.col("first") + F.col("before") + 1).cast("int").alias("line"), "value")
+    return numbered.filter(T.strip(F.col("value")) != "")
 
 
 EVAL_SCHEMA = "image STRING, expected_tags STRING, target_caption STRING, target_style STRING, target_category STRING, target_backend STRING, notes STRING"
@@ -130,11 +138,16 @@ def curator_manifest(spark: SparkSession, path: str, export_root: str | None = N
 
 def tagger_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(pos, name, category) of a CSV file with columns name and category."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "row"))
-    head = [h.strip() for h in rows.filter("pos = 0").first()["row"].split(",")]
-    at = {h: i for i, h in enumerate(head)}
-    cut = F.split("row", ",")
-    return rows.filter("pos > 0 and trim(row) <> ''").select((F.col("pos") - 1).alias("pos"), cut[at["name"]].alias("name"), cut[at["category"]].cast("int").alias("category"))
+    # quoted fields may hold commas; a field with a line break would make the file one split's work
+    lines = numbered_lines(spark, path)
+    head = lines.orderBy("line").first()
+    fields = next(csv.reader([head["value"]]))
+    if not {"name", "category"} <= {f.strip() for f in fields}:
+        raise ValueError("a vocabulary needs the columns name and category")
+    schema = ", ".join(f"c{i} string" for i in range(len(fields)))
+    at = {f.strip(): f"v.c{i}" for i, f in enumerate(fields)}
+    rows = lines.filter(F.col("line") > head["line"]).select("line", F.from_csv("value", schema, {"escape": '"'}).alias("v"))
+    return rows.select((F.col("line") - head["line"] - 1).cast("int").alias("pos"), F.col(at["name"]).alias("name"), F.col(at["category"]).cast("int").alias("category"))
 
 
 def chat_image(messages: Column) -> Column:
@@ -178,27 +191,44 @@ class _PagedRead(DataSourceReader):
 
 
 class _PagedStream(DataSourceStreamReader):
-    """Each batch lists what was updated after the last batch's newest timestamp."""
+    """Each batch lists what was updated at the last batch's newest timestamp or after; what was seen at it is left out.
+
+    The offset keeps the ids at that timestamp, so an asset that turns up later
+    with the same one isn't lost. Assets without a timestamp come once, at first.
+    """
 
     def __init__(self, fetch: FetchPage, size: int, since: str | None):
         self.fetch, self.size, self.begin, self.since = fetch, size, since, since
 
     def initialOffset(self) -> dict:
-        return {"since": self.begin or ""}
+        return {"since": self.begin or "", "seen": [], "undated": []}
 
     def latestOffset(self) -> dict:
-        rows = list(_PagedRead(self.fetch, self.size, self.since).read(InputPartition(0)))
-        self.since = max([u for _, u in rows if u] + [self.since or ""]) or None
-        return {"since": self.since or ""}
+        newest, seen, undated = self.since or "", set(), set()
+        for i, at in _PagedRead(self.fetch, self.size, self.since).read(InputPartition(0)):
+            if not at:
+                undated.add(i)
+            elif at > newest:
+                newest, seen = at, {i}
+            elif at == newest:
+                seen.add(i)
+        self.since = newest or None
+        return {"since": newest, "seen": sorted(seen), "undated": sorted(undated)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [InputPartition((start["since"], end["since"]))]
+        return [InputPartition((start, end))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        lo, hi = partition.value
-        for row in _PagedRead(self.fetch, self.size, lo or None).read(partition):
-            if (row[1] or "") <= hi and (row[1] or "") > lo:
-                yield row
+        start, end = partition.value
+        for i, at in _PagedRead(self.fetch, self.size, start["since"] or None).read(partition):
+            if not at:
+                new = i in end["undated"] and i not in start["undated"]
+            elif at == start["since"]:
+                new = i not in start["seen"] and (at < end["since"] or i in end["seen"])
+            else:
+                new = start["since"] < at < end["since"] or (at == end["since"] and i in end["seen"])
+            if new:
+                yield i, at
 
     def commit(self, end: dict) -> None:
         pass
@@ -228,7 +258,3 @@ def album_assets(raw: DataFrame) -> DataFrame:
     """(id, name, updated_at) of an album's JSON rows (column value): images only, the name defaulting to the id."""
     field = lambda k: F.get_json_object("value", f"$.{k}")
     return raw.filter(field("type") == "IMAGE").select(field("id").alias("id"), F.coalesce(field("originalFileName"), field("id")).alias("name"), field("updatedAt").alias("updated_at"))
-
-
-def as_json_lines(rows: list[dict]) -> list[str]:
-    return [json.dumps(r, ensure_ascii=False) for r in rows]

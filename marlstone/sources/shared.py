@@ -11,9 +11,11 @@ _own: list[str] = []
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under spark.checkpoint.dir (a temporary folder where unset) and read it back."""
+    """Write ``df`` under spark.checkpoint.dir (a temporary folder where unset and all is local) and read it back."""
     base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not df.sparkSession.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="marlstone-"))
         base = _own[0]

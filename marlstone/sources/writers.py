@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators.batch import stem
 
 CSV_COLUMNS = ["name", "final_caption", "selected_category", "backend_name", "training", "zeroshot", "raw_tags", "raw_prose"]
 
@@ -39,8 +38,13 @@ def export(results: DataFrame, path: str, fmt: str) -> None:
         raise ValueError(f"unknown format {fmt!r}: txt, json, jsonl or csv")
 
 
-def write_sidecars(rows: DataFrame, suffix: str, overwrite: bool = True) -> None:
-    """One file beside each image, written to a part file and renamed. The images' folder must be shared."""
+def write_sidecars(rows: DataFrame, suffix: str, overwrite: bool | None = None) -> None:
+    """One file beside each image, written to a part file and renamed. The images' folder must be shared.
+
+    A file that is there is replaced if ``overwrite``; by default captions (.txt)
+    are, metadata isn't, as it may hold what others wrote.
+    """
+    overwrite = suffix == ".txt" if overwrite is None else overwrite
 
     def put(batch: Iterator[Row]) -> None:
         for r in batch:
@@ -108,9 +112,3 @@ def provenance_json(p: Column) -> Column:
 
 def keywords(raw_tags: Column) -> Column:
     return T.tag_list(F.coalesce(raw_tags, F.lit("")))
-
-
-def sidecar_path(path: Column) -> Column:
-    return F.concat(stem(path), F.lit(".txt"))
-
-

@@ -1,12 +1,15 @@
 """A corpus pipeline of five stages, each one of the corpus operators.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of docs.
+return the columns of docs, whatever these are called. Null and empty texts are
+documents too: the toxicity stage scores them like the empty text, exact dedup
+keeps one of them, the later stages keep that one (it has no words), and it is
+encoded as no tokens. Null doc_ids, repeated rows, ties and empty tables are
+handled as the operators' docstrings say; texts of any length are taken whole.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import bpe, decontam, exact_dedup, near_dedup, toxicity
@@ -20,22 +23,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject; it is fitted on ``labels``, and with none of them all stay or go alike."""
     return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id; of rows that repeat it, one."""
     return exact_dedup.drop_copies(docs, keep="max")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the row with the smallest doc_id; rows without words all stay."""
     return near_dedup.drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of ``benchmark`` occurs; an empty benchmark removes nothing."""
     return decontam.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with their digests; one row per row, other columns are left out."""
+    import public_tokenizers
+
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 

@@ -366,7 +366,7 @@ def _windows(doc: np.ndarray, begin: np.ndarray, bodies: list[bytes]) -> pa.Reco
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fetches the bytes of the wanted segments: (doc, text, (anchor, span, heavy) each) to (kind, anchor, doc, span, bytes)."""
+    """Fetches the bytes of the wanted segments: (doc, doc_id, text, (anchor, span, heavy) each or null) to (kind, anchor, doc, span, bytes)."""
     lot: list[tuple[int, int, bytes]] = []  # segments of heavy anchors
     size = 0
 
@@ -375,9 +375,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _windows(np.array(doc, np.int64), np.array(begin, np.int64), list(bodies))
 
     for batch in batches:
-        data, offsets = text_buffer(batch.column(1))
+        batch = batch.filter(batch.column(3).is_valid())
+        data, offsets = text_buffer(batch.column(2))
         doc = batch.column(0).to_numpy(zero_copy_only=False)
-        want = batch.column(2)
+        want = batch.column(3)
         for k in range(batch.num_rows):
             pairs = want[k].values
             anchor, span = pairs.field(0), pairs.field(1).to_numpy(zero_copy_only=False)
@@ -466,8 +467,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     heavy = sifted.filter("doc is null").select("anchor", F.lit(True).alias("heavy"))
     firsts = sifted.filter("anchor is not null and doc is not null").join(F.broadcast(heavy), "anchor", "left")
     wanted = firsts.groupBy("doc").agg(F.collect_list(F.struct("anchor", "span", F.coalesce("heavy", F.lit(False)).alias("heavy"))).alias("want"))
+    # both joins deal the same three columns of every document by doc, so Spark shuffles the texts once and reads them twice
     texts = docs.select("doc", "doc_id", "text")
-    pieces = texts.join(wanted, "doc").select("doc", "text", "want").mapInArrow(_cut, "kind int, anchor long, doc long, span long, bytes binary")
+    pieces = texts.join(wanted, "doc", "left").select("doc", "doc_id", "text", "want").mapInArrow(_cut, "kind int, anchor long, doc long, span long, bytes binary")
     pieces = pieces.repartition("anchor").sortWithinPartitions("kind", "anchor", "doc", "span")
     marks = pieces.mapInArrow(_index, "doc long, span long").union(sifted.filter("anchor is null").select("doc", "span"))
     spans = marks.groupBy("doc").agg(F.collect_list("span").alias("marks"))

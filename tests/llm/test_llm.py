@@ -556,8 +556,9 @@ def repeats_in_one_process(rows):
             want.setdefault(r["doc"], []).append({"anchor": r["anchor"], "span": r["span"], "heavy": r["anchor"] in heavy})
     ids = sorted(want, key=lambda i: zlib.crc32(str(i).encode()))
     kind = pa.list_(pa.struct([("anchor", pa.int64()), ("span", pa.int64()), ("heavy", pa.bool_())]))
-    wanted = pa.record_batch([pa.array(ids), pa.array([text[i] for i in ids]), pa.array([want[i] for i in ids], kind)], names=["doc", "text", "want"])
-    met, pieces = ordered(repeats._cut([wanted]), ["kind", "anchor", "doc", "span"])
+    none = pa.record_batch([pa.array([-1]), pa.array([-1]), pa.array(["a text of which nothing is wanted"]), pa.array([None], kind)], names=["doc", "doc_id", "text", "want"])
+    wanted = pa.record_batch([pa.array(ids), pa.array(ids), pa.array([text[i] for i in ids]), pa.array([want[i] for i in ids], kind)], names=none.schema.names)
+    met, pieces = ordered(repeats._cut([none, wanted]), ["kind", "anchor", "doc", "span"])
     gone = {i: bytearray(len(t)) for i, t in rows}
     marks = [r for b in repeats._index(iter(pieces)) for r in b.to_pylist()] + [r for r in sifted if r["anchor"] is None]
     for r in marks:

@@ -315,6 +315,18 @@ def mean_colour(pixels: Column) -> Column:
     return F.when(F.size(pixels) > 0, F.struct(mean("r"), mean("g"), mean("b")))
 
 
+def region(pixels: Column, width: Column, box: Column) -> Column:
+    """The pixels (by rows of ``width``) inside struct<x0, y0, x1, y1>, rounded and clamped to the image; null if that is empty."""
+    height = F.floor(F.size(pixels) / width)
+
+    def edge(k: str, most: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(F.bround(box[k].cast("double")).cast("bigint"), most.cast("bigint")))
+
+    x0, y0, x1, y1 = edge("x0", width), edge("y0", height), edge("x1", width), edge("y1", height)
+    inside = F.filter(pixels, lambda _, i: (i % width).between(x0, x1 - 1) & F.floor(i / width).between(y0, y1 - 1))
+    return F.when(box.isNotNull() & (x1 > x0) & (y1 > y0), inside)
+
+
 def content_key(content: Column) -> Column:
     """The first 20 hex digits of the SHA-256 of bytes or text."""
     return F.left(F.sha2(content, 256), F.lit(20))

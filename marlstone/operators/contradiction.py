@@ -95,8 +95,8 @@ def recoloured(prose: Column, subject: Column, value: Column) -> Column:
 
 
 def reposed(prose: Column, flagged: Column, value: Column) -> Column:
-    """Every flagged posture word but the target is replaced."""
-    bits = F.regexp_extract_all(prose, F.lit(r"(?s)([A-Za-z]+|[^A-Za-z]+)"), 1)
+    """Every flagged posture word but the target is replaced; letters beside digits or underscores aren't words."""
+    bits = F.regexp_extract_all(prose, F.lit(r"(?s)(\b[A-Za-z]+\b|(?:(?!\b[A-Za-z]+\b).)+)"), 1)
 
     def one(b: Column) -> Column:
         w = F.lower(b)
@@ -119,6 +119,39 @@ def answered(dispute: Column) -> Column:
     return T.parse_answer(dispute["kind"], dispute["answer"])
 
 
+def grounded(boxes: Column, pixels: Column, width: Column) -> Verifier:
+    """Names the mean colour of the first box found for a dispute's subject; abstains on postures and empty boxes.
+
+    ``boxes``: map<subject, array<struct<x0, y0, x1, y1>>>, from a grounding model;
+    ``pixels``: array<struct<r, g, b>> by rows of ``width``.
+    """
+
+    def verify(dispute: Column) -> Column:
+        mean = T.mean_colour(T.region(pixels, width, F.get(F.try_element_at(boxes, dispute["subject"]), F.lit(0))))
+        return F.when(mean.isNotNull() & (dispute["kind"] == "color"), T.nearest_colour(mean["r"], mean["g"], mean["b"]))
+
+    return verify
+
+
+def _asked(kind: Column, subject: Column) -> Column:
+    return F.concat(kind, F.lit(":"), subject)
+
+
+def questions(df: DataFrame, key: str, tags: str = "tags", prose: str = "prose") -> DataFrame:
+    """(key, kind, subject, question) of each dispute, for a model to answer; any number of rows at once."""
+    found = df.select(key, F.explode(disputes(F.coalesce(tags, F.lit("")), F.coalesce(prose, F.lit("")))).alias("d"))
+    return found.select(key, "d.kind", "d.subject", T.question(F.col("d.kind"), F.col("d.subject")).alias("question"))
+
+
+def reconcile_answered(df: DataFrame, key: str, answers: DataFrame, tags: str = "tags", prose: str = "prose") -> DataFrame:
+    """``reconcile`` by a model's free answers (key, kind, subject, answer); without one, or one that can't be read, nothing changes."""
+    by_key = answers.filter("answer is not null").groupBy(key).agg(
+        F.map_from_entries(F.array_distinct(F.collect_list(F.struct(_asked(F.col("kind"), F.col("subject")), "answer")))).alias("__answers")
+    )
+    heard = lambda d: T.parse_answer(d["kind"], F.try_element_at(F.col("__answers"), _asked(d["kind"], d["subject"])))
+    return reconcile(df.join(by_key, key, "left"), heard, tags, prose).drop("__answers")
+
+
 _verifiers: dict[str, Verifier] = {"tag-prior": tag_prior}
 
 

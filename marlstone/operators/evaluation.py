@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from marlstone.functions import text as T
 from marlstone.functions import vocab as V
@@ -71,6 +72,29 @@ def scorecard(metrics: DataFrame) -> DataFrame:
     )
 
 
+def flattened(card: DataFrame) -> DataFrame:
+    """A recorded scorecard with nested metrics (``over_budget_pct.training``) as columns (``over_budget_pct_training``).
+
+    Metrics may stand in a struct ``aggregates``; what isn't a number is null.
+    """
+    if "aggregates" in card.columns and isinstance(card.schema["aggregates"].dataType, Ty.StructType):
+        card = card.select("aggregates.*")
+
+    def leaves(of: Ty.StructType, path: tuple[str, ...] = ()) -> list[Column]:
+        out = []
+        for f in of.fields:
+            at = (*path, f.name)
+            if isinstance(f.dataType, Ty.StructType):
+                out += leaves(f.dataType, at)
+            else:
+                number = isinstance(f.dataType, (Ty.NumericType, Ty.BooleanType))
+                value = F.col(".".join(f"`{x}`" for x in at)) if number else F.lit(None)
+                out.append(value.cast("double").alias("_".join(at)))
+        return out
+
+    return card.select(leaves(card.schema))
+
+
 def long_form(card: DataFrame) -> DataFrame:
     """(metric, value) of the gate's metrics in a scorecard."""
     have = [m for m in V.GATE if m in card.columns]
@@ -97,3 +121,13 @@ def passes(card: DataFrame, baseline: DataFrame | None = None, tolerance: float
 def report(card: DataFrame) -> DataFrame:
     """(line) of a readable scorecard."""
     return long_form(card).select(F.format_string("%-32s %s", "metric", F.coalesce(F.format_string("%.3f", "value"), F.lit("n/a"))).alias("line"))
+
+
+def comparison_report(compared: DataFrame) -> DataFrame:
+    """(pos, line): a readable comparison with a baseline, metrics in the gate's order, the verdict last."""
+    order = F.lit(list(V.GATE))
+    mark = F.when(F.col("regressed"), "\u2717").when(F.col("improved"), "\u2713").otherwise(" ")
+    text = F.format_string("  %s %s: %.3f \u2192 %.3f (%+.3f)", mark, "metric", "baseline", "value", "delta")
+    lines = compared.select(F.array_position(order, F.col("metric")).alias("pos"), text.alias("line"))
+    verdict = F.when(F.coalesce(F.bool_or("regressed"), F.lit(False)), "  verdict: REGRESSED").otherwise("  verdict: OK")
+    return lines.unionByName(compared.agg(verdict.alias("line")).select(F.lit(len(V.GATE) + 1).cast("bigint").alias("pos"), "line"))

@@ -10,7 +10,7 @@ from marlstone.operators import assembly as A
 from marlstone.operators import contradiction as C
 from marlstone.operators import evaluation as E
 from marlstone.plans import sqltext as S
-from marlstone.plans.bridge import SQL_CAPTIONS, captions, quoted
+from marlstone.plans.bridge import SQL_CAPTIONS, captions, quoted, table
 from marlstone.plans.sqltext import NAMES
 from marlstone.sources import writers as W
 
@@ -269,11 +269,56 @@ def reconcile_pose(spark, d):
     return df.select("image_id", F.when(F.col("x").isNull(), F.col("prose")).otherwise(C.reposed(F.col("prose"), F.col("x.prose_says"), C.tag_prior(F.col("x")))).alias("prose"))
 
 
-@query()
+def _let(name: str, value: str, body: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _cased(new: str, old: str) -> str:
+    return f"CASE WHEN regexp_matches({old}, '^[A-Z]') THEN upper(left({new}, 1)) || lower({new}[2:]) ELSE {new} END"
+
+
+def _words_swapped(text: str, hit: str) -> str:
+    """The text with the words (every second bit) for which ``hit`` holds replaced by d.now."""
+    swapped = f"array_to_string(list_transform(range(1, len(b) + 1), lambda i: CASE WHEN {hit} THEN {_cased('d.now', 'b[i]')} ELSE b[i] END), '')"
+    return _let("b", rf"string_split(regexp_replace({text}, '(\b[A-Za-z]+\b)', chr(2) || '\1' || chr(2), 'g'), chr(2))", swapped)
+
+
+_NEAREST = _let(
+    "w", "list_transform(range(1, len(b) // 2 + 1), lambda k: lower(b[2 * k]))",
+    _let("s", "list_filter(range(1, len(w) + 1), lambda k: list_contains(d.forms, w[k]))",
+         f"list_sort(list_transform(list_filter(range(1, len(w) + 1), lambda k: {S.in_list('w[k]', V.COLOURS)} AND {S.canon('w[k]')} <> d.now AND len(s) > 0), "
+         "lambda k: {'d': list_min(list_transform(s, lambda p: abs(p - k))), 'k': k}))[1].k"),
+)
+_RECOLOURED = rf"""array_to_string(list_transform(string_split(regexp_replace(a.p, '([.,;:!?]|\b(?:and|with|but|while)\b)', chr(1) || '\1' || chr(1), 'gi'), chr(1)),
+  lambda part: {_words_swapped('part', f"i = coalesce(2 * {_NEAREST}, 0)")}), '')"""
+_REPOSED = _words_swapped("a.p", "i % 2 = 0 AND list_contains(d.was, lower(b[i])) AND lower(b[i]) <> d.now")
+_REWRITTEN = _let("q", f"CASE WHEN d.kind = 'color' THEN {_RECOLOURED} ELSE {_REPOSED} END", "{'p': q, 'n': a.n + CAST(q <> a.p AS INTEGER)}")
+# disputes in order: colours as their nouns first occur in the tags, then the posture
+_RECONCILED = f"""{_CONTRA},
+co AS (SELECT image_id, noun, min(o) AS o FROM (SELECT image_id, o, list_filter(ws, lambda w: NOT {S.in_list('w', V.COLOURS)} AND NOT {S.in_list('w', V.NON_NOUNS)})[-1] AS noun, len(list_filter(ws, lambda w: {S.in_list('w', V.COLOURS)})) AS n
+  FROM (SELECT image_id, o, {S.words("replace(lower(t), '_', ' ')")} AS ws FROM (SELECT image_id, unnest({S.pieces('tags', ',')}) AS t, unnest(range(len({S.pieces('tags', ',')}))) AS o FROM cap))) WHERE n > 0 AND noun IS NOT NULL GROUP BY ALL),
+ds AS (SELECT al.image_id, list({{'kind': kind, 'was': says, 'now': say[1], 'forms': list_concat([subject, subject || 's', subject || 'es'], CASE WHEN subject LIKE '%s' THEN [left(subject, length(subject) - 1)] ELSE [] END)}} ORDER BY kind, coalesce(o, 0)) AS ds
+  FROM al LEFT JOIN co ON al.image_id = co.image_id AND subject = noun AND kind = 'color' WHERE bad GROUP BY al.image_id),
+rw AS (SELECT cap.image_id, prose, CASE WHEN ds IS NULL THEN {{'p': prose, 'n': 0}} ELSE list_reduce(ds, lambda a, d: {_REWRITTEN}, {{'p': prose, 'n': 0}}) END AS r FROM cap LEFT JOIN ds ON cap.image_id = ds.image_id)
+SELECT image_id, r.p AS prose, CAST(r.n AS INTEGER) AS changes FROM rw"""
+
+
+@query(_RECONCILED)
 def reconcile_all(spark, d):
     return C.reconcile(captions(spark, d)).select("image_id", "prose", F.size("changes").alias("changes"))
 
 
+@query(_RECONCILED)
+def reconcile_answered(spark, d):
+    """As reconcile_all, by free answers that name the tags' value."""
+    df = captions(spark, d)
+    said = df.select("image_id", F.explode(C.disputes(F.col("tags"), F.col("prose"))).alias("x")).select(
+        "image_id", "x.kind", "x.subject", F.concat(F.lit("Hard to say; "), F.initcap(C.tag_prior(F.col("x"))), F.lit(", I think.")).alias("answer")
+    )
+    answers = C.questions(df, "image_id").join(said, ["image_id", "kind", "subject"])
+    return C.reconcile_answered(df, "image_id", answers).select("image_id", "prose", F.size("changes").alias("changes"))
+
+
 def _measured(spark, d):
     return E.with_metrics(_composed(spark, d).withColumn("expected_tags", F.slice(T.tag_list(F.concat("tags", F.lit(", blue_sky"))), 1, 4)))
 
@@ -324,3 +369,21 @@ def baseline_compare(spark, d):
     base = spark.createDataFrame([tuple(_BASELINE.values())], ", ".join(f"{m} double" for m in _BASELINE))
     got = E.compare(E.scorecard(_measured(spark, d)), base)
     return got.select("metric", F.round("value", 9).alias("value"), "baseline", F.round("delta", 9).alias("delta"), "regressed", "improved")
+
+
+_NESTED = "contradiction_rate_mean double, items_with_contradiction_pct string, over_budget_pct struct<training: double, zeroshot: double>, coverage_recall_mean double"
+
+
+@query("""WITH c AS (SELECT avg(CAST(l_discount AS DOUBLE)) AS a, avg(CAST(l_tax AS DOUBLE)) AS b, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS e, avg(CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END) AS f FROM lineitem),
+m AS (SELECT 1 AS pos, 'contradiction_rate_mean' AS metric, a AS v, 0.02 AS w, 1 AS s FROM c UNION ALL SELECT 3, 'over_budget_pct_training', b, 0.041, 1 FROM c UNION ALL SELECT 4, 'over_budget_pct_zeroshot', e, 0.9, 1 FROM c UNION ALL SELECT 5, 'coverage_recall_mean', f, 0.95, -1 FROM c)
+SELECT CAST(pos AS BIGINT) AS pos, '  ' || CASE WHEN (v - w) * s > 0.01 THEN chr(10007) WHEN (v - w) * s < -0.01 THEN chr(10003) ELSE ' ' END || ' ' || metric || ': ' || printf('%.3f', CAST(w AS DOUBLE)) || ' ' || chr(8594) || ' ' || printf('%.3f', v) || ' (' || printf('%+.3f', v - w) || ')' AS line FROM m
+UNION ALL SELECT 7, CASE WHEN bool_or((v - w) * s > 0.01) THEN '  verdict: REGRESSED' ELSE '  verdict: OK' END FROM m""")
+def baseline_report(spark, d):
+    """A scorecard against a recorded one with nested metrics, one of which isn't a number."""
+    base = spark.createDataFrame([(0.02, "unknown", (0.041, 0.9), 0.95)], _NESTED)
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    card = table(spark, d, "lineitem").agg(
+        F.avg(F.col("l_discount").cast("double")).alias("contradiction_rate_mean"), F.lit(0.5).alias("items_with_contradiction_pct"), F.avg(F.col("l_tax").cast("double")).alias("over_budget_pct_training"),
+        share(F.col("l_returnflag") == "R").alias("over_budget_pct_zeroshot"), share(F.col("l_linestatus") == "O").alias("coverage_recall_mean"),
+    )
+    return E.comparison_report(E.compare(card, E.flattened(base)))

@@ -225,3 +225,43 @@ def test_message_parts(spark, one):
     assert value(one, R.message_text(F.lit('"x"'))) == "x"
     df = spark.createDataFrame([([("user", [("text", "hi", None), ("image_url", None, "data:image/png;base64,QUI=")]), ("user", None)],)], "m array<struct<role: string, content: array<struct<type: string, text: string, image_url: string>>>>")
     assert bytes(df.select(R.chat_image(F.col("m")).alias("x")).first()["x"]["data"]) == b"AB"
+
+
+def test_a_grounded_verifier_names_the_first_boxs_colour(spark):
+    red, blue = (200, 30, 30), (40, 70, 200)
+    pixels = [red, red, blue, blue] * 2  # four wide, two high
+    rows = [
+        ("red hat", "a blue hat", {"hat": [(-3.0, 0.0, 2.4, 9.0)]}),        # clamped and rounded: red
+        ("red hat", "a blue hat", {"hat": [(2.0, 0.0, 4.0, 2.0)]}),         # blue, as the prose says
+        ("red hat", "a blue hat", {"hat": [(1.6, 0.0, 2.4, 2.0)]}),         # no area: abstains
+        ("red hat", "a blue hat", {}),                                     # nothing found
+        ("standing", "she is sitting", {"posture": [(0.0, 0.0, 4.0, 2.0)]}),  # postures aren't measured
+    ]
+    box = "array<struct<x0: double, y0: double, x1: double, y1: double>>"
+    df = spark.createDataFrame([(i, *r, pixels, 4) for i, r in enumerate(rows)], f"i int, tags string, prose string, boxes map<string, {box}>, pixels array<struct<r: int, g: int, b: int>>, width int")
+    got = C.reconcile(df, C.grounded(F.col("boxes"), F.col("pixels"), F.col("width"))).orderBy("i").collect()
+    assert [r["prose"] for r in got] == ["a red hat", "a blue hat", "a blue hat", "a blue hat", "she is sitting"]
+
+
+def test_free_answers_reconcile_and_unreadable_ones_do_not(spark):
+    df = spark.createDataFrame([(1, "red hat, standing", "a blue hat, sitting"), (2, "red hat", "a blue hat"), (3, None, "a blue hat")], "id int, tags string, prose string")
+    asked = C.questions(df, "id").collect()
+    assert sorted((r["id"], r["kind"], r["subject"]) for r in asked) == [(1, "color", "hat"), (1, "pose", "posture"), (2, "color", "hat")]
+    answers = spark.createDataFrame([(1, "color", "hat", "Green."), (1, "pose", "posture", None), (2, "color", "hat", "no idea")], "id int, kind string, subject string, answer string")
+    got = C.reconcile_answered(df, "id", answers).orderBy("id").collect()
+    assert [r["prose"] for r in got] == ["a green hat, sitting", "a blue hat", "a blue hat"]
+
+
+def test_posture_letters_inside_other_words_stay(spark):
+    df = spark.createDataFrame([("standing", "Sitting, sitting2 and x_sitting")], "tags string, prose string")
+    assert C.reconcile(df).first()["prose"] == "Standing, sitting2 and x_sitting"
+
+
+def test_nested_baselines_and_the_report(spark):
+    card = spark.createDataFrame([(0.5, 0.2)], "contradiction_rate_mean double, over_budget_pct_training double")
+    base = spark.createDataFrame([((0.1, (0.3, "n/a"), "none"),)], "aggregates struct<contradiction_rate_mean: double, over_budget_pct: struct<training: double, zeroshot: string>, clip_mean: string>")
+    flat = E.flattened(base)
+    assert flat.first().asDict() == {"contradiction_rate_mean": 0.1, "over_budget_pct_training": 0.3, "over_budget_pct_zeroshot": None, "clip_mean": None}
+    lines = [r["line"] for r in E.comparison_report(E.compare(card, flat)).orderBy("pos").collect()]
+    assert lines == ["  ✗ contradiction_rate_mean: 0.100 → 0.500 (+0.400)", "  ✓ over_budget_pct_training: 0.300 → 0.200 (-0.100)", "  verdict: REGRESSED"]
+    assert [r["line"] for r in E.comparison_report(E.compare(card, flat.select("clip_mean"))).collect()] == ["  verdict: OK"]

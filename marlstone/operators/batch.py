@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions import vocab as V
+
 
 def latest_captions(captions: DataFrame) -> DataFrame:
     """The newest recorded caption of each asset: by version, then created_at; unknown ones count as newest."""
@@ -38,6 +40,30 @@ def replay(wanted: DataFrame, assets: DataFrame, captions: DataFrame, on_miss: s
     return out.select(*wanted.columns, "matched_by", *[F.col(f"__hit.{c}").alias(c) for c in body])
 
 
+def replayed_results(hits: DataFrame, name: str = "replay", source: str = "recorded") -> DataFrame:
+    """Hits of ``replay`` as caption results, with defaults for what wasn't recorded and a stamp of their origin.
+
+    Recorded columns that may be missing or null: final_caption, caption_variants,
+    raw_tags, raw_prose, backend_name, profile (map), version. Misses are left out.
+    Adds selected_category and replay, a struct that tells a replayed result from a fresh one.
+    """
+    texts = "map<string, string>"
+    kinds = {"final_caption": "string", "caption_variants": texts, "raw_tags": "string", "raw_prose": "string", "backend_name": "string", "profile": texts, "version": "bigint"}
+    got = {c: F.col(c).cast(t) if c in hits.columns else F.lit(None).cast(t) for c, t in kinds.items()}
+    none = F.create_map().cast(texts)
+    profile = F.coalesce(got["profile"], none)
+    stamp = F.struct(
+        F.lit(source).alias("source"), F.col("sha256").alias("asset_sha256"), F.col("uri").alias("asset_uri"),
+        got["version"].alias("caption_version"), got["backend_name"].alias("recorded_backend"), profile.alias("recorded_profile"),
+    )
+    blank = F.lit("")
+    return hits.filter("matched_by is not null").withColumns({
+        **{c: F.coalesce(got[c], blank) for c in ("final_caption", "raw_tags", "raw_prose")},
+        "caption_variants": F.coalesce(got["caption_variants"], none), "backend_name": F.coalesce(F.nullif(got["backend_name"], blank), F.lit(name)),
+        "selected_category": F.coalesce(F.nullif(F.try_element_at(profile, F.lit("target_category")), blank), F.lit("identity")), "replay": stamp,
+    })
+
+
 def infer_once(images: DataFrame, infer: Callable[[DataFrame], DataFrame], by: str = "sha256") -> DataFrame:
     """Runs ``infer`` on one image of each content hash and joins the results back to all.
 
@@ -92,12 +118,15 @@ def summary(rows: DataFrame) -> DataFrame:
 
 
 def pull_plan(assets: DataFrame, existing: DataFrame, order: str = "pos") -> DataFrame:
-    """Adds action: collision (a basename's later rows), skip (the file exists) or fetch."""
+    """Adds action: collision (a basename's later rows), skip (the file exists) or fetch; and a warning for what can't be captioned."""
     base = F.element_at(F.split("path", "/"), -1)
     n = F.row_number().over(Window.partitionBy("basename").orderBy(order))
     have = existing.select("basename", F.lit(True).alias("__have")).distinct()
     rows = assets.withColumn("basename", base).withColumn("__n", n).join(have, "basename", "left")
-    return rows.withColumn("action", F.when(F.col("__n") > 1, "collision").when(F.col("__have"), "skip").otherwise("fetch")).drop("__n", "__have")
+    rows = rows.withColumn("action", F.when(F.col("__n") > 1, "collision").when(F.col("__have"), "skip").otherwise("fetch")).drop("__n", "__have")
+    suffix = F.lower(F.regexp_extract("basename", r"[^.](\.[^.]+)$", 1))
+    odd = F.when(suffix == "", "not captionable: file has no extension").otherwise(F.concat(F.lit("not captionable: '"), suffix, F.lit("' is not a supported image type")))
+    return rows.withColumn("warning", F.when((F.col("action") != "collision") & ~suffix.isin(*V.IMAGE_SUFFIXES), odd))
 
 
 def wanted_assets(assets: DataFrame, ids: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
@@ -114,6 +143,30 @@ def folder_counts(files: DataFrame, cap: int = 5000) -> DataFrame:
     return rows.groupBy("folder").agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("images"))
 
 
+def browse(files: DataFrame, folder: str = "", cap: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """(folders, here) of one folder, from the relative paths of all files below the root.
+
+    folders: name, rel_path, image_count (all levels; stops at ``cap``),
+    subfolder_count; hidden ones are left out. here: path, parent (null at the
+    root), direct_image_count. Folders without any file aren't known.
+    """
+    inside = folder.strip("/")
+    rest = F.substr("path", F.lit(len(inside) + 2)) if inside else F.col("path")
+    parts = F.split(rest, "/")
+    rows = files.filter(F.startswith("path", F.lit(inside + "/"))) if inside else files
+    suffixes = "|".join(x.replace(".", r"\.") for x in V.IMAGE_SUFFIXES)
+    rows = rows.select(parts.alias("parts"), F.lower(rest).rlike(f"[^/]({suffixes})$").alias("image"))
+    below = F.get("parts", F.lit(1))
+    shown = rows.filter((F.size("parts") > 1) & ~F.startswith(F.get("parts", F.lit(0)), F.lit("."))).groupBy(F.get("parts", F.lit(0)).alias("name"))
+    folders = shown.agg(
+        F.least(F.count_if("image"), F.lit(cap)).alias("image_count"),
+        F.countDistinct(F.when((F.size("parts") > 2) & ~F.startswith(below, F.lit(".")), below)).alias("subfolder_count"),
+    ).select("name", F.concat(F.lit(f"{inside}/" if inside else ""), "name").alias("rel_path"), "image_count", "subfolder_count")
+    parent = F.lit(inside.rpartition("/")[0] if inside else None).cast("string")
+    here = rows.agg(F.count_if(F.col("image") & (F.size("parts") == 1)).alias("direct_image_count"))
+    return folders, here.select(F.lit(inside).alias("path"), parent.alias("parent"), "direct_image_count")
+
+
 def image_index(df: DataFrame, order: str) -> DataFrame:
     """Adds image_index, the 0-based place in ``order``, by range partitions and offsets (no single-task window)."""
     ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id())

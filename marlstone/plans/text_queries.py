@@ -233,6 +233,16 @@ def replay_misses(spark, d):
     return B.replay(*_recorded(spark, d), on_miss="skip").select("k", "matched_by")
 
 
+_LAST = "SELECT a.{k} AS key, max(version) AS v, arg_max(final_caption, version * 1000 + CASE created_at WHEN 'user' THEN 3 WHEN 'system' THEN 2 ELSE 1 END) AS f FROM a JOIN c ON a.id = c.asset_id GROUP BY a.{k}"
+
+
+@query(f"{_ASSETS}, s AS ({_LAST.format(k='sha256')}), u AS ({_LAST.format(k='uri')}) SELECT k, coalesce(s.f, u.f) AS caption, 'identity' AS category, 'replay' AS backend, q.sha256 AS asset_sha256, q.uri AS asset_uri, CAST(coalesce(s.v, u.v) AS BIGINT) AS caption_version FROM q LEFT JOIN s ON q.sha256 = s.key LEFT JOIN u ON q.uri = u.key WHERE s.key IS NOT NULL OR u.key IS NOT NULL")
+def replay_results(spark, d):
+    """Replayed rows as results: defaults for what wasn't recorded, and where each comes from."""
+    got = B.replayed_results(B.replay(*_recorded(spark, d)))
+    return got.select("k", F.col("final_caption").alias("caption"), F.col("selected_category").alias("category"), F.col("backend_name").alias("backend"), *[f"replay.{c}" for c in ("asset_sha256", "asset_uri", "caption_version")])
+
+
 @query("WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS s, coalesce(text, '') AS t FROM documents) SELECT doc_id, length(t) AS inferred FROM h")
 def batch_dedupe(spark, d):
     images = _docs(spark, d).select("doc_id", F.sha2("text", 256).alias("sha256"), "text")
@@ -268,13 +278,20 @@ def batch_summary(spark, d):
     return B.summary(_outcomes(spark, d))
 
 
-@query("""WITH a AS (SELECT o_orderkey AS pos, o_custkey || '.jpg' AS basename FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY basename ORDER BY pos) AS n FROM a)
-SELECT pos, basename, CASE WHEN n > 1 THEN 'collision' WHEN basename IN (SELECT (c_custkey || '.jpg') FROM customer WHERE c_custkey % 3 = 0) THEN 'skip' ELSE 'fetch' END AS action FROM n""")
+_KIND = "CASE {0} % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' WHEN 2 THEN '.mp4' ELSE '' END"
+
+
+@query(f"""WITH a AS (SELECT o_orderkey AS pos, o_custkey || {_KIND.format('o_custkey')} AS basename, o_custkey % 4 AS m FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY basename ORDER BY pos) AS n FROM a),
+h AS (SELECT c_custkey || {_KIND.format('c_custkey')} AS b FROM customer WHERE c_custkey % 3 = 0)
+SELECT pos, basename, CASE WHEN n > 1 THEN 'collision' WHEN basename IN (SELECT b FROM h) THEN 'skip' ELSE 'fetch' END AS action,
+  CASE WHEN n > 1 THEN NULL WHEN m = 2 THEN 'not captionable: ''.mp4'' is not a supported image type' WHEN m = 3 THEN 'not captionable: file has no extension' END AS warning FROM n""")
 def pull_plan(spark, d):
-    name = F.concat(F.col("o_custkey").cast("string"), F.lit(".jpg"))
-    assets = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("albums/"), name).alias("path"))
-    have = table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.concat(F.col("c_custkey").cast("string"), F.lit(".jpg")).alias("basename"))
-    return B.pull_plan(assets, have).select("pos", "basename", "action")
+    def name(k):
+        return F.concat(F.col(k).cast("string"), F.expr(_KIND.format(k)))
+
+    assets = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("albums/"), name("o_custkey")).alias("path"))
+    have = table(spark, d, "customer").filter("c_custkey % 3 = 0").select(name("c_custkey").alias("basename"))
+    return B.pull_plan(assets, have).select("pos", "basename", "action", "warning")
 
 
 @query("SELECT '/x/' || o_orderkey || '.png' AS path FROM orders WHERE o_custkey % 3 <> 0")
@@ -290,6 +307,16 @@ def folder_counts(spark, d):
     return B.folder_counts(table(spark, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path")))
 
 
+@query("""WITH f AS (SELECT CASE WHEN o_orderstatus = 'P' THEN '.P' ELSE o_orderstatus END AS name, o_orderpriority AS sub, o_orderkey % 5 <> 0 AS image FROM orders)
+SELECT name, 'all/' || name AS rel_path, least(count(*) FILTER (image), 5000) AS image_count, count(DISTINCT CASE WHEN sub NOT LIKE '1%' THEN sub END) AS subfolder_count FROM f WHERE name <> '.P' GROUP BY name""")
+def folder_browse(spark, d):
+    """Folders of two levels; one of each level is hidden."""
+    name = F.when(F.col("o_orderstatus") == "P", ".P").otherwise(F.col("o_orderstatus"))
+    sub = F.concat(F.when(F.startswith("o_orderpriority", F.lit("1")), ".").otherwise(""), "o_orderpriority")
+    file = F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 5 == 0, ".txt").otherwise(".JPG"))
+    return B.browse(table(spark, d, "orders").select(F.concat_ws("/", F.lit("all"), name, sub, file).alias("path")), "all")[0]
+
+
 @query("SELECT o_orderkey AS path, row_number() OVER (ORDER BY o_orderkey) - 1 AS image_index FROM orders")
 def image_index(spark, d):
     return B.image_index(table(spark, d, "orders").select(F.col("o_orderkey").alias("path")), "path")

@@ -265,3 +265,17 @@ def test_nested_baselines_and_the_report(spark):
     lines = [r["line"] for r in E.comparison_report(E.compare(card, flat)).orderBy("pos").collect()]
     assert lines == ["  ✗ contradiction_rate_mean: 0.100 → 0.500 (+0.400)", "  ✓ over_budget_pct_training: 0.300 → 0.200 (-0.100)", "  verdict: REGRESSED"]
     assert [r["line"] for r in E.comparison_report(E.compare(card, flat.select("clip_mean"))).collect()] == ["  verdict: OK"]
+
+
+def test_browse_pull_warnings_and_replayed_defaults(spark):
+    paths = ["top.png", "a/x.JPG", "a/b/y.gif", "a/.h/z.png", "a/b/n.txt", ".hid/q.png", "a/b/c/w.webp", "a/.jpg"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    folders, here = B.browse(files)
+    assert [tuple(r) for r in folders.collect()] == [("a", "a", 4, 1)] and tuple(here.first()) == ("", None, 1)
+    folders, here = B.browse(files, "a/b", cap=1)
+    assert [tuple(r) for r in folders.collect()] == [("c", "a/b/c", 1, 0)] and tuple(here.first()) == ("a/b", "a", 1)
+    plan = B.pull_plan(spark.createDataFrame([(0, "a.mp4"), (1, "b"), (2, "c.PNG"), (3, "x/a.mp4")], "pos int, path string"), spark.createDataFrame([], "basename string"))
+    assert [r["warning"] for r in plan.orderBy("pos").collect()] == ["not captionable: '.mp4' is not a supported image type", "not captionable: file has no extension", None, None]
+    hits = spark.createDataFrame([("s", None, "sha256", None, {"target_category": "setting"}, 3), ("t", "u", "uri", "text", None, None), ("m", None, None, None, None, None)], "sha256 string, uri string, matched_by string, final_caption string, profile map<string,string>, version int")
+    got = sorted(B.replayed_results(hits).collect(), key=lambda r: r["sha256"])
+    assert [(r["final_caption"], r["selected_category"], r["backend_name"], r["caption_variants"], r["replay"]["caption_version"]) for r in got] == [("", "setting", "replay", {}, 3), ("text", "identity", "replay", {}, None)]

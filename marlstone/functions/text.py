@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from marlstone.functions import vocab as V
 
 EDGE = " ,.;:-"
+# The characters of Unicode's White_Space property.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column, chars: str | None = None) -> Column:
     """Both ends without ``chars`` (white space by default)."""
-    return F.btrim(text, F.lit(chars)) if chars else F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(chars or WHITE))
 
 
 def squeeze(text: Column) -> Column:
@@ -66,9 +68,12 @@ def normalised(fragments: Column) -> Column:
 
 def content_words(text: Column) -> Column:
     """Distinct words longer than one character that are no stopwords."""
-    long = F.filter(F.split(text, r"(?U)\s+"), lambda w: F.length(w) > 1)
-    bare = F.transform(long, lambda w: strip(F.lower(w), ".,!?;:'\""))
-    return F.array_except(bare, V.strings(V.STOPWORDS))
+    return _content(F.split(text, r"(?U)\s+"))
+
+
+def _content(words: Column) -> Column:
+    bare = F.transform(F.filter(words, lambda w: F.length(w) > 1), lambda w: strip(F.lower(w), ".,!?;:'\""))
+    return F.array_distinct(F.filter(bare, lambda w: ~w.isin(*V.STOPWORDS)))  # a set of literals is hashed once, an array in every call
 
 
 def _stems(word: Column) -> Column:
@@ -81,17 +86,19 @@ def _stems(word: Column) -> Column:
 
 def tag_words(tags: Column) -> Column:
     """Words of comma-separated tags with their stems; underscores don't split."""
-    words = F.flatten(F.transform(F.split(tags, ","), content_words))
+    words = _content(F.split(tags, r"(?U)[\s,]+"))
     return F.array_distinct(F.flatten(F.transform(words, _stems)))
 
 
 def dedupe(fragments: Column) -> Column:
     """First of each case-insensitive trimmed value; blanks go."""
     keys = F.transform(fragments, lambda f: strip(F.lower(f)))
-    return V.let(
-        F.struct(fragments.alias("f"), keys.alias("k")),
-        lambda b: F.filter(b["f"], lambda f, i: (F.get(b["k"], i) != "") & (F.array_position(b["k"], F.get(b["k"], i)) == i + 1)),
-    )
+
+    def firsts(b: Column) -> Column:
+        mixed = F.filter(b["f"], lambda f, i: (F.get(b["k"], i) != "") & (F.array_position(b["k"], F.get(b["k"], i)) == i + 1))
+        return F.when(b["f"] == b["k"], F.filter(F.array_distinct(b["k"]), lambda k: k != "")).otherwise(mixed)
+
+    return V.let(F.struct(fragments.alias("f"), keys.alias("k")), firsts)
 
 
 def with_trigger(trigger: Column, rest: Column) -> Column:
@@ -138,8 +145,6 @@ def prose_tokens(clauses: Column, known: Column, most: int = V.ENRICHMENT_TOKENS
     Compounds of a clause come before its words. A compound is skipped if it or a
     part of it is known; a word if it is short, a stopword or known.
     """
-    stop = V.strings(V.PROSE_STOPWORDS)
-
     def of(low: Column, known: Column) -> Column:
         compounds = []
         for nouns in V.COMPOUND_NOUNS:
@@ -147,12 +152,12 @@ def prose_tokens(clauses: Column, known: Column, most: int = V.ENRICHMENT_TOKENS
 
             def tag(m: Column) -> Column:
                 first, noun = F.regexp_extract(m, r"(?U)^(\w+)", 1), F.regexp_extract(m, r"(?U)(\w+)$", 1)
-                return F.when(F.array_contains(stop, first), noun).otherwise(F.concat_ws("_", first, noun))
+                return F.when(first.isin(*V.PROSE_STOPWORDS), noun).otherwise(F.concat_ws("_", first, noun))
 
             compounds.append(F.transform(found, tag))
         good = F.filter(F.concat(*compounds), lambda t: ~F.array_contains(known, t) & ~F.arrays_overlap(split_words(F.replace(t, F.lit("_"), F.lit(" "))), known))
         words = F.transform(split_words(low), lambda w: strip(w, ".,!?;:'\"()[]"))
-        words = F.filter(words, lambda w: (F.length(w) > 3) & ~F.array_contains(stop, w) & ~F.array_contains(known, w))
+        words = F.filter(words, lambda w: (F.length(w) > 3) & ~w.isin(*V.PROSE_STOPWORDS) & ~F.array_contains(known, w))
         return F.concat(good, words)
 
     every = V.let(known, lambda k: F.flatten(F.transform(F.transform(clauses, F.lower), lambda low: of(low, k))))

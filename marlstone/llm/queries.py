@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, chat, decontam, exact_dedup, language, near_dedup, quality, repeats, sharding, toxicity
+from marlstone.llm import bpe, chat, decontam, exact_dedup, language, near_dedup, quality, repeats, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,11 +74,16 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_dedup(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_exact_dedup, op3_minhash_near_dedup, op4_sharding, op5_language_id,
         op6_byte_bpe, op7_quality, op8_toxicity, op9_benchmark_decontamination, op10_suffix_array_dedup,
+        op13_simhash_near_dedup,
     )
 }
 

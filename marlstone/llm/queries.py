@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, chat, decontam, exact_dedup, language, near_dedup, quality, repeats, sharding, simhash, toxicity
+from marlstone.llm import (
+    alignment, bpe, chat, decontam, exact_dedup, language, near_dedup, quality, repeats, sharding, simhash, spelling, toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +76,17 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_documents(_table(spark, sf_dir, "documents"), *paths)[0]
+
+
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(_table(spark, sf_dir, "documents"))
 
@@ -83,7 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_chat_formatting, op2_exact_dedup, op3_minhash_near_dedup, op4_sharding, op5_language_id,
         op6_byte_bpe, op7_quality, op8_toxicity, op9_benchmark_decontamination, op10_suffix_array_dedup,
-        op13_simhash_near_dedup,
+        op11_spelling_variants, op12_tokenizer_alignment, op13_simhash_near_dedup,
     )
 }
 

@@ -8,7 +8,8 @@ below, so equal order of packed numbers is word order. Suffixes end with their
 document. Every test suffix of a benchmark item is then found by binary search at
 these levels, as far as its first window: its occurrences are one interval of the
 array. Occurrences of neighbouring test suffixes that go on alike are joined, so
-each match comes out at its full length, with its places in document and item.
+each match comes out at its full length; its places in document and item are listed
+if asked for, by the two ends of each match.
 
 The test suffixes are the query set, broadcast in blocks of bounded size; a
 larger benchmark takes more blocks, each a pass over the documents, after which
@@ -37,12 +38,25 @@ SHARD_WORDS = 1 << 20   # starts of suffixes in one array; a longer text has sev
 DEPTHS = (1, 3, 9, 18)
 
 
+class Places(NamedTuple):
+    """Where the windows of one length stand in items: a row for each place."""
+
+    window: np.ndarray
+    row: np.ndarray      # the item's row
+    place: np.ndarray    # its first word there
+    before: np.ndarray   # 1 + the window one word earlier in the item, 0 without one
+    after: np.ndarray    # 1 + the window one word later
+
+
 class Queries(NamedTuple):
     """The windows of a block of items: distinct test prefixes by length."""
 
     prefixes: dict[int, np.ndarray]   # length -> (windows, length) word numbers
-    items: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> first row of each window, and rows of (window, item, place in the item)
+    sets: dict[int, np.ndarray]       # length -> the set of items that each window stands in
+    members: list[np.ndarray]         # items of each set; sets that agree are one
+    places: dict[int, Places]
     ids: np.ndarray                   # item ids as strings
+    item: np.ndarray                  # the item of each row
 
 
 def item_windows(ids: list[str], texts: list[str | None]) -> Queries:
@@ -54,15 +68,30 @@ def item_windows(ids: list[str], texts: list[str | None]) -> Queries:
         size = min(WINDOW, b - a)
         if size:
             rows = np.lib.stride_tricks.sliding_window_view(w.number[a:b], size)
-            found.setdefault(int(size), []).append((rows, np.full(len(rows), code[k]), np.arange(len(rows))))
-    prefixes, items = {}, {}
+            found.setdefault(int(size), []).append((rows, np.full(len(rows), k), np.arange(len(rows))))
+    prefixes, sets, places = {}, {}, {}
+    members = [np.array([c]) for c in range(len(names))]  # a window of a single item has that item's set
+    known: dict[bytes, int] = {}
     for size, parts in found.items():
         rows, owner, place = (np.concatenate([p[k] for p in parts]) for k in range(3))
         distinct, which = np.unique(rows, axis=0, return_inverse=True)
-        held = np.unique(np.stack([which.ravel(), owner, place], axis=1), axis=0)
+        which = which.ravel()
         prefixes[size] = distinct
-        items[size] = (np.searchsorted(held[:, 0], np.arange(len(distinct) + 1)), held)
-    return Queries(prefixes, items, names)
+        held = np.unique(which * len(names) + code[owner])
+        begin = np.searchsorted(held // len(names), np.arange(len(distinct) + 1))
+        held = held % len(names)
+        sets[size] = held[begin[:-1]]
+        for n in np.flatnonzero(np.diff(begin) > 1).tolist():
+            own = held[begin[n] : begin[n + 1]]
+            at = known.setdefault(own.tobytes(), len(members))
+            if at == len(members):
+                members.append(own)
+            sets[size][n] = at
+        joined = (owner[1:] == owner[:-1]) if len(owner) else np.zeros(0, bool)
+        before, after = np.zeros((2, len(which)), np.int64)
+        before[1:], after[:-1] = np.where(joined, which[:-1] + 1, 0), np.where(joined, which[1:] + 1, 0)
+        places[size] = Places(which, owner, place, before, after)
+    return Queries(prefixes, sets, members, places, names, code)
 
 
 class SuffixArray:
@@ -134,48 +163,63 @@ class SuffixArray:
         return np.where(ok, a, -1), np.where(ok, b, -1)
 
 
-def _matches(number: np.ndarray, first: np.ndarray, queries: Queries):
-    """(position, length, text, item, place in the item) of every occurrence of every window in a shard."""
-    parts = [_matches_in(number, first, queries, at) for at in range(0, max(len(number), 1), SHARD_WORDS)]
-    return np.concatenate(parts, axis=1)
+def _occurrences(number: np.ndarray, first: np.ndarray, queries: Queries) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """length -> (position, window) of every occurrence of every window in a shard, in order; at a position stands one window of a length."""
+    parts: dict[int, list] = {}
+    for at in range(0, max(len(number), 1), SHARD_WORDS):
+        # occurrences that begin within SHARD_WORDS words; the next array finds the others
+        stop = min(len(number), at + SHARD_WORDS + WINDOW - 1)
+        index = SuffixArray(number[at:stop], np.clip(first - at, 0, stop - at))
+        for size, rows in queries.prefixes.items():
+            lo, hi = index.find(rows)
+            many = np.maximum(hi - lo, 0)
+            if not many.any():
+                continue
+            window = np.repeat(np.arange(len(rows)), many)
+            nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            position = index.suffixes[np.repeat(lo, many) + nth]
+            own = position < SHARD_WORDS
+            by = np.argsort(position[own])
+            parts.setdefault(size, []).append((position[own][by] + at, window[own][by]))
+    return {size: tuple(np.concatenate(c) for c in zip(*p)) for size, p in parts.items()}
+
+
+def _besides(key: np.ndarray, window: np.ndarray, neighbour: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(nth occurrence, row of the sorted keys window * base + neighbour) for all rows of a window with another neighbour."""
+    out = []
+    lo, hi = np.searchsorted(key, window * base), np.searchsorted(key, (window + 1) * base)
+    a, z = np.searchsorted(key, window * base + neighbour), np.searchsorted(key, window * base + neighbour, side="right")
+    # neighbour 0 is no window: nothing goes on there, so no row is left out
+    a, z = np.where(neighbour > 0, a, hi), np.where(neighbour > 0, z, hi)
+    for begin, end in ((lo, a), (z, hi)):
+        many = end - begin
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        out.append((np.repeat(np.arange(len(window)), many), np.repeat(begin, many) + nth))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _matches_in(number: np.ndarray, first: np.ndarray, queries: Queries, at: int):
-    """``_matches`` of the occurrences that begin at ``at`` or within SHARD_WORDS words of it."""
-    found = [np.zeros((5, 0), np.int64)]
-    stop = min(len(number), at + SHARD_WORDS + WINDOW - 1)
-    index = SuffixArray(number[at:stop], np.clip(first - at, 0, stop - at))
-    for size, rows in queries.prefixes.items():
-        lo, hi = index.find(rows)
-        many = np.maximum(hi - lo, 0)
-        if not many.any():
-            continue
-        window = np.repeat(np.arange(len(rows)), many)
-        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        position = index.suffixes[np.repeat(lo, many) + nth]
-        own = position < SHARD_WORDS  # the next array finds the others
-        position, window = position[own] + at, window[own]
-        text = np.searchsorted(first, position, side="right") - 1
-        begin, held = queries.items[size]
-        count = begin[window + 1] - begin[window]
-        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        _, item, place = held[np.repeat(begin[window], count) + nth].T
-        position, text = np.repeat(position, count), np.repeat(text, count)
-        found.append(np.stack([position, np.full(len(position), size), text, item, place]))
-    return np.concatenate(found, axis=1)
-
-
-def longest(found: np.ndarray) -> np.ndarray:
-    """Rows (position, length, text, item, place) of ``_matches`` joined where neighbours go on alike."""
-    position, size, text, item, place = found
-    by = np.lexsort((position, place - position, size, item, text))
-    found = found[:, by]
-    position, size, text, item, place = found
-    same = (np.diff(position) == 1) & (np.diff(place) == 1) & (np.diff(size) == 0) & (np.diff(text) == 0) & (np.diff(item) == 0)
-    opens = np.flatnonzero(np.append(True, ~same)) if len(position) else np.zeros(0, np.int64)
-    out = found[:, opens]
-    out[1] += np.diff(np.append(opens, len(position))) - 1
-    return out
+def longest(position: np.ndarray, window: np.ndarray, first: np.ndarray, size: int, places: Places) -> np.ndarray:
+    """Rows (text, position, item's row, place, words) of the longest matches that windows of one length make up.
+
+    A match lies on a diagonal (text, item, difference of places) and is found by its
+    two ends: at a begin, document and item have different windows one word earlier,
+    at an end one word later. Only ends are listed, so the work is that of the matches
+    and not of all pairs of places.
+    """
+    text = np.searchsorted(first, position, side="right") - 1
+    joined = (np.diff(position) == 1) & (np.diff(text) == 0)
+    before, after = np.zeros((2, len(position)), np.int64)
+    before[1:], after[:-1] = np.where(joined, window[:-1] + 1, 0), np.where(joined, window[1:] + 1, 0)
+    base = int(places.window.max()) + 2
+    ends = []
+    for mine, theirs in ((before, places.before), (after, places.after)):
+        order = np.argsort(places.window * base + theirs)
+        nth, at = _besides((places.window * base + theirs)[order], window, mine, base)
+        row, place = places.row[order[at]], places.place[order[at]]
+        by = np.lexsort((position[nth], place - position[nth], row, text[nth]))
+        ends.append((text[nth][by], position[nth][by], row[by], place[by]))
+    (t, p, row, place), (_, stop, _, _) = ends
+    return np.stack([t, p, row, place, stop - p + size])
 
 
 def _spans(position: np.ndarray, size: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,37 +238,51 @@ MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int64())
 HITS = f"n_words long, n_hit long, spans binary, items array<string>, matches array<{MATCH}>"
 
 
-def _scan(queries, place: int):
+def _scan(queries: Queries, place: int, with_items: bool, with_matches: bool):
     """A function of a batch that yields (first, last text of the shard, word counts, hits) for each shard."""
 
     def run(batch: pa.RecordBatch):
         data, offsets = text_buffer(batch.column(place))
         for i, j in text_groups(offsets, SHARD_BYTES):
             w = words(data, offsets[i : j + 1], ALNUM)
-            count = np.diff(w.first)
             hit, spans, items, matches = np.zeros(j - i, np.int64), [b""] * (j - i), [[] for _ in range(j - i)], [[] for _ in range(j - i)]
-            for block in queries:
-                found = _matches(w.number, w.first, block.value)
-                if found.shape[1]:
-                    start, end = _spans(found[0], found[1], len(w.number))
-                    # two documents' runs can touch: cut them at the documents' ends
+            found = _occurrences(w.number, w.first, queries)
+            if found:
+                position = np.concatenate([p for p, _ in found.values()])
+                start, end = _spans(position, np.repeat(list(found), [len(p) for p, _ in found.values()]), len(w.number))
+                # two documents' runs can touch: cut them at the documents' ends
+                text = np.searchsorted(w.first, start, side="right") - 1
+                while (over := end > w.first[text + 1]).any():
+                    cut = w.first[text[over] + 1]
+                    start, end = np.concatenate([start, cut]), np.concatenate([np.where(over, w.first[text + 1], end), end[over]])
                     text = np.searchsorted(w.first, start, side="right") - 1
-                    while (over := end > w.first[text + 1]).any():
-                        cut = w.first[text[over] + 1]
-                        start, end = np.concatenate([start, cut]), np.concatenate([np.where(over, w.first[text + 1], end), end[over]])
-                        text = np.searchsorted(w.first, start, side="right") - 1
-                    for t in np.unique(text):
-                        mine = np.stack([start[text == t], end[text == t]], axis=1) - w.first[t]
-                        spans[t], hit[t] = mine[np.argsort(mine[:, 0])].astype(np.int64).tobytes(), int((mine[:, 1] - mine[:, 0]).sum())
-                    for t, item in np.unique(found[2:4], axis=1).T:
-                        items[t].append(str(block.value.ids[item]))
-                    for position, size, t, item, at in longest(found).T.tolist():
-                        matches[t].append({"item_id": str(block.value.ids[item]), "doc_word": position - int(w.first[t]), "item_word": at, "n_words": size})
-            yield i, j, count, hit, spans, items, matches
+                by = np.argsort(start)
+                start, end, text = start[by], end[by], text[by]
+                for t, a, z in zip(*_runs(text)):
+                    mine = np.stack([start[a:z], end[a:z]], axis=1) - w.first[t]
+                    spans[t], hit[t] = mine.astype(np.int64).tobytes(), int((mine[:, 1] - mine[:, 0]).sum())
+            if found and with_items:
+                text = np.searchsorted(w.first, position, side="right") - 1
+                held = np.concatenate([queries.sets[size][v] for size, (_, v) in found.items()])
+                many = len(queries.members)
+                met = np.unique(text * many + held)  # distinct sets of each text
+                for t, a, z in zip(*_runs(met // many)):
+                    items[t] = queries.ids[np.unique(np.concatenate([queries.members[k] for k in met[a:z] % many]))].tolist()
+            if with_matches:
+                for size, (p, v) in found.items():
+                    for t, at, row, there, n in longest(p, v, w.first, size, queries.places[size]).T.tolist():
+                        matches[t].append({"item_id": str(queries.ids[queries.item[row]]), "doc_word": at - int(w.first[t]), "item_word": there, "n_words": n})
+            yield i, j, np.diff(w.first), hit, spans, items, matches
 
     return run
 
 
+def _runs(values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """(value, begin, end) of the runs of equal values."""
+    begin = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return values[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(values)]
+
+
 def blocks_of(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[tuple[Broadcast, bool]]:
     """Broadcast query blocks one by one, and whether it is the only one; sizes are checked before a block is collected."""
     spark = benchmark.sparkSession
@@ -237,7 +295,7 @@ def blocks_of(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[tuple[
         yield spark.sparkContext.broadcast(item_windows(got.column(0).to_pylist(), got.column(1).to_pylist())), many == 1
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, with_matches: bool = True) -> DataFrame:
     """One row per document with the words that benchmark windows cover.
 
     Words are [0-9a-z] and everything above ASCII, after lower-casing A-Z. A
@@ -245,21 +303,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     empty texts have no words and no hits; items without words have no windows;
     an item_id counts once even if its row repeats; a null item_id counts as "".
     Repeated documents are separate rows. Empty tables give an empty result or no
-    hits. Other columns are ignored; long texts are taken whole.
+    hits. Other columns are ignored; long texts are taken whole. Repetitive texts
+    (one word many times, in document and item) need no more than others: hits come
+    from distinct windows, items from the distinct sets of items of these.
 
     Returns doc_id, n_words, n_hit, n_items, items_sha256 (of the item_ids sorted
     as strings and comma-joined), contaminated, items, spans (binary: int64 pairs
-    of word numbers [from, to)), and matches: the longest verbatim matches, each
-    with item_id, first word in document and item, and number of words. Rows that
-    repeat an item have their matches each.
+    of word numbers [from, to): the document's longest covered runs), and matches,
+    filled if ``with_matches``: the longest verbatim matches, each with item_id, first
+    word in document and item, and number of words. Rows that repeat an item have
+    their matches each. A passage that stands at many places of both sides, in other
+    surroundings each time, has a match for each pair of places.
     """
     rows = only(docs, "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def scan(queries):
-        find = _scan(queries, 1)
-
+    def scan(block: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = _scan(block.value, 1, True, with_matches)
             for batch in batches:
                 for i, j, count, hit, spans, items, matches in find(batch):
                     yield pa.record_batch(
@@ -273,11 +334,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for block, lone in blocks_of(benchmark):
         if lone:
             rows = rows.withColumn("row", F.lit(0).cast("long"))
-            found = scan([block])
+            found = scan(block)
             break
         if not parts:
             rows = settle(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-        parts.append(settle(scan([block]), "hits"))
+        parts.append(settle(scan(block), "hits"))
         block.destroy()
     else:
         every = reduce(DataFrame.union, parts)
@@ -313,9 +374,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     plain, place = stowed(docs)[0], docs.columns.index("text")
     for block, lone in blocks_of(benchmark):
-        find = _scan([block], place)
 
-        def run(batches: Iterator[pa.RecordBatch], find=find) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            find = _scan(block.value, place, False, False)
             for batch in batches:
                 for i, j, _, hit, *_ in find(batch):
                     yield batch.slice(i, j - i).filter(pa.array(hit == 0))

@@ -488,9 +488,44 @@ def test_decontamination_cuts_arrays_of_long_texts(monkeypatch, size):
     queries = decontam.item_windows(["p", "q"], [" ".join(texts[1].split()[40:60]), texts[3][:7]])
     data, offsets = text_buffer(pa.array(texts))
     w = find_words(data, offsets, ALNUM)
-    whole = decontam._matches(w.number, w.first, queries)
+    whole = decontam._occurrences(w.number, w.first, queries)
     monkeypatch.setattr(decontam, "SHARD_WORDS", size)
-    assert whole.shape[1] and np.array_equal(np.unique(whole, axis=1), np.unique(decontam._matches(w.number, w.first, queries), axis=1))
+    cut = decontam._occurrences(w.number, w.first, queries)
+    assert whole and whole.keys() == cut.keys()
+    assert all(np.array_equal(x, y) for size in whole for x, y in zip(whole[size], cut[size]))
+
+
+def test_decontamination_of_one_word_many_times(spark):
+    n = 150_000
+    queries = decontam.item_windows(["a", "b"], ["again " * n, "again " * 12 + "other"])
+    batch = pa.record_batch([pa.array(["Again, " * n])], names=["text"])
+    ((_, _, count, hit, _, items, _),) = decontam._scan(queries, 0, True, False)(batch)
+    assert count[0] == hit[0] == n and items == [["a", "b"]]
+    # with places: one match for each diagonal, none of them a pair of places inside another
+    ((*_, matches),) = decontam._scan(decontam.item_windows(["a"], ["again " * 3000]), 0, True, True)(pa.record_batch([pa.array(["again " * 2000])], names=["text"]))
+    want = {(max(0, -d), max(0, d), min(2000 - max(0, -d), 3000 - max(0, d))) for d in range(-1990, 2991)}
+    assert {(m["doc_word"], m["item_word"], m["n_words"]) for m in matches[0]} == want and len(matches[0]) == len(want)
+
+
+def test_matches_of_repetitive_texts(spark):
+    rng = random.Random(31)
+    rows = [(i, [rng.choice("ab") for _ in range(rng.randint(0, 120))]) for i in range(8)] + [(9, list("abab" * 20))]
+    items = [(str(k), [rng.choice("ab") for _ in range(rng.choice([1, 4, 9, 60]))]) for k in range(5)] + [("x", list("ab" * 15)), ("x", list("ba" * 8))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id string, text string")
+    found = decontam.contamination(docs, bench, with_matches=True).collect()
+    got = sorted((r["doc_id"], m["item_id"], m["doc_word"], m["item_word"], m["n_words"]) for r in found for m in r["matches"])
+    want = []
+    for i, w in rows:
+        for name, q in items:
+            for x in range(len(w)):
+                for y in range(len(q)):
+                    n = next((k for k in range(min(len(w) - x, len(q) - y)) if w[x + k] != q[y + k]), min(len(w) - x, len(q) - y))
+                    if n >= min(10, len(q)) and not (x and y and w[x - 1] == q[y - 1]):
+                        want.append((i, name, x, y, n))
+    assert got == sorted(want) and want
+    as_rows = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in found)
+    assert as_rows == brute_hits([(i, " ".join(w)) for i, w in rows], [(i, " ".join(w)) for i, w in items])
 
 
 # 10 repeats

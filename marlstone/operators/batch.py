@@ -111,6 +111,43 @@ def sidecar_outcomes(rows: DataFrame, order: str = "idx") -> DataFrame:
     return rows.withColumn("error", F.when(clash, F.concat(F.lit("sidecar already written: "), "sidecar")).otherwise(F.col("error"))).drop("__n")
 
 
+def manifest_outcomes(
+    rows: DataFrame, existing: DataFrame | None = None, write_txt: bool = True, write_xmp: bool = False, xmp_overwrite: bool = True, order: str = "idx"
+) -> DataFrame:
+    """What becomes of each row (path, error, and any others) if sidecars are written one row after the other, in ``order``.
+
+    Adds sidecar and xmp_path (null unless written) and fills error. Paths are
+    compared without "." and ".." steps. Of captioned rows with one ``.txt`` the first
+    writes it and later ones fail as a whole; only rows that got that far want their
+    ``.xmp``, where again the first one wins. Without ``xmp_overwrite`` an ``.xmp``
+    among ``existing`` (path) fails each row that wants it, and none of them takes it.
+    An ``.xmp`` failure says so if the row's ``.txt`` was written before.
+    """
+    plain = plain_path(F.col("path"))
+    txt = F.concat(stem(plain), F.lit(".txt"))
+    rows = rows.withColumn("__txt", txt if write_txt else F.lit(None).cast("string")).withColumn("__xmp", F.concat(plain, F.lit(".xmp")) if write_xmp else F.lit(None).cast("string"))
+    failed, name = F.col("error").isNotNull(), F.element_at(F.split("path", "/"), -1)
+    if write_txt:
+        nth = F.row_number().over(Window.partitionBy("__txt", failed).orderBy(order))
+        late = ~failed & (nth > 1)
+        rows = rows.withColumn("error", F.when(late, F.concat(F.lit("sidecar already written: "), stem(name), F.lit(".txt"))).otherwise(F.col("error")))
+    wrote_txt = ~failed & F.lit(write_txt)
+    rows = rows.withColumn("sidecar", F.when(wrote_txt, F.col("__txt")))
+    if write_xmp:
+        rows = rows.withColumn("__there", F.lit(False))
+        if existing is not None and not xmp_overwrite:
+            there = existing.select(plain_path(F.col("path")).alias("__xmp")).distinct().withColumn("__is", F.lit(True))
+            rows = rows.drop("__there").join(there, "__xmp", "left").withColumn("__there", F.coalesce("__is", F.lit(False))).drop("__is")
+        wants = ~failed & ~F.col("__there")
+        rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__xmp", wants).orderBy(order)))
+        note = F.when(F.col("sidecar").isNotNull(), " (its .txt sidecar was written)").otherwise("")
+        problem = F.when(failed, F.col("error")).when(F.col("__there"), F.concat(F.lit("metadata exists: "), name, F.lit(".xmp"), note)).when(F.col("__nth") > 1, F.concat(F.lit("metadata already written: "), name, F.lit(".xmp"), note))
+        rows = rows.withColumn("error", problem).withColumn("xmp_path", F.when(F.col("error").isNull(), F.concat("path", F.lit(".xmp"))))
+    else:
+        rows = rows.withColumn("xmp_path", F.lit(None).cast("string"))
+    return rows.drop("__txt", "__xmp", "__there", "__nth")
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """One row: total, captioned, failed, xmp_written."""
     xmp = F.count_if(F.col("xmp_path").isNotNull()) if "xmp_path" in rows.columns else F.lit(0).cast("long")

@@ -294,13 +294,17 @@ _RECOLOURED = rf"""array_to_string(list_transform(string_split(regexp_replace(a.
 _REPOSED = _words_swapped("a.p", "i % 2 = 0 AND list_contains(d.was, lower(b[i])) AND lower(b[i]) <> d.now")
 _REWRITTEN = _let("q", f"CASE WHEN d.kind = 'color' THEN {_RECOLOURED} ELSE {_REPOSED} END", "{'p': q, 'n': a.n + CAST(q <> a.p AS INTEGER)}")
 # disputes in order: colours as their nouns first occur in the tags, then the posture
-_RECONCILED = f"""{_CONTRA},
+def reconciled(settled: str) -> str:
+    """The CTEs up to rw (image_id, prose, r: the new prose p after n changes), with the disputes in al for which ``settled`` holds."""
+    return f"""{_CONTRA},
 co AS (SELECT image_id, noun, min(o) AS o FROM (SELECT image_id, o, list_filter(ws, lambda w: NOT {S.in_list('w', V.COLOURS)} AND NOT {S.in_list('w', V.NON_NOUNS)})[-1] AS noun, len(list_filter(ws, lambda w: {S.in_list('w', V.COLOURS)})) AS n
   FROM (SELECT image_id, o, {S.words("replace(lower(t), '_', ' ')")} AS ws FROM (SELECT image_id, unnest({S.pieces('tags', ',')}) AS t, unnest(range(len({S.pieces('tags', ',')}))) AS o FROM cap))) WHERE n > 0 AND noun IS NOT NULL GROUP BY ALL),
 ds AS (SELECT al.image_id, list({{'kind': kind, 'was': says, 'now': say[1], 'forms': list_concat([subject, subject || 's', subject || 'es'], CASE WHEN subject LIKE '%s' THEN [left(subject, length(subject) - 1)] ELSE [] END)}} ORDER BY kind, coalesce(o, 0)) AS ds
-  FROM al LEFT JOIN co ON al.image_id = co.image_id AND subject = noun AND kind = 'color' WHERE bad GROUP BY al.image_id),
-rw AS (SELECT cap.image_id, prose, CASE WHEN ds IS NULL THEN {{'p': prose, 'n': 0}} ELSE list_reduce(ds, lambda a, d: {_REWRITTEN}, {{'p': prose, 'n': 0}}) END AS r FROM cap LEFT JOIN ds ON cap.image_id = ds.image_id)
-SELECT image_id, r.p AS prose, CAST(r.n AS INTEGER) AS changes FROM rw"""
+  FROM al LEFT JOIN co ON al.image_id = co.image_id AND subject = noun AND kind = 'color' WHERE {settled} GROUP BY al.image_id),
+rw AS (SELECT cap.image_id, prose, CASE WHEN ds IS NULL THEN {{'p': prose, 'n': 0}} ELSE list_reduce(ds, lambda a, d: {_REWRITTEN}, {{'p': prose, 'n': 0}}) END AS r FROM cap LEFT JOIN ds ON cap.image_id = ds.image_id)"""
+
+
+_RECONCILED = f"{reconciled('bad')} SELECT image_id, r.p AS prose, CAST(r.n AS INTEGER) AS changes FROM rw"
 
 
 @query(_RECONCILED)

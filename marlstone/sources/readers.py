@@ -1,13 +1,11 @@
-"""Readers: image folders, evaluation and curator manifests, vocabularies, chat images, paged listings."""
+"""Readers: image folders, evaluation and curator manifests, vocabularies, chat images, albums."""
 
 from __future__ import annotations
 
 import csv
-from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from marlstone.functions import text as T
 from marlstone.functions import vocab as V
@@ -170,90 +168,6 @@ def message_text(content: Column) -> Column:
     return F.nullif(F.coalesce(joined, F.try_variant_get(v, "$", "string")), F.lit(""))
 
 
-# Fetches one page: (page, size, updated_after) -> {"items": [{"id", "updated_at"}], "next_page": int | None}
-FetchPage = Callable[[int, int, str | None], dict]
-
-
-class _PagedRead(DataSourceReader):
-    def __init__(self, fetch: FetchPage, size: int, since: str | None):
-        self.fetch, self.size, self.since = fetch, size, since
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]  # pages are chained by nextPage
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        page: int | None = 1
-        while page is not None:
-            got = self.fetch(page, self.size, self.since)
-            for item in got["items"]:
-                yield item["id"], item.get("updated_at")
-            page = got.get("next_page")
-
-
-class _PagedStream(DataSourceStreamReader):
-    """Each batch lists what was updated at the last batch's newest timestamp or after; what was seen at it is left out.
-
-    The offset keeps the ids at that timestamp, so an asset that turns up later
-    with the same one isn't lost. Assets without a timestamp come once, at first.
-    """
-
-    def __init__(self, fetch: FetchPage, size: int, since: str | None):
-        self.fetch, self.size, self.begin, self.since = fetch, size, since, since
-
-    def initialOffset(self) -> dict:
-        return {"since": self.begin or "", "seen": [], "undated": []}
-
-    def latestOffset(self) -> dict:
-        newest, seen, undated = self.since or "", set(), set()
-        for i, at in _PagedRead(self.fetch, self.size, self.since).read(InputPartition(0)):
-            if not at:
-                undated.add(i)
-            elif at > newest:
-                newest, seen = at, {i}
-            elif at == newest:
-                seen.add(i)
-        self.since = newest or None
-        return {"since": newest, "seen": sorted(seen), "undated": sorted(undated)}
-
-    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [InputPartition((start, end))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        start, end = partition.value
-        for i, at in _PagedRead(self.fetch, self.size, start["since"] or None).read(partition):
-            if not at:
-                new = i in end["undated"] and i not in start["undated"]
-            elif at == start["since"]:
-                new = i not in start["seen"] and (at < end["since"] or i in end["seen"])
-            else:
-                new = start["since"] < at < end["since"] or (at == end["since"] and i in end["seen"])
-            if new:
-                yield i, at
-
-    def commit(self, end: dict) -> None:
-        pass
-
-
-def paged_listing(fetch: FetchPage, size: int = 250) -> type[DataSource]:
-    """A data source "paged_assets" (id, updated_at) over a paged listing; option since gives the cursor."""
-
-    class PagedAssets(DataSource):
-        @classmethod
-        def name(cls) -> str:
-            return "paged_assets"
-
-        def schema(self) -> str:
-            return "id string, updated_at string"
-
-        def reader(self, schema) -> DataSourceReader:
-            return _PagedRead(fetch, size, self.options.get("since"))
-
-        def streamReader(self, schema) -> DataSourceStreamReader:
-            return _PagedStream(fetch, size, self.options.get("since"))
-
-    return PagedAssets
-
-
 def album_assets(raw: DataFrame) -> DataFrame:
     """(id, name, updated_at) of an album's JSON rows (column value): images only, the name defaulting to the id."""
     field = lambda k: F.get_json_object("value", f"$.{k}")

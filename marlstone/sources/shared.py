@@ -1,24 +1,29 @@
-"""Tables in the folder that all executors share."""
+"""Tables and folders that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under spark.checkpoint.dir (a temporary folder where unset and all is local) and read it back."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new place under spark.checkpoint.dir (a temporary folder where that is unset and all is local)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not df.sparkSession.conf.get("spark.master", "local").startswith("local"):
+        if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="marlstone-"))
         base = _own[0]
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a shared folder and read it back."""
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

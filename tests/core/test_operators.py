@@ -13,6 +13,7 @@ from marlstone.operators import inference as I
 from marlstone.operators import labels as L
 from marlstone.sources import readers as R
 from marlstone.sources import writers as W
+from marlstone.sources.listing import paged_listing
 from marlstone.streaming import captions as S
 
 
@@ -197,13 +198,14 @@ def test_exports(spark, one, tmp_path):
 
 
 def test_paged_listing(spark):
-    def page(number, size, since):  # a local function travels to the workers by value
-        rows = {1: {"items": [{"id": "a", "updated_at": "1"}, {"id": "b", "updated_at": "2"}], "next_page": 2}, 2: {"items": [{"id": "c", "updated_at": "3"}], "next_page": None}}
-        return {**rows[number], "items": [r for r in rows[number]["items"] if not since or r["updated_at"] > since]}
-
-    spark.dataSource.register(R.paged_listing(page))
-    assert [r["id"] for r in spark.read.format("paged_assets").load().collect()] == ["a", "b", "c"]
-    assert [r["id"] for r in spark.read.format("paged_assets").option("since", "2").load().collect()] == ["c"]
+    def page(number, size, after, before):  # a local function travels to the workers by value
+        rows = [("a", "2024-01-01T00:00:00.000Z"), ("b", "2024-01-02T00:00:00.000Z"), ("c", "2024-01-03T00:00:00.000Z")]
+        some = [{"id": i, "updated_at": u} for i, u in rows if (not after or u >= after) and (not before or u < before)]
+        return {"items": some[(number - 1) * size : number * size], "next_page": number + 1 if number * size < len(some) else None}
+
+    spark.dataSource.register(paged_listing(page, size=1, most=2))
+    assert sorted(r["id"] for r in spark.read.format("paged_assets").load().collect()) == ["a", "b", "c"]
+    assert [r["id"] for r in spark.read.format("paged_assets").option("since", "2024-01-03T00:00:00Z").load().collect()] == ["c"]
     q = spark.readStream.format("paged_assets").load().writeStream.format("memory").queryName("paged").start()
     q.processAllAvailable()
     q.stop()

@@ -71,20 +71,6 @@ def test_out_of_memory_of_the_linear_algebra_library_is_retried():
     assert I._with_retry(infer, b"x", first_s=0.0) == "ok" and len(calls) == 2
 
 
-def test_assets_at_the_cursor_are_not_lost():
-    listed = [("a", "1"), ("b", "2"), ("n", None)]
-    fetch = lambda page, size, since: {"items": [{"id": i, "updated_at": u} for i, u in listed if not since or not u or u >= since], "next_page": None}
-    stream = R._PagedStream(fetch, 10, None)
-    begin, seen = stream.initialOffset(), []
-    for new in ([], [("c", "2"), ("d", "3")], []):
-        listed.extend(new)
-        end = stream.latestOffset()
-        for part in stream.partitions(begin, end):
-            seen += [i for i, _ in stream.read(part)]
-        begin = end
-    assert seen == ["a", "b", "n", "c", "d"]
-
-
 def test_pixels_keys_and_data_urls(spark):
     df = spark.createDataFrame([([(0, 10, 20), (10, 20, 41)], bytearray(b"img")), ([], bytearray(b""))], "p array<struct<r: int, g: int, b: int>>, c binary")
     a, b = df.select(T.mean_colour(F.col("p")).alias("m"), T.content_key(F.col("c")).alias("k"), T.data_url(F.col("c"), F.lit(None)).alias("u")).collect()

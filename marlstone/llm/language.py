@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.fitting import held_out
 from marlstone.llm.frames import only
-from marlstone.llm.words import U, mix, powers, text_groups
+from marlstone.llm.words import CHUNK, U, mix, powers, text_groups
 
 MARK = "▁"
 STRETCH = 48
@@ -225,6 +225,21 @@ def text_scores(words: DistinctWords, score, langs: int) -> np.ndarray:
     return out
 
 
+def text_stretches(text: str, limit: int) -> Iterator[str]:
+    """A text in parts of about ``limit`` characters that end before white space; a longer word stays whole."""
+    at = 0
+    while at < len(text):
+        stop = min(len(text), at + limit)
+        while stop < len(text):
+            blank = np.flatnonzero(np.isin(_codes(text[stop : stop + 4096]), SPACE))
+            if len(blank):
+                stop += int(blank[0])
+                break
+            stop = min(len(text), stop + 4096)
+        yield text[at:stop]
+        at = stop
+
+
 class ScoreMemory:
     """Scores of words met before in this task, up to a fixed number of words."""
 
@@ -315,7 +330,9 @@ def identify(docs: DataFrame, vocabulary_path: str, per_language: int = PER_LANG
     and all texts if nothing can be learned, are "und" with score 0. The score is
     the predicted language's posterior (uniform prior). Ties go to the first
     language in sorted order. Repeated rows are rows like any other; a null
-    doc_id counts as empty text in the fold. Empty table: empty result.
+    doc_id counts as empty text in the fold. Empty table: empty result; other columns
+    are ignored. A text of over a megabyte is scored whole, a stretch at a time; a
+    single word is scored in one piece.
 
     Returns doc_id, held_out, lang_pred, score.
     """
@@ -337,8 +354,10 @@ def identify(docs: DataFrame, vocabulary_path: str, per_language: int = PER_LANG
                 texts = batch.column(2)[i:j].to_pylist()
                 predicted, score = ["und"] * (j - i), np.zeros(j - i)
                 if langs:
-                    words = DistinctWords([t or "" for t in texts])
-                    text = text_scores(words, memory.scores, len(langs))
+                    if j - i == 1 and offsets[j] - offsets[i] > CHUNK:  # a long text: its stretches' sums are added up
+                        text = sum(text_scores(DistinctWords([part]), memory.scores, len(langs)) for part in text_stretches(texts[0] or "", CHUNK))
+                    else:
+                        text = text_scores(DistinctWords([t or "" for t in texts]), memory.scores, len(langs))
                     best = text.argmax(axis=1)
                     score = 1 / np.exp(text - text.max(axis=1, keepdims=True)).sum(axis=1)
                     known = [t is not None for t in texts]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.fitting import held_out, labelled_sample
 from marlstone.llm.frames import only
-from marlstone.llm.words import NOT_SPACE, U, text_buffer, text_groups, words
+from marlstone.llm.words import CHUNK, NOT_SPACE, U, Words, stretches, text_buffer, text_groups, words
 
 BUCKETS, RANK = 1 << 15, 8
 PER_CLASS, SAMPLE_BYTES = 1500, 8 << 20  # the fit takes so many rows of each label, and so many bytes of them
@@ -41,28 +41,38 @@ class Texts(NamedTuple):
     stats: np.ndarray    # (texts, statistics)
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> Texts:
-    n = np.diff(offsets).astype(float)
+def _statistics(n: np.ndarray, count: np.ndarray, classes: np.ndarray, odd: np.ndarray, repeat: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """A row for each text from its sums: bytes, words, bytes of each class, words with an odd end, repeats, distinct words."""
+    some = np.maximum(count, 1)
+    columns = [np.log1p(n), np.log1p(count), (n - count) / some, *(classes / np.maximum(n, 1)), odd / some, repeat / some, distinct / some]
+    return np.stack(columns, axis=1) if len(n) else np.zeros((0, _TABLE.shape[1] + 6))
+
+
+def _sums_of(data: np.ndarray, offsets: np.ndarray, w: Words) -> tuple[np.ndarray, ...]:
+    """What ``_statistics`` takes, but for distinct words."""
     body = data[offsets[0] : offsets[-1]]
     at = offsets - offsets[0]
-    w = words(data, offsets, NOT_SPACE)
-    count = np.diff(w.first).astype(float)
-    size = np.maximum(n, 1)
-    columns = [np.log1p(n), np.log1p(count), (n - count) / np.maximum(count, 1)]
+    classes = []
     for k in range(_TABLE.shape[1]):
         total = np.concatenate(([0], np.cumsum(_TABLE[:, k][body])))
-        columns.append((total[at[1:]] - total[at[:-1]]) / size)
+        classes.append(total[at[1:]] - total[at[:-1]])
     last = data[w.end - 1] if len(w.end) else np.zeros(0, np.uint8)
     odd = np.concatenate(([0], np.cumsum(_TABLE[last][:, 7] | _TABLE[last][:, 6])))
-    columns.append((odd[w.first[1:]] - odd[w.first[:-1]]) / np.maximum(count, 1))
     same = np.zeros(len(w.number) + 1, bool)
     same[1:-1] = w.number[1:] == w.number[:-1]
     same[w.first] = False  # a text's first word repeats nothing
     repeat = np.concatenate(([0], np.cumsum(same[:-1])))
-    columns.append((repeat[w.first[1:]] - repeat[w.first[:-1]]) / np.maximum(count, 1))
+    return np.diff(offsets).astype(float), np.diff(w.first).astype(float), np.array(classes), odd[w.first[1:]] - odd[w.first[:-1]], repeat[w.first[1:]] - repeat[w.first[:-1]]
+
+
+def _buckets(w: Words) -> np.ndarray:
+    return (w.number >> U(64 - 15)).astype(np.int64)
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> Texts:
+    w = words(data, offsets, NOT_SPACE)
     distinct = np.array([len(np.unique(w.number[a:b])) for a, b in zip(w.first[:-1], w.first[1:])], dtype=float)
-    columns.append(distinct / np.maximum(count, 1))
-    return Texts((w.number >> U(64 - 15)).astype(np.int64), w.first, np.stack(columns, axis=1) if len(n) else np.zeros((0, _TABLE.shape[1] + 6)))
+    return Texts(_buckets(w), w.first, _statistics(*_sums_of(data, offsets, w), distinct))
 
 
 class Model(NamedTuple):
@@ -82,12 +92,20 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _word_sums(model: Model, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Weights, factors and squared factors, summed over each text's words."""
+    table = np.concatenate((model.word, model.word[:, 1:] ** 2), axis=1)
+    return _sums(table.take(bucket, axis=0), first)
+
+
 def _parts(model: Model, x: Texts):
     """Linear part, factor sums, and the standardised statistics."""
-    scale = 1 / np.sqrt(np.maximum(np.diff(x.first), 1))
-    table = np.concatenate((model.word, model.word[:, 1:] ** 2), axis=1)
-    rows = _sums(table.take(x.bucket, axis=0), x.first)
-    z = np.clip((x.stats - model.centre) / model.spread, -6, 6)
+    return _joined(model, _word_sums(model, x.bucket, x.first), np.diff(x.first), x.stats)
+
+
+def _joined(model: Model, rows: np.ndarray, count: np.ndarray, stats: np.ndarray):
+    scale = 1 / np.sqrt(np.maximum(count, 1))
+    z = np.clip((stats - model.centre) / model.spread, -6, 6)
     linear = rows[:, 0] * scale + z @ model.stat[:, 0]
     factors = rows[:, 1 : 1 + RANK] * scale[:, None] + z @ model.stat[:, 1:]
     squares = rows[:, 1 + RANK :] * (scale**2)[:, None] + z**2 @ model.stat[:, 1:] ** 2
@@ -99,6 +117,30 @@ def logits(model: Model, x: Texts) -> np.ndarray:
     return model.bias + linear + 0.5 * (factors**2 - squares).sum(axis=1)
 
 
+def long_logit(model: Model, data: np.ndarray, begin: int, end: int, limit: int = CHUNK) -> np.ndarray:
+    """``logits`` of one long text, summed over stretches of it; the distinct words' numbers are all that is kept."""
+    sums: list[np.ndarray] | None = None
+    rows, seen, last = 0.0, np.zeros(0, np.uint64), None
+    for a, z in stretches(data, begin, end, NOT_SPACE, limit):
+        offsets = np.array([a, z])
+        w = words(data, offsets, NOT_SPACE)
+        now = list(_sums_of(data, offsets, w))
+        if len(w.number):
+            now[4] = now[4] + (last is not None and w.number[0] == last)
+            last = w.number[-1]
+        sums = now if sums is None else [x + y for x, y in zip(sums, now)]
+        rows = rows + _word_sums(model, _buckets(w), w.first)
+        seen = np.union1d(seen, w.number)
+    linear, factors, squares, _, _ = _joined(model, rows, sums[1], _statistics(*sums, np.array([float(len(seen))])))
+    return model.bias + linear + 0.5 * (factors**2 - squares).sum(axis=1)
+
+
+def _scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    one = len(offsets) == 2 and offsets[1] - offsets[0] > CHUNK
+    z = long_logit(model, data, int(offsets[0]), int(offsets[1])) if one else logits(model, features(data, offsets))
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 def _take(x: Texts, rows: np.ndarray) -> Texts:
     count = np.diff(x.first)[rows]
     first = np.concatenate(([0], np.cumsum(count)))
@@ -158,7 +200,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     once, an id with both labels counts for both. With no labels, or one kind only, every score is the
     labels' share of ones. Null counts as the empty text, which has a score too.
     Repeated rows are rows like any other; a null doc_id counts as empty text in
-    the fold. Empty table: empty result; other columns are ignored.
+    the fold. Empty table: empty result; other columns are ignored. A text of over a
+    megabyte is scored whole, a stretch at a time; a single word of any length is one.
 
     Returns doc_id, held_out, score, predicted (1 if score >= threshold).
     """
@@ -169,7 +212,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
             for i, j in text_groups(offsets):
-                score = 1 / (1 + np.exp(-np.clip(logits(model.value, features(data, offsets[i : j + 1])), -500, 500)))
+                score = _scores(model.value, data, offsets[i : j + 1])
                 yield pa.record_batch([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.fitting import held_out, labelled_sample
 from marlstone.llm.frames import only, stowed
-from marlstone.llm.words import ALNUM, LOWER, U, mix, text_buffer, text_groups, words
+from marlstone.llm.words import ALNUM, CHUNK, LOWER, U, mix, stretches, text_buffer, text_groups, words
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 8
 PER_CLASS, SAMPLE_BYTES = 1500, 8 << 20  # the fit takes so many rows of each label, and so many bytes of them
@@ -74,9 +74,13 @@ def _convolve(projected: list[np.ndarray], at: np.ndarray) -> np.ndarray:
     return total
 
 
+def _language_sums(model: Model, x: Texts) -> np.ndarray:
+    return np.add.reduceat(model.languages.take(x.stem, axis=0), x.first[:-1], axis=0)
+
+
 def guess(model: Model, x: Texts) -> np.ndarray:
     """Number of each text's likeliest language, from its words only."""
-    return np.add.reduceat(model.languages.take(x.stem, axis=0), x.first[:-1], axis=0).argmax(axis=1)
+    return _language_sums(model, x).argmax(axis=1)
 
 
 class Scorer:
@@ -90,14 +94,42 @@ class Scorer:
     def logits(self, x: Texts) -> np.ndarray:
         if len(x.first) < 2:
             return np.zeros(0)
-        m, out = self.model, []
+        return self._weighed(self._maxima(x, x.word == 0), guess(self.model, x))
+
+    def _maxima(self, x: Texts, silent: np.ndarray) -> np.ndarray:
+        """Each filter's maximum over each text; windows that begin in a silent cell count as 0."""
+        out = []
         for word, stem in zip(self.word, self.stem):
             response = _convolve(word, x.word)
             response += _convolve(stem, x.stem)
-            response[x.word == 0] = 0  # a window that begins after a text sees nothing of the next
+            response[silent] = 0  # a window that begins after a text sees nothing of the next
             out.append(np.maximum.reduceat(response, x.first[:-1], axis=0))
-        pooled = np.maximum(np.concatenate(out, axis=1) + m.shift, 0)
-        return pooled @ m.weight + m.bias - m.offset[guess(m, x)]
+        return np.concatenate(out, axis=1)
+
+    def _weighed(self, maxima: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        m = self.model
+        return np.maximum(maxima + m.shift, 0) @ m.weight + m.bias - m.offset[lang]
+
+    def long_logit(self, data: np.ndarray, begin: int, end: int, limit: int = CHUNK) -> np.ndarray:
+        """``logits`` of one long text: maxima and language sums over stretches, each of which sees PAD words of the next."""
+        top, langs = None, 0.0
+        cuts = [*stretches(data, begin, end, ALNUM, limit)]
+        for k, (a, z) in enumerate(cuts):
+            further = words(data, np.array([z, min(end, cuts[k + 1][1])]), ALNUM).end[:PAD] if k + 1 < len(cuts) else []
+            stop = int(further[-1]) if len(further) else z
+            # few words in the next stretch: take it whole, and go on to the one after it
+            nxt = k + 1
+            while len(further) < PAD and nxt + 1 < len(cuts):
+                nxt += 1
+                further = words(data, np.array([z, cuts[nxt][1]]), ALNUM).end[:PAD]
+                stop = int(further[-1]) if len(further) else z
+            x = features(data, np.array([a, stop]))
+            own = len(x.word) - PAD - len(further)
+            silent = np.arange(len(x.word)) >= own
+            now = self._maxima(x, silent)
+            top = now if top is None else np.maximum(top, now)
+            langs = langs + self.model.languages.take(x.stem[:own], axis=0).sum(axis=0)
+        return self._weighed(top, np.array([np.argmax(langs)]))
 
 
 def _take(x: Texts, rows: np.ndarray) -> Texts:
@@ -238,7 +270,10 @@ def _scores(model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if model.id not in _scorers:
         _scorers.clear()
         _scorers[model.id] = Scorer(model.value)
-    return 1 / (1 + np.exp(-np.clip(_scorers[model.id].logits(features(data, offsets)), -500, 500)))
+    scorer = _scorers[model.id]
+    one = len(offsets) == 2 and offsets[1] - offsets[0] > CHUNK
+    z = scorer.long_logit(data, int(offsets[0]), int(offsets[1])) if one else scorer.logits(features(data, offsets))
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 class _Shared:
@@ -262,7 +297,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     once, an id with both labels counts for both. With no labels, or one kind only, every score is the
     labels' share of ones. Null counts as the empty text, which has a score too.
     Repeated rows are rows like any other; a null doc_id counts as empty text in
-    the fold. Empty table: empty result; other columns are ignored.
+    the fold. Empty table: empty result; other columns are ignored. A text of over a
+    megabyte is scored whole, a stretch at a time; a single word of any length is one.
 
     Returns doc_id, held_out, score, predicted (1 if score >= threshold).
     """

@@ -87,6 +87,21 @@ def text_groups(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int,
     pa.default_memory_pool().release_unused()
 
 
+def stretches(data: np.ndarray, begin: int, end: int, is_word: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Cuts one long text into ranges of about ``limit`` bytes that end where no word goes on; a longer word stays whole."""
+    while begin < end:
+        stop = min(end, begin + limit)
+        while stop < end:
+            part = is_word[LOWER[data[stop : min(end, stop + 4096)]]]
+            outside = np.flatnonzero(~part)
+            if len(outside):
+                stop += int(outside[0])
+                break
+            stop += len(part)
+        yield begin, stop
+        begin = stop
+
+
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Words:
     """The words of the texts data[offsets[i]:offsets[i+1]]."""
     numbers, starts, ends = [], [], []

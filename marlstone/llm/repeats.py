@@ -20,8 +20,10 @@ one index over a cluster, the text is cut by content:
    byte at the samples where a run begins. Rows that share 100 bytes form a class,
    in which all but the earliest position are repeats.
    An anchor whose segments exceed one index (a short line that stands in very many
-   surroundings) isn't indexed: each of its windows is dealt out by a hash of all its
-   100 bytes, equal ones of one lot of texts together, and all but the first are repeats.
+   surroundings) is split: its windows are dealt out anew by a further 16-byte string,
+   the next least hash among theirs, which equal windows share too; equal segments
+   (compared byte by byte) are settled on the way. What still exceeds an index after
+   LEVELS such steps is dealt out by windows, which are compared byte by byte.
 4. Marks are joined to the documents, merged into maximal runs, and removed.
 """
 
@@ -29,10 +31,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +46,35 @@ from marlstone.llm.words import BYTE, U, mix, powers, text_buffer, text_groups
 
 LENGTH, GRAM = 100, 16
 SPAN = LENGTH - GRAM + 1     # 16-byte strings in a window
-PLACE_BITS = 30              # place of a byte in the texts that are handled at once: a longer text is refused
-INDEX_BYTES = 2_000_000      # segment text in one index; a larger anchor group is dealt out by windows
+PLACE_BITS = 30              # place of a byte in the bytes that are handled at once
+BLOCK_BYTES = 1 << 20        # windows of a longer text that are handled at once
+INDEX_BYTES = 2_000_000      # segment text in one index; a larger anchor group is split
 BATCH_BYTES = 1 << 17        # segment text of small anchor groups that are indexed together: sorts of this size stay in cache
 DEPTH = 189                  # suffixes are sorted whole, as no segment is longer
-LOT_BYTES = 1 << 19          # segment text of such groups whose windows are compared before the shuffle
-SEGMENT, WINDOW, KNOWN = 0, 1, 2  # what a row for _index is: a segment, a window of a heavy anchor, a repeat
+LEVELS = 4                   # times that an anchor group is split by a further string
+KNOWN = 100_000              # heavy anchors up to which they are broadcast
+
+
+def _prefix_sums(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of a polynomial hash before each byte, and what takes the place out of a difference of two."""
+    up, down = powers(len(b) + 1)
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(BYTE[b] * up[: len(b)], out=total[1:])
+    return total, down
+
+
+def blocks(offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, int]]:
+    """(first, last text, their offsets, place in the text) of what is handled at once.
+
+    That is some texts, or a part of a longer one; parts overlap so that each window is in one of them.
+    """
+    for i, j in text_groups(offsets):
+        begin, end = int(offsets[i]), int(offsets[j])
+        if j - i > 1 or end - begin <= BLOCK_BYTES + LENGTH:
+            yield i, j, offsets[i : j + 1], 0
+            continue
+        for at in range(0, end - begin - LENGTH + 1, BLOCK_BYTES):
+            yield i, j, np.array([begin + at, min(end, begin + at + BLOCK_BYTES + LENGTH - 1)]), at
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -55,13 +82,9 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     lo = int(offsets[0])
     b, edge = data[lo : int(offsets[-1])], offsets - lo
     n = len(b)
-    if n > 1 << PLACE_BITS:
-        raise ValueError("a text has over a gigabyte")
     if n < LENGTH:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64))
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE[b] * up[:n], out=total[1:])
+    total, down = _prefix_sums(b)
     gram = mix((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
     low = U((1 << PLACE_BITS) - 1)  # hashes are compared without these bits, in texts of any size alike
     packed = (gram & ~low) | np.arange(len(gram), dtype=np.uint64)
@@ -96,9 +119,9 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffer(batch.column(1))
         order = batch.column(0).to_numpy(zero_copy_only=False)
-        for i, j in text_groups(offsets):
-            anchor, mark, text, start, length = segments(data, offsets[i : j + 1])
-            doc = order[i:j][text]
+        for i, j, some, at in blocks(offsets):
+            anchor, mark, text, start, length = segments(data, some)
+            doc, start = order[i:j][text], start + at
             # of equal segments here all but the earliest are repeats already: they needn't meet their anchor's group
             by = np.lexsort((start, doc, mark, anchor))
             again = np.zeros(len(by), bool)
@@ -273,11 +296,11 @@ def repeated_starts(index: RunIndex, text: np.ndarray, stop: np.ndarray) -> np.n
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (kind, anchor, doc, span, bytes) in order of (kind, anchor, doc, span): repeated spans."""
+    """From (anchor, doc, span, bytes) in order of (anchor, doc, span): repeated spans."""
     names = ["doc", "span"]
 
     def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        data, offsets = text_buffer(rows.column(4).combine_chunks().view(pa.string()))
+        data, offsets = text_buffer(rows.column(3).combine_chunks().view(pa.string()))
         text = data[offsets[0] : offsets[-1]]
         edge = offsets - offsets[0]
         if not len(text):
@@ -291,13 +314,13 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = np.flatnonzero(cut)
         z = np.append(a[1:], len(starts)) - 1
         seg = owner[a]
-        begin = (rows.column(3).to_numpy() >> 8)[seg] + starts[a] - edge[seg]
-        yield pa.record_batch([pa.array(rows.column(2).to_numpy()[seg]), pa.array((begin << 8) | (starts[z] - starts[a] + LENGTH))], names=names)
+        begin = (rows.column(2).to_numpy() >> 8)[seg] + starts[a] - edge[seg]
+        yield pa.record_batch([pa.array(rows.column(1).to_numpy()[seg]), pa.array((begin << 8) | (starts[z] - starts[a] + LENGTH))], names=names)
 
     def indexed(rows: pa.Table, stops: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Indexes the groups that end at ``stops``, as many at once as fit BATCH_BYTES; no group exceeds INDEX_BYTES."""
         done = 0
-        weight = np.cumsum(rows.column(3).to_numpy() & 255)
+        weight = np.cumsum(rows.column(2).to_numpy() & 255)
         while len(ahead := stops[stops > done]):
             base = weight[done - 1] if done else 0
             fit = ahead[weight[ahead - 1] - base <= min(BATCH_BYTES, INDEX_BYTES)]
@@ -306,24 +329,12 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done = stop
 
     def ends(rows: pa.Table) -> np.ndarray:
-        anchor = rows.column(1).to_numpy()
+        anchor = rows.column(0).to_numpy()
         return np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
 
     held: list[pa.RecordBatch] = []
     size, enough = 0, INDEX_BYTES
-    latest = None  # the latest window's hash
     for batch in batches:
-        kind = batch.column(0).to_numpy(zero_copy_only=False)
-        whole, windows = np.searchsorted(kind, [WINDOW, KNOWN])
-        if whole < len(kind):
-            hashes = batch.column(1).to_numpy()[whole:windows]
-            again = np.ones(len(kind) - whole, bool)
-            if len(hashes):
-                again[: len(hashes)] = np.concatenate(([latest is not None and hashes[0] == latest], hashes[1:] == hashes[:-1]))
-                latest = hashes[-1]
-            rest = batch.slice(int(whole))
-            yield pa.record_batch([pa.array(rest.column(i).to_numpy()[again]) for i in (2, 3)], names=names)
-            batch = batch.slice(0, int(whole))
         if not batch.num_rows:
             continue
         held.append(batch)
@@ -340,40 +351,15 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from indexed(rows, np.append(ends(rows), rows.num_rows))
 
 
-def _windows(doc: np.ndarray, begin: np.ndarray, bodies: list[bytes]) -> pa.RecordBatch:
-    """The windows of segments, by their hashes; all but the earliest of equal ones are known to repeat."""
-    size = np.array([len(x) for x in bodies])
-    b = np.frombuffer(b"".join(bodies), np.uint8)
-    up, down = powers(len(b) + 1)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(BYTE[b] * up[: len(b)], out=total[1:])
-    many = size - LENGTH + 1
-    owner = np.repeat(np.arange(len(size)), many)
-    nth = np.arange(len(owner)) - (np.cumsum(many) - many)[owner]
-    at = (np.cumsum(size) - size)[owner] + nth
-    value = mix((total[at + LENGTH] - total[at]) * down[at]).view(np.int64)
-    start = begin[owner] + nth
-    by = np.lexsort((start, doc[owner], value))
-    again = np.zeros(len(by), bool)
-    again[by[1:]] = value[by[1:]] == value[by[:-1]]
-    # known repeats meet nobody: they are dealt out by place
-    place = mix(doc[owner].astype(np.uint64) + start.astype(np.uint64) * U(0x9E3779B97F4A7C15))
-    value = np.where(again, place.view(np.int64), value)
-    return pa.record_batch(
-        [pa.array(np.where(again, KNOWN, WINDOW).astype(np.int32)), pa.array(value), pa.array(doc[owner]), pa.array((start << 8) | LENGTH), pa.nulls(len(by), pa.binary())],
-        names=["kind", "anchor", "doc", "span", "bytes"],
-    )
+PIECE = "anchor long, doc long, span long, bytes binary"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fetches the bytes of the wanted segments: (doc, doc_id, text, (anchor, span, heavy) each or null) to (kind, anchor, doc, span, bytes)."""
-    lot: list[tuple[int, int, bytes]] = []  # segments of heavy anchors
-    size = 0
+def _piece(anchor: np.ndarray, doc: np.ndarray, span: np.ndarray, bodies: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(anchor), pa.array(doc), pa.array(span), pa.array(bodies, pa.binary())], names=["anchor", "doc", "span", "bytes"])
 
-    def dealt() -> pa.RecordBatch:
-        doc, begin, bodies = zip(*lot)
-        return _windows(np.array(doc, np.int64), np.array(begin, np.int64), list(bodies))
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fetches the bytes of the wanted segments: (doc, doc_id, text, (anchor, span, heavy) each or null) to (heavy, anchor, doc, span, bytes)."""
     for batch in batches:
         batch = batch.filter(batch.column(3).is_valid())
         data, offsets = text_buffer(batch.column(2))
@@ -381,25 +367,96 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want = batch.column(3)
         for k in range(batch.num_rows):
             pairs = want[k].values
-            anchor, span = pairs.field(0), pairs.field(1).to_numpy(zero_copy_only=False)
-            heavy = pairs.field(2).to_numpy(zero_copy_only=False).astype(bool)
-            body = data[offsets[k] : offsets[k + 1]].tobytes()
-            for s, n in zip((span[heavy] >> 8).tolist(), (span[heavy] & 255).tolist()):
-                lot.append((doc[k], s, body[s : s + n]))
-                size += n
-                if size >= LOT_BYTES:
-                    yield dealt()
-                    lot, size = [], 0
-            if heavy.all():
-                continue
-            anchor, span = anchor.filter(pa.array(~heavy)), span[~heavy]
-            cut = [body[s : s + n] for s, n in zip((span >> 8).tolist(), (span & 255).tolist())]
-            yield pa.record_batch(
-                [pa.array(np.full(len(span), SEGMENT, np.int32)), anchor, pa.array(np.full(len(span), doc[k])), pa.array(span), pa.array(cut, pa.binary())],
-                names=["kind", "anchor", "doc", "span", "bytes"],
-            )
-    if lot:
-        yield dealt()
+            body = data[offsets[k] : offsets[k + 1]]
+            for at in range(0, len(pairs), 1 << 14):
+                part = pairs.slice(at, 1 << 14)
+                span = part.field(1).to_numpy(zero_copy_only=False)
+                cut = [body[s : s + n].tobytes() for s, n in zip((span >> 8).tolist(), (span & 255).tolist())]
+                piece = _piece(part.field(0).to_numpy(zero_copy_only=False), np.full(len(span), doc[k]), span, cut)
+                yield pa.record_batch([part.field(2), *piece.columns], names=["heavy", *piece.schema.names])
+
+
+def _windows_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all segments, owner of each window, its place there, its place among all bytes)."""
+    data, offsets = text_buffer(rows.column(3).view(pa.string()))
+    b, edge = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    many = np.diff(edge) - LENGTH + 1
+    owner = np.repeat(np.arange(len(many)), many)
+    nth = np.arange(len(owner)) - (np.cumsum(many) - many)[owner]
+    return b, owner, nth, edge[owner] + nth
+
+
+def _refine(level: int):
+    """Segments of one anchor to shorter ones, each of neighbouring windows that agree in their least string but ``level``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                b, owner, nth, place = _windows_of(rows)
+                total, down = _prefix_sums(b)
+                gram = mix((total[GRAM:] - total[:-GRAM]) * down[: len(b) - GRAM + 1])
+                inside = np.sort(gram[place[:, None] + np.arange(SPAN)], axis=1)
+                rank = np.cumsum(inside[:, 1:] != inside[:, :-1], axis=1)  # of distinct strings
+                at_level = np.argmax(rank == level, axis=1)
+                value = np.where(rank[:, -1] >= level, inside[np.arange(len(inside)), at_level + 1], U(0))
+                fresh = np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1]))
+                a = np.flatnonzero(fresh)
+                length = np.append(a[1:], len(value)) - a - 1 + LENGTH
+                anchor, doc, span = (rows.column(i).to_numpy(zero_copy_only=False)[owner[a]] for i in range(3))
+                key = mix(anchor.view(np.uint64) ^ mix(value[a] + U(level)))
+                cut = [b[p : p + n].tobytes() for p, n in zip(place[a].tolist(), length.tolist())]
+                yield _piece(key.view(np.int64), doc, (((span >> 8) + nth[a]) << 8) | length, cut)
+
+    return run
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of segments, each under a hash of its bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            rows = batch.slice(at, 256)
+            b, owner, nth, place = _windows_of(rows)
+            total, down = _prefix_sums(b)
+            value = mix((total[place + LENGTH] - total[place]) * down[place])
+            doc, span = (rows.column(i).to_numpy(zero_copy_only=False)[owner] for i in (1, 2))
+            yield _piece(value.view(np.int64), doc, (((span >> 8) + nth) << 8) | LENGTH, [b[p : p + LENGTH].tobytes() for p in place.tolist()])
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From pieces in order of (anchor, bytes, doc, span): adds again, true but for the earliest of those with equal bytes."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor, body = batch.column(0).to_numpy(zero_copy_only=False), batch.column(3)
+        again = np.zeros(batch.num_rows, bool)
+        again[1:] = (anchor[1:] == anchor[:-1]) & pc.equal(body[1:], body[:-1]).to_numpy(zero_copy_only=False)
+        again[0] = last is not None and last == (anchor[0], body[0].as_py())
+        last = anchor[-1], body[len(body) - 1].as_py()
+        yield pa.record_batch([pa.array(again), *batch.columns], names=["again", "anchor", "doc", "span", "bytes"])
+
+
+def _told(pieces: DataFrame) -> DataFrame:
+    ordered = pieces.repartition("anchor").sortWithinPartitions("anchor", "bytes", "doc", "span")
+    return settle(ordered.mapInArrow(_once, f"again boolean, {PIECE}"), "told")
+
+
+def split_heavy(rest: DataFrame, levels: int, limit: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(pieces of anchors that fit an index, repeats found on the way) from the segments of anchors that don't."""
+    fit, marks = [], []
+    for level in range(1, levels + 1):
+        told = _told(rest.mapInArrow(_refine(level), PIECE))
+        marks.append(told.filter("again").select("doc", "span"))
+        firsts = told.filter("not again").drop("again")
+        size = F.sum(F.col("span").bitwiseAND(255))
+        large = settle(firsts.groupBy("anchor").agg(size.alias("size")).filter(F.col("size") > limit).select("anchor"), "large")
+        if large.isEmpty():
+            return [*fit, firsts], marks
+        fit.append(firsts.join(large, "anchor", "left_anti"))
+        rest = firsts.join(large, "anchor", "left_semi").select("anchor", "doc", "span", "bytes")
+    marks.append(_told(rest.mapInArrow(_windows, PIECE)).filter("again").select("doc", "span"))
+    return fit, marks
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,7 +510,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     count, strings are judged on the input. Texts are UTF-8 bytes; null is empty;
     texts shorter than LENGTH stay. Null doc_ids come before all others, rows that
     repeat a doc_id in input order. Empty table: empty result; other columns are
-    ignored. A text of over a gigabyte raises an error; any shorter one is whole.
+    ignored. A text of any length is whole: it is cut in blocks that overlap.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (binary: int64
     pairs [from, to) of removed bytes).
@@ -463,15 +520,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = docs.select("doc", "text").mapInArrow(_segments, "again boolean, anchor long, mark long, doc long, span long")
     parts = parts.repartition(F.when(F.col("again"), F.xxhash64("doc", "span")).otherwise(F.col("anchor"))).sortWithinPartitions("again", "anchor", "mark", "doc", "span")
     sifted = settle(parts.mapInArrow(_sift, "anchor long, doc long, span long"), "sifted")
-    # a heavy anchor has over INDEX_BYTES of segments, hence they are few
-    heavy = sifted.filter("doc is null").select("anchor", F.lit(True).alias("heavy"))
-    firsts = sifted.filter("anchor is not null and doc is not null").join(F.broadcast(heavy), "anchor", "left")
-    wanted = firsts.groupBy("doc").agg(F.collect_list(F.struct("anchor", "span", F.coalesce("heavy", F.lit(False)).alias("heavy"))).alias("want"))
+    heavy = settle(sifted.filter("doc is null").select("anchor").distinct(), "heavy")
+    many = heavy.count()
+    firsts = sifted.filter("anchor is not null and doc is not null")
+    if many:
+        marked = heavy.withColumn("heavy", F.lit(True))
+        firsts = firsts.join(F.broadcast(marked) if many <= KNOWN else marked, "anchor", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+    else:
+        firsts = firsts.withColumn("heavy", F.lit(False))
+    wanted = firsts.groupBy("doc").agg(F.collect_list(F.struct("anchor", "span", "heavy")).alias("want"))
     # both joins deal the same three columns of every document by doc, so Spark shuffles the texts once and reads them twice
     texts = docs.select("doc", "doc_id", "text")
-    pieces = texts.join(wanted, "doc", "left").select("doc", "doc_id", "text", "want").mapInArrow(_cut, "kind int, anchor long, doc long, span long, bytes binary")
-    pieces = pieces.repartition("anchor").sortWithinPartitions("kind", "anchor", "doc", "span")
-    marks = pieces.mapInArrow(_index, "doc long, span long").union(sifted.filter("anchor is null").select("doc", "span"))
+    pieces = texts.join(wanted, "doc", "left").select("doc", "doc_id", "text", "want").mapInArrow(_cut, f"heavy boolean, {PIECE}")
+    found = [sifted.filter("anchor is null").select("doc", "span")]
+    if many:
+        pieces = settle(pieces, "pieces")
+        fit, more = split_heavy(pieces.filter("heavy").drop("heavy"), LEVELS, INDEX_BYTES)
+        found += more
+        pieces = reduce(DataFrame.union, [pieces.filter("not heavy").drop("heavy"), *fit])
+    else:
+        pieces = pieces.drop("heavy")
+    pieces = pieces.repartition("anchor").sortWithinPartitions("anchor", "doc", "span")
+    marks = reduce(DataFrame.union, [pieces.mapInArrow(_index, "doc long, span long"), *found])
     spans = marks.groupBy("doc").agg(F.collect_list("span").alias("marks"))
     return texts.join(spans, "doc", "left").select("doc", "doc_id", "text", "marks").mapInArrow(
         _remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary"

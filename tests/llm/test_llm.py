@@ -573,15 +573,19 @@ def common_line(n):
     return rows + [(n + i, "#" + rows[i][1][rng.randint(20, 60) : rng.randint(170, 200)] + str(i)) for i in range(0, n, 7)]
 
 
-def repeats_in_one_process(rows):
-    """The steps of remove_repeats without Spark: bytes removed by document, and the rows that met in _index."""
+def repeats_in_one_process(rows, levels=2):
+    """The steps of remove_repeats without Spark: bytes removed by document, and the heavy anchors."""
+
     def ordered(batches, by):
-        rows = pa.Table.from_batches(list(batches)).sort_by([(x, "ascending") for x in by])
-        return rows, rows.to_batches(max_chunksize=300)
+        table_ = pa.Table.from_batches(list(batches))
+        if "bytes" in by:  # binary columns have no sort here
+            key = sorted(range(table_.num_rows), key=lambda i: tuple(table_.column(c)[i].as_py() for c in by))
+            return table_.take(key).to_batches(max_chunksize=300)
+        return table_.sort_by([(x, "ascending") for x in by]).to_batches(max_chunksize=300)
 
     text = dict(rows)
     given = pa.record_batch([pa.array(list(text)), pa.array(list(text.values()))], names=["doc", "text"])
-    _, parts = ordered(repeats._segments([given]), ["again", "anchor", "mark", "doc", "span"])
+    parts = ordered(repeats._segments([given]), ["again", "anchor", "mark", "doc", "span"])
     sifted = [r for b in repeats._sift(iter(parts)) for r in b.to_pylist()]
     heavy = [r["anchor"] for r in sifted if r["doc"] is None]
     assert len(heavy) == len(set(heavy))
@@ -593,25 +597,79 @@ def repeats_in_one_process(rows):
     kind = pa.list_(pa.struct([("anchor", pa.int64()), ("span", pa.int64()), ("heavy", pa.bool_())]))
     none = pa.record_batch([pa.array([-1]), pa.array([-1]), pa.array(["a text of which nothing is wanted"]), pa.array([None], kind)], names=["doc", "doc_id", "text", "want"])
     wanted = pa.record_batch([pa.array(ids), pa.array(ids), pa.array([text[i] for i in ids]), pa.array([want[i] for i in ids], kind)], names=none.schema.names)
-    met, pieces = ordered(repeats._cut([none, wanted]), ["kind", "anchor", "doc", "span"])
+    pieces = pa.Table.from_batches(list(repeats._cut([none, wanted])))
+    of = lambda t, flag, name: t.filter(pa.array([x == flag for x in t.column(name).to_pylist()], pa.bool_())).drop_columns([name])
+    light, rest = [of(pieces, False, "heavy")], of(pieces, True, "heavy")
+    marks = [r for r in sifted if r["anchor"] is None]
+    by = ["anchor", "bytes", "doc", "span"]
+    for level in range(1, levels + 2):
+        last = level == levels + 1
+        if not rest.num_rows:
+            break
+        step = repeats._windows if last else repeats._refine(level)
+        told = pa.Table.from_batches(list(repeats._once(iter(ordered(step(rest.to_batches()), by)))))
+        marks += of(told, True, "again").to_pylist()
+        firsts = of(told, False, "again")
+        size = {}
+        for x, n in zip(firsts.column("anchor").to_pylist(), firsts.column("span").to_pylist()):
+            size[x] = size.get(x, 0) + (n & 255)
+        large = [size[x] > repeats.INDEX_BYTES for x in firsts.column("anchor").to_pylist()]
+        if not last:
+            light.append(firsts.filter(pa.array([not x for x in large], pa.bool_())))
+        rest = firsts.filter(pa.array(large, pa.bool_()))
     gone = {i: bytearray(len(t)) for i, t in rows}
-    marks = [r for b in repeats._index(iter(pieces)) for r in b.to_pylist()] + [r for r in sifted if r["anchor"] is None]
+    met = ordered([b for t in light for b in t.to_batches()], ["anchor", "doc", "span"])
+    marks += [r for b in repeats._index(iter(met)) for r in b.to_pylist()]
     for r in marks:
         start, length = r["span"] >> 8, r["span"] & 255
         gone[r["doc"]][start : start + length] = b"\1" * length
-    return {i: sum(x) for i, x in gone.items()}, heavy, met
+    return {i: sum(x) for i, x in gone.items()}, heavy
 
 
-def test_repeats_index_stays_bounded(monkeypatch):
-    rows, sizes, run = common_line(400), [], repeats.run_index
-    monkeypatch.setattr(repeats, "INDEX_BYTES", 20_000)
-    monkeypatch.setattr(repeats, "LOT_BYTES", 9_000)
+@pytest.mark.parametrize("limit, levels", [(20_000, 3), (20_000, 0), (3_000, 1), (600, 2)])
+def test_repeats_index_stays_bounded(monkeypatch, limit, levels):
+    rows, sizes, run = common_line(300), [], repeats.run_index
+    monkeypatch.setattr(repeats, "INDEX_BYTES", limit)
     monkeypatch.setattr(repeats, "run_index", lambda text, stop: sizes.append(len(text)) or run(text, stop))
-    got, heavy, _ = repeats_in_one_process(rows)
-    assert heavy and max(sizes) <= 20_000
+    got, heavy = repeats_in_one_process(rows, levels)
+    assert heavy and max(sizes, default=0) <= limit
     assert sorted(map(str, got.items())) == sorted(str((int(r[0]), r[2])) for r in brute_repeats(rows)) and sum(got.values())
 
 
+@pytest.mark.parametrize("bits", [0, 2])
+def test_repeats_of_heavy_anchors_stay_right_if_hashes_collide(monkeypatch, bits):
+    rows, mix = common_line(60), repeats.mix
+    monkeypatch.setattr(repeats, "INDEX_BYTES", 4_000)
+    given = {}
+
+    def weak(batches, name):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(repeats, "mix", lambda x: mix(x) >> np.uint64(64 - bits) if bits else mix(x) * np.uint64(0))
+            yield from list(given[name](batches))
+
+    for name in ("_windows",):
+        given[name] = getattr(repeats, name)
+        monkeypatch.setattr(repeats, name, lambda b, name=name: weak(b, name))
+    refine = repeats._refine
+    given["_refine"] = lambda b: refine(1)(b)
+    monkeypatch.setattr(repeats, "_refine", lambda level: lambda b: weak(b, "_refine"))
+    got, heavy = repeats_in_one_process(rows, 1)
+    assert heavy
+    assert sorted(map(str, got.items())) == sorted(str((int(r[0]), r[2])) for r in brute_repeats(rows))
+
+
+def test_repeats_of_long_texts_in_blocks(spark, monkeypatch):
+    rng = random.Random(41)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(700))
+    rows = [(1, "".join(rng.choice("xyzw") for _ in range(5000)) + passage * 2), (2, passage[:300] + "q" * 900 + passage[200:]), (3, "short"), (4, "ab" * 2000)]
+    for size in (100, 128, 999):
+        monkeypatch.setattr(repeats, "BLOCK_BYTES", size)
+        monkeypatch.setattr("marlstone.llm.words.CHUNK", size)
+        monkeypatch.setattr(repeats, "text_groups", lambda offsets: ((i, i + 1) for i in range(len(offsets) - 1)))
+        got, _ = repeats_in_one_process(rows)
+        assert sorted(map(str, got.items())) == sorted(str((int(r[0]), r[2])) for r in brute_repeats(rows))
+
+
 def test_repeats_of_a_common_line(spark):
     rows = common_line(16_000)  # the line's segments exceed one index
     got = repeats.remove_repeats(table(spark, rows)).collect()

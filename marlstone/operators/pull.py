@@ -47,7 +47,7 @@ def put(folder: str, name: str, body: bytes) -> None:
         raise
 
 
-def _in_order(rows: Iterator[tuple], work: Callable[..., object], at_once: int) -> Iterator[tuple[tuple, Exception | None]]:
+def in_order(rows: Iterator[tuple], work: Callable[..., object], at_once: int) -> Iterator[tuple[tuple, Exception | None]]:
     """(row, error) in order of the rows; no more than ``at_once`` are begun before the oldest is taken."""
     with ThreadPoolExecutor(at_once) as pool:
         ahead: deque[tuple[tuple, Future]] = deque()
@@ -79,7 +79,7 @@ def pull(planned: DataFrame, fetch: Callable[[str], bytes], folder: str, at_once
 
         for batch in batches:
             asked = zip(batch.column("__key").to_pylist(), batch.column("basename").to_pylist())
-            errors = [None if e is None else f"{type(e).__name__}: {e}" for _, e in _in_order(asked, store, at_once)]
+            errors = [None if e is None else f"{type(e).__name__}: {e}" for _, e in in_order(asked, store, at_once)]
             yield batch.set_column(batch.schema.get_field_index("error"), "error", pa.array(errors, pa.string()))
 
     rows = planned.withColumn("__key", F.col("id").cast("string")).withColumn("error", F.when(F.col("action") == "collision", F.concat(F.lit("file already written: "), "basename")))

@@ -56,11 +56,16 @@ def bucket_fragments(spark, d):
     return df.select("image_id", *[bar(f"b_{n}").alias(n) for n in NAMES])
 
 
+# fixed values: the order in which categories are packed, what each gives to another's variant, and to the zero-shot one
+ORDER = ["identity", "pose_composition", "action", "wardrobe", "lighting", "setting"]
+GIVES = {"identity": 3, "pose_composition": 2, "action": 2, "wardrobe": 1, "lighting": 0, "setting": 1}
+SHOT_GIVES = {"lighting": 2, "setting": 3}
+
+
 def _variant_sql(name: str) -> tuple[str, str]:
     """(packing expression, what the caps leave out) of a category variant."""
-    plan = A.by_priority(V.CATEGORIES)
-    fill = "list_concat(" + ", ".join(f"b_{c.name}" if c.name == name else S.head(f"b_{c.name}", A.cap_of(c)) for c in plan) + ")"
-    over = "list_concat(" + ", ".join(f"b_{c.name}[{A.cap_of(c) + 1}:]" for c in plan if c.name != name) + ")"
+    fill = "list_concat(" + ", ".join(f"b_{n}" if n == name else S.head(f"b_{n}", GIVES[n]) for n in ORDER) + ")"
+    over = "list_concat(" + ", ".join(f"b_{n}[{GIVES[n] + 1}:]" for n in ORDER if n != name) + ")"
     c = next(c for c in V.CATEGORIES if c.name == name)
     limit = lambda i: f"(CASE WHEN style = 'anime' THEN {c.anime[i]} ELSE {c.photo[i]} END)"
     return S.pack_words(fill, limit(0), limit(1)), over
@@ -91,10 +96,8 @@ def _longest(n: str) -> str:
     return f"list_transform(list_sort({keyed}), lambda s: s.f)"
 
 
-_SHOT_CAPS = {c.name: c.zeroshot_cap for c in V.CATEGORIES}
-_SHOT_ORDER = [c.name for c in A.by_priority(V.CATEGORIES)]
-_SHOT_FILL = "list_concat(" + ", ".join(f"l_{n}" if _SHOT_CAPS[n] is None else S.head(f"l_{n}", _SHOT_CAPS[n]) for n in _SHOT_ORDER) + ")"
-_SHOT_OVER = "list_concat(" + ", ".join(f"l_{n}[{_SHOT_CAPS[n] + 1}:]" for n in _SHOT_ORDER if _SHOT_CAPS[n] is not None) + ")"
+_SHOT_FILL = "list_concat(" + ", ".join(S.head(f"l_{n}", SHOT_GIVES[n]) if n in SHOT_GIVES else f"l_{n}" for n in ORDER) + ")"
+_SHOT_OVER = "list_concat(" + ", ".join(f"l_{n}[{SHOT_GIVES[n] + 1}:]" for n in ORDER if n in SHOT_GIVES) + ")"
 _SHOT_SQL = f"""{_SHOT}, zl AS (SELECT image_id, {", ".join(f"{_longest(n)} AS l_{n}" for n in NAMES)} FROM zb),
 zp AS (SELECT pro.image_id, trigger_word, {S.pack_tokens(_SHOT_FILL, "(CASE WHEN style = 'anime' THEN 12 ELSE 10 END)")} AS p, {_SHOT_OVER} AS o FROM pro JOIN zl ON pro.image_id = zl.image_id)"""
 
@@ -148,15 +151,20 @@ def _capped(n: str, tail: bool = False) -> str:
     return part if n == "lighting" else f"(CASE WHEN {_OUT(n)} THEN {whole} ELSE {part} END)"
 
 
-_TRAIN_SQL = f"""{S.BASE}, {_TRAIN_LISTS}, {_TOKENS},
+def _train_sql(tokens: str = "tokens") -> str:
+    """The CTEs up to tp (the packed training variant); ``tokens``: what the prose adds."""
+    return f"""{S.BASE}, {_TRAIN_LISTS}, {_TOKENS},
 ps AS (SELECT ck.*, coalesce(tokens, []) AS tokens, {", ".join(f"coalesce(t_{n}, []) AS t_{n}" for n in NAMES)} FROM ck LEFT JOIN tb ON ck.image_id = tb.image_id LEFT JOIN pt ON ck.image_id = pt.image_id),
 po AS (SELECT ps.*, list_concat(t_pose_composition, {_filter('t_identity', _RESCUE)}) AS pose FROM ps),
 fi AS (SELECT po.*, list_concat({_filter('pose', _framing('f'))}, {_filter('pose', f'NOT {_framing("f")} AND {_PRIMARY}')}, {_filter('pose', f'NOT {_framing("f")} AND NOT {_PRIMARY}')},
-  t_action, {_capped('wardrobe')}, {_capped('lighting')}, {_capped('setting')}, tokens) AS fill,
+  t_action, {_capped('wardrobe')}, {_capped('lighting')}, {_capped('setting')}, {tokens}) AS fill,
   list_concat({_capped('wardrobe', True)}, {_capped('lighting', True)}, {_capped('setting', True)}) AS over, {_filter('t_identity', f'NOT {_RESCUE}')} AS lost FROM po),
 tp AS (SELECT image_id, trigger_word, over, lost, {S.pack_tokens("fill", "(CASE WHEN style = 'anime' THEN 10 ELSE 8 END)")} AS p FROM fi)"""
 
 
+_TRAIN_SQL = _train_sql()
+
+
 @query(f"{_TRAIN_SQL} SELECT image_id, {S.caption('p')} AS caption, {sbar('list_concat(over, p.r, lost)')} AS removed FROM tp")
 def training_variant(spark, d):
     df = A.with_buckets(A.with_profile(captions(spark, d)))
@@ -166,6 +174,13 @@ def training_variant(spark, d):
     return df.select("image_id", v.alias("v")).select("image_id", "v.caption", bar("v.removed").alias("removed"))
 
 
+@query(f"""{_train_sql("CASE WHEN image_id % 2 = 0 THEN tokens ELSE []::VARCHAR[] END")} SELECT image_id, {S.with_trigger('trigger_word', 'array_to_string(p.k, chr(44) || chr(32))')} AS training FROM tp""")
+def training_unenriched(spark, d):
+    """The training variant of whole compositions in which every other image doesn't want its prose's words."""
+    df = A.compose(captions(spark, d).withColumn("prose_enrichment", F.col("image_id") % 2 == 0))
+    return df.select("image_id", F.col("caption_variants")["training"].alias("training"))
+
+
 def _composed(spark, d):
     return A.compose(captions(spark, d)).withColumns({"raw_tags": F.col("tags"), "raw_prose": F.col("prose")})
 
@@ -273,13 +288,13 @@ def _let(name: str, value: str, body: str) -> str:
     return f"list_transform([{value}], lambda {name}: {body})[1]"
 
 
-def _cased(new: str, old: str) -> str:
+def _like_old(new: str, old: str) -> str:
     return f"CASE WHEN regexp_matches({old}, '^[A-Z]') THEN upper(left({new}, 1)) || lower({new}[2:]) ELSE {new} END"
 
 
 def _words_swapped(text: str, hit: str) -> str:
     """The text with the words (every second bit) for which ``hit`` holds replaced by d.now."""
-    swapped = f"array_to_string(list_transform(range(1, len(b) + 1), lambda i: CASE WHEN {hit} THEN {_cased('d.now', 'b[i]')} ELSE b[i] END), '')"
+    swapped = f"array_to_string(list_transform(range(1, len(b) + 1), lambda i: CASE WHEN {hit} THEN {_like_old('d.now', 'b[i]')} ELSE b[i] END), '')"
     return _let("b", rf"string_split(regexp_replace({text}, '(\b[A-Za-z]+\b)', chr(2) || '\1' || chr(2), 'g'), chr(2))", swapped)
 
 

@@ -382,6 +382,25 @@ def image_files(spark, d):
     return facts.select(F.regexp_extract(_base(), r"^\d+", 0).cast("long").alias("k"), F.col("image_kind").alias("kind"), F.col("image_error").alias("error"), "width", "height", mean.alias("mean"))
 
 
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 6 AS m FROM part)
+SELECT k, CASE m WHEN 0 THEN k || '.bin' WHEN 1 THEN k || '.bin' WHEN 2 THEN k || '.gone' WHEN 3 THEN NULL WHEN 4 THEN NULL END AS name,
+  CASE WHEN m IN (0, 1, 3) THEN sha256('content ' || k) END AS sha256, CASE m WHEN 2 THEN 'FileNotFoundError' WHEN 4 THEN 'Error' WHEN 5 THEN 'ValueError' END AS error FROM p""")
+def loaded_images(spark, d):
+    """Sources of several kinds: paths and URIs of files that this query writes, one kind missing, data URLs good and bad, none at all."""
+    root = shared_folder(spark, "sources")
+    base = located(root)[1]
+    k, m = F.col("p_partkey").cast("string"), F.col("p_partkey") % 6
+    body = F.concat(F.lit("content "), k)
+    parts = table(spark, d, "part")
+    write_files(parts.filter("p_partkey % 6 < 2").select(F.concat(F.lit(f"{root}/"), k, F.lit(".bin")).alias("target"), body.alias("body")))
+    source = (
+        F.when(m == 0, F.concat(F.lit(f"{base}/"), k, F.lit(".bin"))).when(m == 1, F.concat(F.lit(f"file://{base}/"), k, F.lit(".bin"))).when(m == 2, F.concat(F.lit(f"{base}/"), k, F.lit(".gone")))
+        .when(m == 3, F.concat(F.lit("data:image/png;base64,"), F.base64(body.cast("binary")))).when(m == 4, F.lit("data:image/png;base64,%%"))
+    )
+    got = I.load_images(parts.select(F.col("p_partkey").alias("k"), source.alias("source")).repartition("k"))
+    return got.select("k", "name", "sha256", F.split_part("load_error", F.lit(":"), F.lit(1)).alias("error"))
+
+
 _EXT = "(CASE o_orderkey % 6 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' WHEN 2 THEN '.txt' WHEN 3 THEN '.webp' WHEN 4 THEN '.jpeg' ELSE '.tif' END)"
 
 

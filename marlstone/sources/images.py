@@ -176,6 +176,52 @@ def with_image_facts(df: DataFrame, content: str = "content", pixels: bool = Tru
     return df.mapInArrow(run, StructType([*df.schema.fields, *added]))
 
 
+def load_images(rows: DataFrame, source: str = "source", headers: dict[str, str] | None = None, timeout: float = 30.0, at_once: int = 4) -> DataFrame:
+    """Adds content, name, sha256 and load_error to rows whose ``source`` is a path, a URI, an http(s) or a data URL, or bytes.
+
+    name is the last step of a path or URL before any query, "image" if that is empty,
+    and null for bytes and data URLs. A source that can't be read is its row's error;
+    some are read at once in each task.
+    """
+    import base64
+    import hashlib
+
+    from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+
+    from marlstone.operators.pull import fetch_uri, in_order
+
+    def read(given: str | bytes | None) -> bytes:
+        if given is None:
+            raise ValueError("no source")
+        if not isinstance(given, str):
+            return bytes(given)
+        if given.startswith("data:"):
+            return base64.b64decode(given.partition(",")[2], validate=True)
+        return fetch_uri(given, headers, timeout)
+
+    def named(given: str | bytes | None) -> str | None:
+        return (given.split("?")[0].rsplit("/", 1)[-1] or "image") if isinstance(given, str) and not given.startswith("data:") else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(source)
+            for begin in range(0, batch.num_rows, 64):  # so many contents are held at once
+                part = batch.slice(begin, 64)
+                given = part.column(at).to_pylist()
+                got: list[bytes | None] = [None] * len(given)
+
+                def one(k: int, what: str | bytes | None, got=got) -> None:
+                    got[k] = read(what)
+
+                errors = [None if e is None else f"{type(e).__name__}: {e}" for _, e in in_order(enumerate(given), one, at_once)]
+                sha = [None if c is None else hashlib.sha256(c).hexdigest() for c in got]
+                columns = [pa.array(got, pa.binary()), pa.array([named(g) for g in given], pa.string()), pa.array(sha, pa.string()), pa.array(errors, pa.string())]
+                yield pa.record_batch([*part.columns, *columns], names=[*part.schema.names, "content", "name", "sha256", "load_error"])
+
+    added = [StructField("content", BinaryType()), *(StructField(n, StringType()) for n in ("name", "sha256", "load_error"))]
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *added]))
+
+
 def valid_images(df: DataFrame, content: str = "content") -> DataFrame:
     """The rows whose content is a whole image; the rest of an upload is left out."""
     return with_image_facts(df, content).filter("image_error is null")

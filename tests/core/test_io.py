@@ -242,7 +242,7 @@ def test_no_more_than_some_downloads_at_once(tmp_path):
             raise OSError("x")
 
     taken = []
-    for (i,), error in P._in_order(((i,) for i in range(20)), work, 4):
+    for (i,), error in P.in_order(((i,) for i in range(20)), work, 4):
         assert len(begun) <= len(taken) + 4 + 1  # work isn't begun far ahead of what is taken
         taken.append((i, error is None))
     assert taken == [(i, i != 6) for i in range(20)] and 1 < most[0] <= 4
@@ -407,3 +407,12 @@ def test_uploads(spark):
     df = spark.createDataFrame([("a", bytearray(good)), ("b", bytearray(good[:-1])), ("c", None), ("d", bytearray(b"x"))], "name string, content binary")
     rows = I.valid_images(df).collect()
     assert [(r["name"], r["width"], r["height"], r["mean_rgb"]) for r in rows] == [("a", 2, 1, [9.0, 9.0, 9.0])]
+
+
+def test_sources_of_bytes(spark):
+    df = spark.createDataFrame([(1, bytearray(b"abc")), (2, None)], "k int, source binary")
+    a, b = I.load_images(df).orderBy("k").collect()
+    assert bytes(a["content"]) == b"abc" and a["name"] is None and a["load_error"] is None
+    assert b["content"] is None and b["load_error"].startswith("ValueError")
+    paths = spark.createDataFrame([("/no/dir/",), ("/no/x.png?size=3",)], "source string")
+    assert sorted(r["name"] for r in I.load_images(paths).collect()) == ["image", "x.png"]

@@ -27,12 +27,12 @@ def key(fragment: Column) -> Column:
 
 
 def split_words(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return V.each("filter", F.split(text, r"(?U)\s+"), "w -> w <> ''")
 
 
 def pieces(text: Column, on: str = "[.;,]") -> Column:
     """Trimmed non-empty pieces."""
-    return F.filter(F.transform(F.split(text, on), lambda p: strip(p)), lambda p: p != "")
+    return V.each("filter", V.each("transform", F.split(text, on), f"p -> btrim(p, {V._sql(WHITE)})"), "p -> p <> ''")
 
 
 def tag_list(tags: Column) -> Column:
@@ -72,8 +72,8 @@ def content_words(text: Column) -> Column:
 
 
 def _content(words: Column) -> Column:
-    bare = F.transform(F.filter(words, lambda w: F.length(w) > 1), lambda w: strip(F.lower(w), ".,!?;:'\""))
-    return F.array_distinct(F.filter(bare, lambda w: ~w.isin(*V.STOPWORDS)))  # a set of literals is hashed once, an array in every call
+    bare = V.each("transform", V.each("filter", words, "w -> length(w) > 1"), f"w -> btrim(lower(w), {V._sql('.,!?;:' + chr(39) + chr(34))})")
+    return F.array_distinct(V.each("filter", bare, f"w -> w NOT IN {V.listed(V.STOPWORDS)}"))
 
 
 def _stems(word: Column) -> Column:
@@ -149,15 +149,12 @@ def prose_tokens(clauses: Column, known: Column, most: int = V.ENRICHMENT_TOKENS
         compounds = []
         for nouns in V.COMPOUND_NOUNS:
             found = F.regexp_extract_all(low, F.lit(rf"(?U)\b(\w+\s+(?:{nouns}))\b"), 1)
-
-            def tag(m: Column) -> Column:
-                first, noun = F.regexp_extract(m, r"(?U)^(\w+)", 1), F.regexp_extract(m, r"(?U)(\w+)$", 1)
-                return F.when(first.isin(*V.PROSE_STOPWORDS), noun).otherwise(F.concat_ws("_", first, noun))
-
-            compounds.append(F.transform(found, tag))
+            first, noun = (f"regexp_extract(m, {V._sql(p)}, 1)" for p in (r"(?U)^(\w+)", r"(?U)(\w+)$"))
+            compounds.append(V.each("transform", found, f"m -> CASE WHEN {first} IN {V.listed(V.PROSE_STOPWORDS)} THEN {noun} ELSE concat_ws('_', {first}, {noun}) END"))
         good = F.filter(F.concat(*compounds), lambda t: ~F.array_contains(known, t) & ~F.arrays_overlap(split_words(F.replace(t, F.lit("_"), F.lit(" "))), known))
-        words = F.transform(split_words(low), lambda w: strip(w, ".,!?;:'\"()[]"))
-        words = F.filter(words, lambda w: (F.length(w) > 3) & ~w.isin(*V.PROSE_STOPWORDS) & ~F.array_contains(known, w))
+        words = V.each("transform", split_words(low), f"w -> btrim(w, {V._sql('.,!?;:' + chr(39) + chr(34) + '()[]')})")
+        words = V.each("filter", words, f"w -> length(w) > 3 AND w NOT IN {V.listed(V.PROSE_STOPWORDS)}")
+        words = F.filter(words, lambda w: ~F.array_contains(known, w))
         return F.concat(good, words)
 
     every = V.let(known, lambda k: F.flatten(F.transform(F.transform(clauses, F.lower), lambda low: of(low, k))))
@@ -186,6 +183,20 @@ def threshold_of(preset: Column, bias: Column) -> Column:
     return F.when(bias.isNotNull(), by_bias).otherwise(F.coalesce(named, F.lit(V.PRESETS["balanced"])))
 
 
+def _keyed(values) -> str:
+    """SQL text: whether the key of f is among the values."""
+    return f"replace(btrim(lower(f), {V._sql(WHITE)}), ' ', '_') IN {V.listed(values)}"
+
+
+def noise(fragments: Column, identity: bool = False) -> Column:
+    """The fragments that are noise, or identity traits if ``identity``."""
+    return V.each("filter", fragments, f"f -> {_keyed([*V.NOISE_TAGS, *(V.IDENTITY_TAGS if identity else [])])}")
+
+
+def not_noise(fragments: Column, identity: bool = False) -> Column:
+    return V.each("filter", fragments, f"f -> NOT ({_keyed([*V.NOISE_TAGS, *(V.IDENTITY_TAGS if identity else [])])})")
+
+
 def is_noise(fragment: Column, identity: bool = False) -> Column:
     return key(fragment).isin(*V.NOISE_TAGS, *(V.IDENTITY_TAGS if identity else []))
 

@@ -97,6 +97,11 @@ def _sql(value) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else f"{value}D" if isinstance(value, float) else str(value)
 
 
+def listed(values) -> str:
+    """SQL text: values for IN. A set of literals is hashed once, an array in every call."""
+    return "(" + ", ".join(_sql(v) for v in values) + ")"
+
+
 def strings(values) -> Column:
     """A literal array<string>."""
     return F.expr(f"cast({_sql(list(values))} as array<string>)")
@@ -111,6 +116,15 @@ def empty() -> Column:
     return F.expr("cast(array() as array<string>)")
 
 
+def each(function: str, array: Column, body: str, *zero: Column) -> Column:
+    """A higher-order function whose lambda is SQL text.
+
+    A lambda written in Python takes several calls to the JVM for each of its nodes;
+    as text it takes one, whatever its size. The planned expression is the same.
+    """
+    return F.call_function(function, array, *zero, F.expr(body))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with ``value`` computed once, also inside lambdas."""
     return F.transform(F.array(value), body)[0]

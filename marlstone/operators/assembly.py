@@ -24,62 +24,56 @@ def validate(categories: Cats) -> None:
         raise ValueError("categories need distinct names, among them identity and setting")
 
 
-def _category(low: Column, categories: Cats) -> Column:
-    """Category of a lower-case fragment. Plain sums of contains beat a lambda over a list of hints."""
+def _category(low: str, categories: Cats) -> str:
+    """SQL text: the category of a lower-case fragment. Plain sums of contains beat a lambda over a list of hints."""
+    quote = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    hits = lambda c: " + ".join(["0", *(f"cast(contains({low}, {quote(h)}) as int)" for h in c.hints)])
     # the score in the high digits, the earlier category above the later in the low ones
-    scores = [sum((F.contains(low, F.lit(h)).cast("int") for h in c.hints), F.lit(0)) * 1000 + (999 - i) for i, c in enumerate(categories)]
-    names = V.strings([c.name for c in categories])
-    return V.let(F.greatest(*scores), lambda b: F.when(b >= 1000, F.get(names, 999 - b % 1000)).otherwise("identity"))
+    scores = ", ".join(f"({hits(c)}) * 1000 + {999 - i}" for i, c in enumerate(categories))
+    names = ", ".join(quote(c.name) for c in categories)
+    return f"transform(array(greatest({scores})), b -> CASE WHEN b >= 1000 THEN get(array({names}), 999 - b % 1000) ELSE 'identity' END)[0]"
 
 
 def classify(fragment: Column, categories: Cats = V.CATEGORIES) -> Column:
     """The category with most hints inside the fragment; the first of equals, identity if none."""
-    return V.let(F.lower(fragment), lambda low: _category(low, categories))
+    return V.each("transform", F.array(F.lower(fragment)), f"low -> {_category('low', categories)}")[0]
 
 
 def bucketed(fragments: Column, categories: Cats = V.CATEGORIES) -> Column:
     """array<struct<f, c>>: each normalised fragment with its category."""
-    return F.transform(fragments, lambda f: F.struct(f.alias("f"), _category(f, categories).alias("c")))
+    return V.each("transform", fragments, f"f -> named_struct('f', f, 'c', {_category('f', categories)})")
 
 
 def bucket(pairs: Column, name: str) -> Column:
-    return F.array_distinct(F.transform(F.filter(pairs, lambda p: p["c"] == name), lambda p: p["f"]))  # normalised before
+    named = V.each("filter", pairs, f"p -> p.c = '{name}'")
+    return F.array_distinct(V.each("transform", named, "p -> p.f"))  # normalised before
 
 
 def pack_tokens(fragments: Column, trigger: Column, backend: Column, budget: Column, most: Column) -> Column:
     """First fit under a token budget and a number of segments; a separator costs one token."""
 
 
-    def ok(acc: Column, n: Column) -> Column:
-        return (F.size(acc["kept"]) < most) & (acc["used"] + n + _separator(acc) <= budget)
+    priced = F.transform(fragments, lambda f: F.struct(f.alias("f"), T.tokens(f, backend, T.fragment_words(f)).cast("int").alias("n")))
+    separator = "IF(size(acc.kept) > 0, 1, 0)"
+    ok = f"size(acc.kept) < acc.most AND acc.used + x.n + {separator} <= acc.budget"
+    return _fold(priced, T.tokens(trigger, backend), {"most": most, "budget": budget}, ok, separator)
 
-    return _fold(fragments, T.tokens(trigger, backend), lambda f: T.tokens(f, backend, T.fragment_words(f)), ok, _separator)
 
-
-def _separator(acc: Column) -> Column:
-    return F.when(F.size(acc["kept"]) > 0, 1).otherwise(0)
-
-
-def _fold(fragments: Column, used: Column, cost, ok, more) -> Column:
-    """struct<kept, used, removed>; costs are computed once per fragment, before the fold."""
-    zero = F.struct(V.empty().alias("kept"), used.cast("int").alias("used"), V.empty().alias("removed"))
-    priced = F.transform(fragments, lambda f: F.struct(f.alias("f"), cost(f).cast("int").alias("n")))
-
-    def step(acc: Column, x: Column) -> Column:
-        take = F.struct(F.array_append(acc["kept"], x["f"]).alias("kept"), (acc["used"] + x["n"] + more(acc)).cast("int").alias("used"), acc["removed"].alias("removed"))
-        leave = F.struct(acc["kept"].alias("kept"), acc["used"].alias("used"), F.array_append(acc["removed"], x["f"]).alias("removed"))
-        return F.when(ok(acc, x["n"]), take).otherwise(leave)
-
-    return F.aggregate(priced, zero, step)
+def _fold(priced: Column, used: Column, limits: dict[str, Column], ok: str, more: str) -> Column:
+    """struct<kept, used, removed, ...> of fragments (f) with their costs (n); the limits go along, so that the fold is text."""
+    zero = F.struct(V.empty().alias("kept"), used.cast("int").alias("used"), V.empty().alias("removed"), *[c.cast("int").alias(n) for n, c in limits.items()])
+    along = "".join(f", '{n}', acc.{n}" for n in limits)
+    take = f"named_struct('kept', array_append(acc.kept, x.f), 'used', cast(acc.used + x.n + {more} as int), 'removed', acc.removed{along})"
+    leave = f"named_struct('kept', acc.kept, 'used', acc.used, 'removed', array_append(acc.removed, x.f){along})"
+    return V.each("aggregate", priced, f"(acc, x) -> CASE WHEN {ok} THEN {take} ELSE {leave} END", zero)
 
 
 def pack_words(fragments: Column, trigger: Column, segments: Column, words: Column) -> Column:
     """First fit under segments and words; the first fragment always stays."""
 
-    def ok(acc: Column, n: Column) -> Column:
-        return (F.size(acc["kept"]) == 0) | ((F.size(acc["kept"]) < segments) & (acc["used"] + n <= words))
-
-    return _fold(fragments, T.word_count(trigger), T.fragment_words, ok, lambda acc: F.lit(0))
+    priced = V.each("transform", fragments, "f -> named_struct('f', f, 'n', IF(f = '', 0, length(f) - length(replace(f, ' ', '')) + 1))")
+    ok = "size(acc.kept) = 0 OR (size(acc.kept) < acc.segments AND acc.used + x.n <= acc.words)"
+    return _fold(priced, T.word_count(trigger), {"segments": segments, "words": words}, ok, "0")
 
 
 def by_priority(categories: Cats) -> list[V.Category]:
@@ -241,13 +235,13 @@ def with_buckets(df: DataFrame, categories: Cats = V.CATEGORIES) -> DataFrame:
     df = df.withColumn("tag_fragments", T.normalised(T.pieces(F.col("tags"))))
     df = df.select(
         "*",
-        F.filter("tag_fragments", lambda f: T.is_noise(f)).alias("noise"),
+        T.noise(F.col("tag_fragments")).alias("noise"),
         T.judged_clauses(F.col("prose"), F.col("tags")).alias("judged"),
     )
     df = df.select("*", T.below(F.col("judged"), F.col("threshold")).alias("clauses"), T.not_below(F.col("judged"), F.col("threshold")).alias("redundant"))
     df = df.select(
         "*",
-        bucketed(F.filter("tag_fragments", lambda f: ~T.is_noise(f)), categories).alias("tag_pairs"),
+        bucketed(T.not_noise(F.col("tag_fragments")), categories).alias("tag_pairs"),
         bucketed(T.normalised(F.col("clauses")), categories).alias("prose_pairs"),
         bucketed(F.filter("noise", lambda f: ~T.key(f).isin(*V.RATING_TAGS)), categories).alias("noise_pairs"),
     )
@@ -282,8 +276,8 @@ def compose(df: DataFrame, categories: Cats = V.CATEGORIES, drop: float = 0.0, s
     buckets = {n: F.col(f"b_{n}") for n in names}
     trigger = F.col("trigger_word")
     df = df.select("*", *[category_variant(buckets, n, trigger, F.col("style"), categories).alias(f"v_{n}") for n in names])
-    trained = {n: F.filter(f"t_{n}", lambda f: ~T.is_noise(f, True)) if f"t_{n}" in df.columns else V.empty() for n in {*names, *(c.name for c in V.CATEGORIES)}}
-    stripped = _join([F.filter(f"t_{n}", lambda f: T.is_noise(f, True)) for n in names])
+    trained = {n: T.not_noise(F.col(f"t_{n}"), True) if f"t_{n}" in df.columns else V.empty() for n in {*names, *(c.name for c in V.CATEGORIES)}}
+    stripped = _join([T.noise(F.col(f"t_{n}"), True) for n in names])
     enrichment = F.when(F.col("prose_enrichment"), T.prose_tokens(F.col("clauses"), T.tag_words(F.col("tags")))).otherwise(V.empty())
     shot = {n: F.array_distinct(F.concat(f"b_{n}", bucket(F.col("noise_pairs"), n))) for n in names}
     keyed = F.concat_ws("\x1f", "tags", "prose")
@@ -303,7 +297,11 @@ def compose(df: DataFrame, categories: Cats = V.CATEGORIES, drop: float = 0.0, s
     variants = F.create_map(*[x for n in every for x in (F.lit(n), F.col(f"v_{n}.caption"))])
     out = df.select("*", variants.alias("caption_variants"), T.dedupe(removed).alias("removed_phrases"), F.filter(F.array(*[F.when(c, n) for c, n in notes]), lambda n: n.isNotNull()).alias("compaction_notes"))
     added = ["caption_variants", "final_caption", "selected_category", "removed_phrases", "compaction_notes"]
-    out = out.withColumn("final_caption", F.coalesce(F.try_element_at("caption_variants", F.col("category")), F.lit(""))).withColumn("selected_category", F.col("category"))
+    # chosen by cases and not out of the map, so that a plan without the map packs one variant for each image
+    chosen = F.lit("")
+    for n in names:
+        chosen = F.when(F.col("category") == n, F.col(f"v_{n}.caption")).otherwise(chosen)
+    out = out.withColumn("final_caption", chosen).withColumn("selected_category", F.col("category"))
     return out.select(*[c for c in mine if c not in added], *added)
 
 

@@ -168,7 +168,7 @@ _TRAIN_SQL = _train_sql()
 @query(f"{_TRAIN_SQL} SELECT image_id, {S.caption('p')} AS caption, {sbar('list_concat(over, p.r, lost)')} AS removed FROM tp")
 def training_variant(spark, d):
     df = A.with_buckets(A.with_profile(captions(spark, d)))
-    trained = {n: F.filter(f"t_{n}", lambda f: ~T.is_noise(f, True)) for n in NAMES}
+    trained = {n: T.not_noise(F.col(f"t_{n}"), True) for n in NAMES}
     extra = T.prose_tokens(F.col("clauses"), T.tag_words(F.col("tags")))
     v = A.training_variant(trained, F.col("trigger_word"), F.col("style"), F.col("backend"), F.col("budget"), F.col("image_index"), extra)
     return df.select("image_id", v.alias("v")).select("image_id", "v.caption", bar("v.removed").alias("removed"))

@@ -14,14 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
+from marlstone.operators import assembly as A
 from marlstone.operators import batch as B
 from marlstone.operators import contradiction as C
 from marlstone.operators import evaluation as E
 from marlstone.operators import pull as P
 from marlstone.operators import verify as Q
+from marlstone.operators.inference import caption_or_tags, infer
 from marlstone.plans import caption_queries as CQ
 from marlstone.plans import sqltext as S
-from marlstone.plans.bridge import SQL_CAPTIONS, captions, table
+from marlstone.plans.bridge import SQL_CAPTIONS, SQL_TAG_ROWS, captions, table, tag_rows
 from marlstone.sources import images as I
 from marlstone.sources import readers as R
 from marlstone.sources import writers as W
@@ -299,8 +301,6 @@ SELECT (SELECT count(*) FROM mt) AS n, (SELECT count(*) FROM mt WHERE image_id %
   {CQ._R('avg(CAST(ot AS INTEGER))')} AS over_budget_pct_training, {CQ._R('avg(recall)')} AS coverage_recall_mean FROM mg""")
 def scorecard_errors(spark, d):
     """A run in which a thirteenth of the images fails: inference records the error, and all means are over the rest."""
-    from marlstone.operators.inference import infer
-
     rows = captions(spark, d).withColumn("content", F.when(F.col("image_id") % 13 != 0, F.col("prose")).cast("binary"))
     judged = infer(rows.select("image_id", "content"), "stub-prose").select("image_id", F.col("error").alias("failed"))
     run = E.with_metrics(CQ._composed(spark, d).join(judged, "image_id").withColumn("error", F.col("failed")).withColumn("expected_tags", F.slice(T.tag_list(F.concat("tags", F.lit(", blue_sky"))), 1, 4)))
@@ -454,6 +454,28 @@ def vocabulary_file(spark, d):
     return R.tagger_vocabulary(spark, _ordered_file(head.union(rows), "at", "vocabulary"))
 
 
+@query(f"""WITH tr AS ({SQL_TAG_ROWS}), tg AS (SELECT image_id, string_agg(label, ', ' ORDER BY nth, part) AS labels FROM tr GROUP BY image_id)
+SELECT o_orderkey AS image_id, CASE WHEN o_orderkey % 3 > 0 THEN 'prose of ' || o_orderkey ELSE coalesce(labels, '') END AS caption FROM orders LEFT JOIN tg ON image_id = o_orderkey""")
+def caption_strings(spark, d):
+    """What a backend's output says as one string: its prose, or its labels if there is none."""
+    labels = F.array_sort(F.collect_list(F.struct("nth", "part", "label")))
+    tags = tag_rows(spark, d).groupBy("image_id").agg(labels.alias("rows"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("image_id")).join(tags, "image_id", "left")
+    empty = F.array().cast("array<struct<nth: int, part: bigint, label: string>>")
+    prose = F.when(F.col("image_id") % 3 > 0, F.concat(F.lit("prose of "), F.col("image_id").cast("string"))).otherwise("")
+    said = F.transform(F.coalesce("rows", empty), lambda r: F.struct(r["label"].alias("label")))
+    return rows.select("image_id", caption_or_tags(prose, said).alias("caption"))
+
+
+@query(f"{SQL_CAPTIONS} SELECT image_id, len(k) AS n, md5(array_to_string(list_sort(k), '|')) AS digest, true AS stable FROM (SELECT image_id, {S.pieces('tags', ',')} AS k FROM cap)")
+def diversity_keeps_all(spark, d):
+    """The diversity pass drops and reorders fragments by hashes: what it keeps and drops is what was given, the same in two runs."""
+    df = captions(spark, d).select("image_id", T.tag_list(F.col("tags")).alias("k"))
+    once, again = (A.diversified(F.col("k"), "setting", F.col("image_id"), 0.4, 7) for _ in range(2))
+    both = F.array_sort(F.concat(*once))
+    return df.select("image_id", F.size(both).cast("long").alias("n"), F.md5(F.array_join(both, "|")).alias("digest"), ((once[0] == again[0]) & (once[1] == again[1])).alias("stable"))
+
+
 @query("""SELECT source AS folder, least(count(*), 100) AS images FROM documents GROUP BY source""")
 def folder_counts_capped(spark, d):
     return B.folder_counts(table(spark, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path")), cap=100)

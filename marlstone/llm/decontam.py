@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.frames import only, settle, stowed
-from marlstone.llm.words import ALNUM, U, text_buffer, text_groups, words
+from marlstone.llm.words import ALNUM, text_buffer, text_groups, words
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20   # benchmark text in one broadcast (some 14 times that when built)

@@ -52,7 +52,7 @@ INDEX_BYTES = 2_000_000      # segment text in one index; a larger anchor group
 BATCH_BYTES = 1 << 17        # segment text of small anchor groups that are indexed together: sorts of this size stay in cache
 DEPTH = 189                  # suffixes are sorted whole, as no segment is longer
 LEVELS = 4                   # times that an anchor group is split by a further string
-KNOWN = 100_000              # heavy anchors up to which they are broadcast
+KNOWN = 100_000              # heavy anchors, and segments of them, up to which they are broadcast
 
 
 def _prefix_sums(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -359,7 +359,7 @@ def _piece(anchor: np.ndarray, doc: np.ndarray, span: np.ndarray, bodies: list[b
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fetches the bytes of the wanted segments: (doc, doc_id, text, (anchor, span, heavy) each or null) to (heavy, anchor, doc, span, bytes)."""
+    """Fetches the bytes of the wanted segments: (doc, doc_id, text, (anchor, span) each or null) to (anchor, doc, span, bytes)."""
     for batch in batches:
         batch = batch.filter(batch.column(3).is_valid())
         data, offsets = text_buffer(batch.column(2))
@@ -372,8 +372,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part = pairs.slice(at, 1 << 14)
                 span = part.field(1).to_numpy(zero_copy_only=False)
                 cut = [body[s : s + n].tobytes() for s, n in zip((span >> 8).tolist(), (span & 255).tolist())]
-                piece = _piece(part.field(0).to_numpy(zero_copy_only=False), np.full(len(span), doc[k]), span, cut)
-                yield pa.record_batch([part.field(2), *piece.columns], names=["heavy", *piece.schema.names])
+                yield _piece(part.field(0).to_numpy(zero_copy_only=False), np.full(len(span), doc[k]), span, cut)
 
 
 def _windows_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -502,6 +501,10 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return settle(rows.join(order, "row").select("doc", "doc_id", "text"), "numbered")
 
 
+def _wanted(firsts: DataFrame) -> DataFrame:
+    return firsts.groupBy("doc").agg(F.collect_list(F.struct("anchor", "span")).alias("want"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: what is left without bytes of strings that also start earlier.
 
@@ -520,26 +523,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = docs.select("doc", "text").mapInArrow(_segments, "again boolean, anchor long, mark long, doc long, span long")
     parts = parts.repartition(F.when(F.col("again"), F.xxhash64("doc", "span")).otherwise(F.col("anchor"))).sortWithinPartitions("again", "anchor", "mark", "doc", "span")
     sifted = settle(parts.mapInArrow(_sift, "anchor long, doc long, span long"), "sifted")
-    heavy = settle(sifted.filter("doc is null").select("anchor").distinct(), "heavy")
-    many = heavy.count()
     firsts = sifted.filter("anchor is not null and doc is not null")
-    if many:
-        marked = heavy.withColumn("heavy", F.lit(True))
-        firsts = firsts.join(F.broadcast(marked) if many <= KNOWN else marked, "anchor", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
-    else:
-        firsts = firsts.withColumn("heavy", F.lit(False))
-    wanted = firsts.groupBy("doc").agg(F.collect_list(F.struct("anchor", "span", "heavy")).alias("want"))
-    # both joins deal the same three columns of every document by doc, so Spark shuffles the texts once and reads them twice
-    texts = docs.select("doc", "doc_id", "text")
-    pieces = texts.join(wanted, "doc", "left").select("doc", "doc_id", "text", "want").mapInArrow(_cut, f"heavy boolean, {PIECE}")
     found = [sifted.filter("anchor is null").select("doc", "span")]
-    if many:
-        pieces = settle(pieces, "pieces")
-        fit, more = split_heavy(pieces.filter("heavy").drop("heavy"), LEVELS, INDEX_BYTES)
+    heavy = settle(sifted.filter("doc is null").select("anchor").distinct(), "heavy")
+    fit: list[DataFrame] = []
+    if many := heavy.count():
+        heavy = F.broadcast(heavy) if many <= KNOWN else heavy
+        apart = settle(_wanted(firsts.join(heavy, "anchor", "left_semi")), "apart")
+        # their texts are fetched by a scan of the documents where the wanted places are few, else by a shuffle
+        apart = F.broadcast(apart) if apart.agg(F.sum(F.size("want"))).first()[0] <= KNOWN else apart
+        fetched = docs.join(apart, "doc").select("doc", "doc_id", "text", "want").mapInArrow(_cut, PIECE)
+        fit, more = split_heavy(settle(fetched, "pieces"), LEVELS, INDEX_BYTES)
         found += more
-        pieces = reduce(DataFrame.union, [pieces.filter("not heavy").drop("heavy"), *fit])
-    else:
-        pieces = pieces.drop("heavy")
+        firsts = firsts.join(heavy, "anchor", "left_anti")
+    # both joins deal the same three columns of every document by doc, so Spark shuffles the texts once and reads them twice
+    texts = docs.select("doc", "doc_id", "text")
+    pieces = texts.join(_wanted(firsts), "doc", "left").select("doc", "doc_id", "text", "want").mapInArrow(_cut, PIECE)
+    pieces = reduce(DataFrame.union, [pieces, *fit])
     pieces = pieces.repartition("anchor").sortWithinPartitions("anchor", "doc", "span")
     marks = reduce(DataFrame.union, [pieces.mapInArrow(_index, "doc long, span long"), *found])
     spans = marks.groupBy("doc").agg(F.collect_list("span").alias("marks"))

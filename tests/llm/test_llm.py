@@ -589,17 +589,21 @@ def repeats_in_one_process(rows, levels=2):
     sifted = [r for b in repeats._sift(iter(parts)) for r in b.to_pylist()]
     heavy = [r["anchor"] for r in sifted if r["doc"] is None]
     assert len(heavy) == len(set(heavy))
-    want = {}
-    for r in sifted:
-        if r["anchor"] is not None and r["doc"] is not None:
-            want.setdefault(r["doc"], []).append({"anchor": r["anchor"], "span": r["span"], "heavy": r["anchor"] in heavy})
-    ids = sorted(want, key=lambda i: zlib.crc32(str(i).encode()))
-    kind = pa.list_(pa.struct([("anchor", pa.int64()), ("span", pa.int64()), ("heavy", pa.bool_())]))
+    kind = pa.list_(pa.struct([("anchor", pa.int64()), ("span", pa.int64())]))
     none = pa.record_batch([pa.array([-1]), pa.array([-1]), pa.array(["a text of which nothing is wanted"]), pa.array([None], kind)], names=["doc", "doc_id", "text", "want"])
-    wanted = pa.record_batch([pa.array(ids), pa.array(ids), pa.array([text[i] for i in ids]), pa.array([want[i] for i in ids], kind)], names=none.schema.names)
-    pieces = pa.Table.from_batches(list(repeats._cut([none, wanted])))
+    piece = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("span", pa.int64()), ("bytes", pa.binary())])
+
+    def fetched(of_heavy):
+        want = {}
+        for r in sifted:
+            if r["anchor"] is not None and r["doc"] is not None and (r["anchor"] in heavy) == of_heavy:
+                want.setdefault(r["doc"], []).append({"anchor": r["anchor"], "span": r["span"]})
+        ids = sorted(want, key=lambda i: zlib.crc32(str(i).encode()))
+        wanted = pa.record_batch([pa.array(ids, pa.int64()), pa.array(ids, pa.int64()), pa.array([text[i] for i in ids], pa.string()), pa.array([want[i] for i in ids], kind)], names=none.schema.names)
+        return pa.Table.from_batches(list(repeats._cut([none, wanted])), piece)
+
     of = lambda t, flag, name: t.filter(pa.array([x == flag for x in t.column(name).to_pylist()], pa.bool_())).drop_columns([name])
-    light, rest = [of(pieces, False, "heavy")], of(pieces, True, "heavy")
+    light, rest = [fetched(False)], fetched(True)
     marks = [r for r in sifted if r["anchor"] is None]
     by = ["anchor", "bytes", "doc", "span"]
     for level in range(1, levels + 2):

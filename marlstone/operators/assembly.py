@@ -214,11 +214,13 @@ DEFAULTS = {
 
 def with_profile(df: DataFrame, categories: Cats = V.CATEGORIES) -> DataFrame:
     """Adds missing input columns and the resolved profile: style, category, backend, budget, threshold."""
-    for name, (kind, value) in DEFAULTS.items():
-        if name not in df.columns:
-            df = df.withColumn(name, F.lit(value).cast(kind))
-        elif value is not None:
-            df = df.withColumn(name, F.coalesce(name, F.lit(value).cast(kind)))
+    def known(name: str) -> Column:
+        kind, value = DEFAULTS.get(name, (None, None))
+        column = F.col("`" + name.replace("`", "``") + "`")
+        return column if value is None else F.coalesce(column, F.lit(value).cast(kind)).alias(name)
+
+    missing = [F.lit(value).cast(kind).alias(name) for name, (kind, value) in DEFAULTS.items() if name not in df.columns]
+    df = df.select(*map(known, df.columns), *missing)
     blank = lambda c: F.nullif(T.strip(F.col(c)), F.lit(""))
     return df.select(
         "*",

@@ -10,23 +10,30 @@ from pyspark.sql import functions as F
 from marlstone.functions import vocab as V
 
 
+def _newest_first(captions: DataFrame) -> list[Column]:
+    """By version, then created_at; unknown ones count as newest. Equals go by their asset and their content, so that no order of reading decides."""
+    body = F.to_json(F.struct(*[c for c in captions.columns if c != "asset_id"]))
+    return [F.col("version").desc_nulls_first(), F.col("created_at").desc_nulls_first(), F.col("asset_id"), body]
+
+
 def latest_captions(captions: DataFrame) -> DataFrame:
     """The newest recorded caption of each asset: by version, then created_at; unknown ones count as newest."""
-    w = Window.partitionBy("asset_id").orderBy(F.col("version").desc_nulls_first(), F.col("created_at").desc_nulls_first())
+    w = Window.partitionBy("asset_id").orderBy(*_newest_first(captions))
     return captions.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
 def replay(wanted: DataFrame, assets: DataFrame, captions: DataFrame, on_miss: str = "keep") -> DataFrame:
     """Recorded captions for ``wanted`` (sha256, uri): by sha256, and by uri where that finds none.
 
-    Adds ``matched_by`` ("sha256", "uri" or null) and the caption's columns.
+    Adds ``matched_by`` ("sha256", "uri" or null) and the caption's columns. Of equally
+    new captions of assets with one key, that of the smallest asset id counts.
     ``on_miss``: keep the row, "skip" it, or "fail" the query.
     """
     body = [c for c in captions.columns if c != "asset_id"]
 
     def newest(key: str) -> DataFrame:
         rows = assets.select(F.col("id").alias("asset_id"), F.col(key).alias("__k")).filter("__k is not null").join(captions, "asset_id")
-        w = Window.partitionBy("__k").orderBy(F.col("version").desc_nulls_first(), F.col("created_at").desc_nulls_first())
+        w = Window.partitionBy("__k").orderBy(*_newest_first(captions))
         top = rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1")
         return top.select(F.col("__k").alias(key), F.struct(*body).alias(f"by_{key}"))
 

@@ -128,6 +128,17 @@ def test_replay(spark):
         B.replay(want, assets, caps, "fail").collect()
 
 
+def test_equally_new_captions_go_by_the_smallest_asset(spark):
+    assets = [(a, "s", "u") for a in "cab"]
+    caps = [(a, f"of {a} {n}", 2, "1") for a in "bca" for n in (1, 0)] + [("a", "old", 1, "1")]
+    want = spark.createDataFrame([(0, "s", "u")], "k int, sha256 string, uri string")
+    for step in (1, -1):
+        kept = spark.createDataFrame(caps[::step], "asset_id string, final_caption string, version int, created_at string").coalesce(1)
+        got = B.replay(want, spark.createDataFrame(assets[::step], "id string, sha256 string, uri string"), kept).first()
+        assert got["final_caption"] == "of a 0"
+        assert {r["final_caption"] for r in B.latest_captions(kept).collect()} == {"of a 0", "of b 0", "of c 0"}
+
+
 def test_batch_steps(spark):
     rows = spark.createDataFrame([("a", 1, 0), ("b", 2, 1), ("a", 3, 2)], "name string, v int, idx int")
     assert {(r["name"], r["position"], r["v"]) for r in B.last_wins(rows).collect()} == {("a", 0, 3), ("b", 1, 2)}

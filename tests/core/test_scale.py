@@ -7,6 +7,8 @@ import pyarrow.parquet as pq
 from pyspark import cloudpickle
 
 from marlstone.plans import io_queries as Q
+from marlstone.sources import files as S
+from marlstone.sources import readers as R
 
 
 def tables(folder, orders=(), pages=()):
@@ -44,3 +46,25 @@ def test_a_worker_reads_the_listing_once(spark, tmp_path):
     assert len(first["items"]) == 10 and first["next_page"] == 3
     again = pickle.loads(sent)(2, 10, None, "2024-02-01T00:00:00.000Z")
     assert len(again["items"]) == 5 and again["next_page"] is None
+
+
+def test_files_are_written_and_read_by_many_tasks(spark, tmp_path):
+    rows = spark.range(0, 200, 1, 1).selectExpr(f"concat('{tmp_path}/out/', id % 3, '/', id, '.PNG') as target", "cast(id as string) as body")
+    assert S.write_files(rows).count() == 200
+    found = S.contents(S.listed_files(spark, str(tmp_path / "out")))
+    assert found.rdd.getNumPartitions() >= 4  # not by bytes: 200 small files were a few tasks, millions tens of thousands
+    assert {(r["path"].rsplit("/", 1)[1], r["content"].decode()) for r in found.collect()} == {(f"{i}.PNG", str(i)) for i in range(200)}
+    scanned = R.scan_images(spark, str(tmp_path / "out"))
+    assert "BinaryFile" not in scanned._jdf.queryExecution().toString()  # sorting would read all contents twice
+    assert [r["id"] for r in scanned.limit(2).collect()] == ["0/0.PNG", "0/102.PNG"]
+    S.delete_files(found)
+    assert S.listed_files(spark, str(tmp_path / "out")).count() == 0
+
+
+def test_sidecars_come_in_slices_that_leave_no_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Q, "SLICE", 15)
+    roots, listed = [], Q.listed_files
+    monkeypatch.setattr(Q, "listed_files", lambda spark, root: (roots.append(root), listed(spark, root))[1])
+    rows = Q.sidecar_files(spark, tables(tmp_path, orders=list(range(1, 41)))).collect()
+    assert sorted((r["image_id"], r["kind"]) for r in rows) == sorted([(k, "txt") for k in range(1, 41)] + [(k, "xmp") for k in range(3, 41, 3)])
+    assert len(roots) == 3 and all(listed(spark, root).count() == 0 for root in roots)

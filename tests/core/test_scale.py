@@ -4,6 +4,7 @@ import pickle
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark import cloudpickle
 
 from marlstone.plans import io_queries as Q
@@ -68,3 +69,25 @@ def test_sidecars_come_in_slices_that_leave_no_files(spark, tmp_path, monkeypatc
     rows = Q.sidecar_files(spark, tables(tmp_path, orders=list(range(1, 41)))).collect()
     assert sorted((r["image_id"], r["kind"]) for r in rows) == sorted([(k, "txt") for k in range(1, 41)] + [(k, "xmp") for k in range(3, 41, 3)])
     assert len(roots) == 3 and all(listed(spark, root).count() == 0 for root in roots)
+
+
+def test_a_json_array_is_checked_in_splits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(type(spark.read), "json", lambda *a, **k: pytest.fail("one task reads the whole array"))
+    d = tables(tmp_path, orders=list(range(1, 41)))
+    assert [(r["line"], r["image_id"]) for r in Q.json_array(spark, d).orderBy("line").collect()] == [(k, k) for k in range(1, 41)]
+    write = Q.W.json_array
+
+    def broken(rows, folder, order, single):
+        write(rows, folder, order, single)
+        with open(single) as f:
+            text = f.read()
+        with open(single, "w") as f:
+            f.write(text.replace(',{"image_id":7,', '{"image_id":7,').replace("]", close))
+
+    monkeypatch.setattr(Q.W, "json_array", broken)
+    close = ""
+    with pytest.raises(ValueError, match="closed"):
+        Q.json_array(spark, d)
+    close = "]"
+    got = {r["line"]: r["image_id"] for r in Q.json_array(spark, d).collect()}
+    assert got[7] is None and got[6] == 6

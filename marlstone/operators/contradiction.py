@@ -26,33 +26,39 @@ def colour_map(tags: Column) -> Column:
         nouns = F.filter(words, lambda w: ~_is_colour(w) & ~w.isin(*V.NON_NOUNS))
         return F.struct(F.get(nouns, F.size(nouns) - 1).alias("noun"), colours.alias("colours"))
 
-    said = F.filter(F.transform(T.tag_list(tags), of), lambda s: s["noun"].isNotNull() & (F.size(s["colours"]) > 0))
-    nouns = F.array_distinct(F.transform(said, lambda s: s["noun"]))
-    return F.map_from_arrays(
-        nouns,
-        F.transform(nouns, lambda n: F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(said, lambda s: s["noun"] == n), lambda s: s["colours"]))))),
-    )
+    def merged(said: Column) -> Column:
+        def colours(n: Column) -> Column:
+            return F.sort_array(F.array_distinct(F.flatten(F.filter(said, lambda s: s["noun"] == n)["colours"])))
+
+        return V.let(F.array_distinct(said["noun"]), lambda nouns: F.map_from_arrays(nouns, F.transform(nouns, colours)))
+
+    return V.let(F.filter(F.transform(T.tag_list(tags), of), lambda s: s["noun"].isNotNull() & (F.size(s["colours"]) > 0)), merged)
 
 
 def prose_colours(clauses: Column, noun: Column) -> Column:
-    near = F.filter(clauses, lambda c: F.arrays_overlap(c, T.noun_variants(noun)))
+    near = V.let(T.noun_variants(noun), lambda forms: F.filter(clauses, lambda c: F.arrays_overlap(c, forms)))
     words = F.filter(F.flatten(near), _is_colour)
-    return F.array_sort(F.array_distinct(F.transform(words, T.canon_colour)))
+    return F.sort_array(F.array_distinct(F.transform(words, T.canon_colour)))
 
 
 def compared(tags: Column, prose: Column) -> Column:
-    """array of disputes' structs for every attribute that both sides name, agreeing or not."""
-    clauses = T.detector_clauses(prose)
-    colour = F.transform(
-        F.map_entries(colour_map(tags)),
-        lambda e: F.struct(F.lit("color").alias("kind"), e["key"].alias("subject"), e["value"].alias("tags_say"), prose_colours(clauses, e["key"]).alias("prose_says")),
-    )
+    """array of disputes' structs for every attribute that both sides name, agreeing or not.
+
+    Tags and clauses are taken apart once for a row, not once for each noun, and clauses only if a tag has a colour.
+    """
+    def coloured(entries: Column) -> Column:
+        def one(clauses: Column) -> Column:
+            return F.transform(
+                entries, lambda e: F.struct(F.lit("color").alias("kind"), e["key"].alias("subject"), e["value"].alias("tags_say"), prose_colours(clauses, e["key"]).alias("prose_says"))
+            ).cast(f"array<{DISPUTE}>")
+
+        return F.when(F.size(entries) > 0, V.let(T.detector_clauses(prose), one)).otherwise(F.array().cast(f"array<{DISPUTE}>"))
 
     def postures(text: Column) -> Column:
-        return F.array_sort(F.array_intersect(T.alpha_words(text), V.strings(V.POSTURES)))
+        return F.sort_array(F.array_intersect(T.alpha_words(text), V.strings(V.POSTURES)))
 
     pose = F.array(F.struct(F.lit("pose").alias("kind"), F.lit("posture").alias("subject"), postures(tags).alias("tags_say"), postures(prose).alias("prose_says")))
-    both = F.concat(colour.cast(f"array<{DISPUTE}>"), pose.cast(f"array<{DISPUTE}>"))
+    both = F.concat(V.let(F.map_entries(colour_map(tags)), coloured), pose.cast(f"array<{DISPUTE}>"))
     return F.filter(both, lambda d: (F.size(d["tags_say"]) > 0) & (F.size(d["prose_says"]) > 0))
 
 

@@ -3,8 +3,10 @@
 1. Every text is encoded by a byte-level BPE (side A, of a space and the text) and by a
    piece model with byte fallback (side B). Tokens become byte ranges; where tokens of
    both sides end, the text is cut into groups, and the two tokens that end there are
-   linked. Documents are handled in blocks: a block lists its distinct id pairs once,
-   and its documents name them by their place in that list.
+   linked. No token goes on over a lone space, so a word between such spaces always gives
+   the same: a worker encodes it once and remembers its pairs and groups. Documents are
+   handled in blocks: a block lists its distinct id pairs once, and its documents name
+   them by their place in that list.
 2. The count matrix (B ids by A ids) is striped by B id: ROWS rows make a dense block of
    fixed size. Blocks' pairs are dealt out by stripe and lot, added into the dense block
    by np.add.at, and the lots of a stripe are added up. A row's maximum is its best count.
@@ -31,10 +33,13 @@ ROWS = 64             # B ids of a stripe: with 50,257 A ids a dense block takes
 BLOCK = 2 << 20       # characters of a block of documents
 SEGMENT = 1 << 18     # longer texts are encoded in segments
 ENCODE = 1 << 18      # characters given to a tokenizer at once
+TOGETHER = 1 << 12    # characters of words that are encoded in one text
+WORDS = 1 << 18       # words that a worker remembers between blocks, and 32 times as many characters
 LOTS = 2048           # blocks that a stripe's task adds up before lots are added up
 CUT = re.compile(r"(?<=\S) (?=\S)")  # no token of either side goes on over a lone space: it begins the next one
 
 _loaded: dict[str, tuple] = {}
+_known: dict[str, Words] = {}
 
 
 def byte_of_char() -> dict[str, int]:
@@ -78,6 +83,12 @@ class Pair:
             )
         return _loaded[self.key]
 
+    def words(self) -> Words:
+        """The words that this worker remembers, over its tasks."""
+        if self.key not in _known:
+            _known[self.key] = Words(*self.load())
+        return _known[self.key]
+
 
 def segments(text: str, size: int) -> list[str]:
     """The text cut at lone spaces, which are left out (each side begins every segment with one)."""
@@ -111,6 +122,99 @@ def group_order(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.nda
     return out
 
 
+class Words:
+    """Words, each encoded once: numbers, and by number the tokens, the links' keys (B id * width + A id) and the groups spelled out."""
+
+    def __init__(self, encode_a, encode_b, bytes_a: list[bytes], bytes_b: list[bytes], cuttable: bool, most: int = WORDS):
+        self.encode_a, self.encode_b, self.bytes_a, self.bytes_b, self.cuttable, self.most = encode_a, encode_b, bytes_a, bytes_b, cuttable, most
+        self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (bytes_a, bytes_b))
+        self.width = len(bytes_a)
+        self.tokens = [f"{i}{s}" for i in range(max(self.width, len(bytes_b))) for s in (",", "|", ";", "")]
+        self.number: dict[str, int] = {}  # -1 where the bytes don't agree
+        self.spelled: list[str] = []
+        self.n_a = self.n_b = self.n_links = self.keys = self.used = np.zeros(0, np.int64)
+        self.chars = 0
+
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of each text's words; a text without any is one bad word."""
+        words = [CUT.split(t) if self.cuttable else [t] for t in texts]
+        new = {w for w in set().union(*words) if w not in self.number}
+        if new:
+            self._learn(new)
+        return [np.fromiter(map(self.number.__getitem__, w), np.int32, len(w)) for w in words]
+
+    def _groups(self, words: set[str]) -> Iterator[list[str]]:
+        """Words to be encoded together; one that begins or ends in white space stands alone, as its neighbour's space would not."""
+        group, size = [], 0
+        for w in words:
+            if not self.cuttable or not w or w[0].isspace() or w[-1].isspace():
+                yield [w]
+                continue
+            group.append(w)
+            size += len(w) + 1
+            if size >= TOGETHER:
+                yield group
+                group, size = [], 0
+        if group:
+            yield group
+
+    def _encoded(self, groups: list[list[str]]) -> Iterator[tuple]:
+        """(words, their ends in bytes, ids A, ids B) of groups whose bytes agree and whose words end with tokens; others are halved."""
+        while groups:
+            texts, again = [" ".join(g) for g in groups], []
+            for group, text, a, b in zip(groups, texts, self.encode_a(texts), self.encode_b(texts)):
+                raw = (" " + text).encode()
+                if text != "" and b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b)):
+                    a, b = np.array(a, np.int64), np.array(b, np.int64)
+                    ends = np.cumsum([len(w.encode()) + 1 for w in group])
+                    if all(np.isin(ends, np.cumsum(size[ids])).all() for size, ids in ((self.size_a, a), (self.size_b, b))):
+                        yield group, ends, a, b
+                        continue
+                if len(group) > 1:
+                    again += [group[: len(group) // 2], group[len(group) // 2 :]]
+                else:
+                    self.number[group[0]] = -1
+            groups = again
+
+    def _learn(self, new: set[str]) -> None:
+        found = list(self._encoded(list(self._groups(new))))
+        self.chars += sum(map(len, new))
+        if not found:
+            return
+        words = [w for f in found for w in f[0]]
+        starts = np.cumsum([0] + [f[1][-1] for f in found])
+        ends = np.concatenate([f[1] + at for f, at in zip(found, starts)])
+        a, b = (np.concatenate([f[k] for f in found]) for k in (2, 3))
+        last_a, last_b, met = common_ends(a, b, self.size_a, self.size_b)
+        order = group_order(a, b, last_a, last_b)
+        n_a, n_b, n_links = (np.bincount(np.searchsorted(ends, at), minlength=len(words)) for at in (np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]), met))
+        cut = np.append(0, np.cumsum(n_a + n_b)).tolist()
+        tokens = list(map(self.tokens.__getitem__, order.tolist()))
+        self.number.update(zip(words, range(len(self.spelled), len(self.spelled) + len(words))))
+        self.spelled += ["".join(tokens[p:q])[:-1] for p, q in zip(cut, cut[1:])]
+        self.n_a, self.n_b, self.n_links = (np.concatenate(x) for x in ((self.n_a, n_a), (self.n_b, n_b), (self.n_links, n_links)))
+        self.keys = np.concatenate((self.keys, b[last_b] * self.width + a[last_a]))
+        self.used = np.concatenate((self.used, np.zeros(len(words), np.int64)))
+
+    def places(self, numbers: np.ndarray) -> np.ndarray:
+        """The places in ``keys`` of all links of words, one after the other."""
+        n = self.n_links[numbers]
+        first = (np.cumsum(self.n_links) - self.n_links)[numbers]
+        return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+    def forget(self) -> None:
+        """Between blocks: if there are too many, half as many of the most used words stay, and none that is long."""
+        if len(self.number) <= self.most and self.chars <= 32 * self.most:
+            return
+        texts = {i: w for w, i in self.number.items() if i >= 0 and len(w) <= 64}
+        stay = np.array([i for i in np.argsort(-self.used, kind="stable").tolist() if i in texts][: self.most // 2], np.int64)
+        self.keys = self.keys[self.places(stay)]
+        self.n_a, self.n_b, self.n_links, self.used = (x[stay] for x in (self.n_a, self.n_b, self.n_links, self.used // 2))
+        self.spelled = [self.spelled[i] for i in stay.tolist()]
+        self.number = {texts[i]: n for n, i in enumerate(stay.tolist())}
+        self.chars = sum(map(len, self.number))
+
+
 ALIGNED = {
     "kind": pa.int32(), "row": pa.int64(), "doc_id": pa.int64(), "block": pa.int64(), "stripe": pa.int32(), "n_a": pa.int64(), "n_b": pa.int64(),
     "n_links": pa.int64(), "groups_sha256": pa.string(), "data": pa.binary(), "counts": pa.binary(),
@@ -127,16 +231,14 @@ def _align(pair, block_size: int, segment: int):
     """(row, doc_id, text) to documents, a row for each segment, and the pairs of each block, a row for each stripe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_a, encode_b, bytes_a, bytes_b, cuttable = pair.value.load()
-        size_a, size_b = (np.array([len(x) for x in t], np.int64) for t in (bytes_a, bytes_b))
-        width = len(bytes_a)
-        spelled = [f"{i}{s}" for i in range(max(width, len(bytes_b))) for s in (",", "|", ";", "")]
+        known = pair.value.words()
+        width = known.width
         number = TaskContext.get().partitionId() << 32
         digest = None  # of the document whose segments go on
 
         def encoded(docs: list[tuple[int, int, str]]) -> Iterator[tuple]:
-            """(row, doc_id, last segment or not, ids A, ids B) of each segment; ids are None where the bytes don't agree."""
-            parts = [(n, s) for n, (_, _, t) in enumerate(docs) for s in (segments(t, segment) if cuttable else [t])]
+            """(row, doc_id, last segment or not, its words' numbers) of each segment; None for the numbers where the bytes don't agree."""
+            parts = [(n, s) for n, (_, _, t) in enumerate(docs) for s in (segments(t, segment) if known.cuttable else [t])]
             done: list[tuple] = []
             at = 0
             while at < len(parts):
@@ -144,46 +246,45 @@ def _align(pair, block_size: int, segment: int):
                 while stop < len(parts) and (stop == at or size + len(parts[stop][1]) <= ENCODE):
                     size += len(parts[stop][1])
                     stop += 1
-                texts = [s for _, s in parts[at:stop]]
-                for (n, s), a, b in zip(parts[at:stop], encode_a(texts), encode_b(texts)):
-                    raw = (" " + s).encode()
-                    good = s != "" and b"".join(map(bytes_a.__getitem__, a)) == raw == b"".join(map(bytes_b.__getitem__, b))
-                    done.append((n, np.array(a, np.int32), np.array(b, np.int32)) if good else (n, None, None))
+                done += zip([n for n, _ in parts[at:stop]], known.numbers([s for _, s in parts[at:stop]]))
                 at = stop
-            bad = {n for n, a, _ in done if a is None}
-            for i, (n, a, b) in enumerate(done):
+            bad = {n for n, words in done if words.min() < 0}
+            for i, (n, words) in enumerate(done):
                 last = i + 1 == len(done) or done[i + 1][0] != n
                 if n not in bad:
-                    yield *docs[n][:2], last, a, b
+                    yield *docs[n][:2], last, words
                 elif last:
-                    yield *docs[n][:2], True, None, None
+                    yield *docs[n][:2], True, None
 
         def block(held: list[tuple]) -> Iterator[pa.RecordBatch]:
             nonlocal number, digest
             number += 1
-            a, b = (np.concatenate([h[k] for h in held]).astype(np.int64) for k in (3, 4))
-            last_a, last_b, end = common_ends(a, b, size_a, size_b)
-            keys, place = np.unique(b[last_b] * width + a[last_a], return_inverse=True)
-            counts = np.bincount(place, minlength=len(keys))
-            place = place.astype(np.uint16 if len(keys) <= 1 << 16 else np.uint32)
-            order = group_order(a, b, last_a, last_b)
-            # segments end where both sides' tokens end
-            tokens_a, tokens_b = (np.cumsum([0] + [len(h[k]) for h in held]) for k in (3, 4))
-            links = np.searchsorted(last_a, tokens_a)
+            words = np.concatenate([h[3] for h in held])
+            times = np.bincount(words, minlength=len(known.used))
+            known.used += times
+            distinct = np.flatnonzero(times)
+            # a block's pairs follow from its distinct words
+            own = known.places(distinct)
+            keys, place = np.unique(known.keys[own], return_inverse=True)
+            counts = np.zeros(len(keys), np.int64)
+            np.add.at(counts, place, np.repeat(times[distinct], known.n_links[distinct]))
+            of_key = np.zeros(len(known.keys), np.uint16 if len(keys) <= 1 << 16 else np.uint32)
+            of_key[own] = place
+            place = of_key[known.places(words)]
+            bounds = np.cumsum([0] + [len(h[3]) for h in held])
+            tokens_a, tokens_b, links = (np.append(0, np.cumsum(n[words]))[bounds].tolist() for n in (known.n_a, known.n_b, known.n_links))
             rows = []
-            for i, (row, doc_id, last, x, y) in enumerate(held):
-                own = order[tokens_a[i] + tokens_b[i] : tokens_a[i + 1] + tokens_b[i + 1]].tolist()
-                text = "".join(map(spelled.__getitem__, own))
+            for i, (row, doc_id, last, said) in enumerate(held):
                 digest = digest or hashlib.sha256()
-                digest.update((text[:-1] if last else text).encode())
-                n = int(links[i + 1] - links[i])
-                rows.append((DOC, row, doc_id, number, None, len(x), len(y), n, digest.hexdigest() if last else None, place[links[i] : links[i + 1]].tobytes(), None))
+                digest.update(";".join(map(known.spelled.__getitem__, said.tolist())).encode() + (b"" if last else b";"))
+                p, q = links[i : i + 2]
+                rows.append((DOC, row, doc_id, number, None, tokens_a[i + 1] - tokens_a[i], tokens_b[i + 1] - tokens_b[i], q - p, digest.hexdigest() if last else None, place[p:q].tobytes(), None))
                 digest = None if last else digest
             yield _batch(rows)
             stripe = keys // width // ROWS
             cut = np.flatnonzero(np.append(True, stripe[1:] != stripe[:-1])) if len(keys) else np.zeros(0, np.int64)
             pairs = [
-                (PAIRS, None, None, number, int(stripe[p]), None, None, None, None, keys[p:q].tobytes(), counts[p:q].astype(np.int64).tobytes())
+                (PAIRS, None, None, number, int(stripe[p]), None, None, None, None, keys[p:q].tobytes(), counts[p:q].tobytes())
                 for p, q in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)])
             ]
             if pairs:
@@ -204,14 +305,17 @@ def _align(pair, block_size: int, segment: int):
                         yield _batch([(DOC, found[0], found[1], None, None, 0, 0, 0, "", b"", None)])
                         continue
                     held.append(found)
-                    size += len(found[3]) * 4
+                    size += int(known.n_a[found[3]].sum()) * 4
                     if size >= block_size:
                         yield from block(held)
                         held, size = [], 0
                 waiting, chars = [], 0
+                if not held:
+                    known.forget()
             pa.default_memory_pool().release_unused()
         if held:
             yield from block(held)
+        known.forget()
 
     return run
 

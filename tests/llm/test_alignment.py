@@ -117,3 +117,57 @@ def test_empty_table(spark):
     assert got.collect() == [] and pairs.collect() == []
     only_null, _ = alignment.align_documents(spark.createDataFrame([(1, None)], "doc_id long, text string"), A, B)
     assert [tuple(r) for r in only_null.collect()] == [(1, 0, 0, 0, 0, 0, 0, "")]
+
+
+class _Held:
+    """Stands for a broadcast pair; counts the characters that side A's tokenizer gets."""
+
+    def __init__(self, most=1 << 18):
+        self.value, self.chars = self, 0
+        encode_a, *rest = alignment.Pair(A, B).load()
+        self._words = alignment.Words(self._counted(encode_a), *rest, most) if hasattr(alignment, "Words") else None
+        self._loaded = (self._counted(encode_a), *rest)
+
+    def _counted(self, encode):
+        def run(texts):
+            self.chars += sum(map(len, texts))
+            return encode(texts)
+
+        return run
+
+    def load(self):
+        return self._loaded
+
+    def words(self):
+        return self._words
+
+
+def _aligned(monkeypatch, held, rows):
+    import pyarrow as pa
+
+    monkeypatch.setattr(alignment, "TaskContext", type("Context", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(lambda: 0)}))
+    batches = [pa.record_batch([pa.array([i], pa.int64()), pa.array([i], pa.int64()), pa.array([t])], names=["row", "doc_id", "text"]) for i, t in rows]
+    out = [r for b in alignment._align(held, 400, 60)(iter(batches)) for r in b.to_pylist() if r["kind"] == alignment.DOC]
+    last = {r["doc_id"]: r["groups_sha256"] for r in out if r["groups_sha256"] is not None}
+    return {i: (sum(r["n_a"] for r in out if r["doc_id"] == i), sum(r["n_b"] for r in out if r["doc_id"] == i), sum(r["n_links"] for r in out if r["doc_id"] == i), last[i]) for i in last}
+
+
+def test_words_are_encoded_once(monkeypatch):
+    rng = random.Random(8)
+    words = ["alpha", "Größe", "don't", "x=1;", "東京", "1234567", "\u0000x"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(200))) for i in range(40)]
+    held = _Held()
+    _aligned(monkeypatch, held, rows)
+    assert held.chars < 200
+
+
+def test_forgotten_words_and_bad_ones_change_nothing(monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{rng.randint(0, 400)}" for _ in range(60)] + ["a▁b", "", "tab\tx", "\n", "é" * 70, "　", "x​"]
+    rows = [(i, " ".join(rng.choice(words) if rng.random() < 0.3 else f"v{rng.randint(0, 5000)}" for _ in range(rng.randint(1, 80)))) for i in range(80)]
+    rows += [(i + 100, " ".join(rng.choice(words[:60]) for _ in range(70))) for i in range(40)]
+    want, _, _ = expected(rows)
+    want = {w[0]: (w[1], w[2], w[4], w[7]) for w in want}
+    assert sum(w[0] > 0 for w in want.values()) > 40 and any(w[0] == 0 for w in want.values())
+    for most in (8, 100, 1 << 18):
+        assert _aligned(monkeypatch, _Held(most), rows) == want

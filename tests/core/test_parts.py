@@ -52,3 +52,23 @@ def test_what_fits_as_a_whole_is_as_the_fold_says(spark):
                     if (not first and not kept) or (len(kept) < most and used + cost <= limit):
                         kept, used = [*kept, text], used + cost
                 assert got["kept"] == kept and got["used"] == used
+
+
+def test_small_tables_of_parts_are_looked_up_and_no_row_is_taken_apart(spark, monkeypatch):
+    df = rows(spark, 60)
+    wanted = [r.asDict() for r in A.compose(df).orderBy("id").collect()]
+    looked_up = A.with_buckets(A.with_profile(df), key="id").select("id", "enrichment", "b_identity")
+    plan = looked_up._jdf.queryExecution().optimizedPlan().toString().split("scalar-subquery")
+    assert "Generate" not in "".join(plan) and len(plan) == 3
+    monkeypatch.setattr(A, "SLOTS", 2)
+    assert [r.asDict() for r in A.compose(df, key="id").orderBy("id").collect()] == wanted
+    monkeypatch.setattr(A, "SMALL", (3, 1 << 18))
+    joined = A.compose(df, key="id")
+    assert "Generate" in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.asDict() for r in joined.orderBy("id").collect()] == wanted
+
+
+def test_nothing_to_look_up(spark):
+    assert A.compose(rows(spark, 4).filter("id < 0"), key="id").collect() == []
+    blank = spark.createDataFrame([(1, None, None), (2, "", " ; ")], "id int, tags string, prose string")
+    assert [r["final_caption"] for r in A.compose(blank, key="id").orderBy("id").collect()] == ["", ""]

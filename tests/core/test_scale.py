@@ -1,5 +1,6 @@
 """Queries on tables of a shape that larger inputs have: what must not grow with them, and what must not be lost."""
 
+import os
 import pickle
 
 import pyarrow as pa
@@ -91,3 +92,40 @@ def test_a_json_array_is_checked_in_splits(spark, tmp_path, monkeypatch):
     close = "]"
     got = {r["line"]: r["image_id"] for r in Q.json_array(spark, d).collect()}
     assert got[7] is None and got[6] == 6
+
+
+def test_files_of_a_finished_round_are_written_over(spark, tmp_path):
+    pool = str(tmp_path / "pool")
+
+    def written(name, n, body, **how):
+        rows = spark.range(n).selectExpr(f"concat('{tmp_path}/{name}/', id % 8, '/', id) as target", f"concat('{body}', id) as body")
+        assert {r["status"] for r in S.write_files(rows, staging=str(tmp_path / "stage"), spare=pool, **how).collect()} == {"written"}
+        found = list((tmp_path / name).glob("*/*"))
+        assert {(f.name, f.read_text()) for f in found} == {(str(i), f"{body}{i}") for i in range(n)}
+        return {f.stat().st_ino for f in found}
+
+    def spare():
+        return {f.stat().st_ino for f in (tmp_path / "pool").glob("*/*")}
+
+    first = written("a", 60, "a long first text ")
+    S.spare_folders(S.listed_files(spark, str(tmp_path / "a")), pool)
+    assert not list((tmp_path / "a").glob("*/*")) and spare() == first
+    second = written("b", 20, "")
+    assert second <= first and spare() == first - second  # what wasn't needed is spare again
+    third = written("c", 50, "c", failing=0)
+    assert not third & second and not list((tmp_path / "stage").glob("*/*"))
+    assert not spare() & third
+
+
+def test_a_second_slice_of_sidecars_makes_no_new_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Q, "SLICE", 100)
+    made, listed = [], Q.listed_files
+
+    def seen(spark, root):
+        files = listed(spark, root)
+        made.append({os.stat(r[0][5:]).st_ino for r in files.collect()})
+        return files
+
+    monkeypatch.setattr(Q, "listed_files", seen)
+    assert Q.sidecar_files(spark, tables(tmp_path, orders=list(range(1, 301)))).count() == 400
+    assert len(made) == 3 and len(made[2] & (made[0] | made[1])) > 100

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.functions import vocab as V
+from marlstone.sources.shared import settle
 
 DISPUTE = "struct<kind: string, subject: string, tags_say: array<string>, prose_says: array<string>>"
 
@@ -192,3 +193,27 @@ def reconcile(df: DataFrame, verify: Verifier = tag_prior, tags: str = "tags", p
     done = F.aggregate(F.coalesce("__found", F.array().cast(change)), zero, step)
     df = df.withColumn("__done", done)
     return df.select(*[F.col("__done.prose").alias(c) if c == prose else F.col(c) for c in df.columns if c not in ("__found", "__done")], F.col(prose).alias("prose_before"), F.col("__done.changes").alias("changes"))
+
+
+_TELLING = rf"(?:^|,)\s*([^,]*?(?:{'|'.join([*V.COLOURS, *V.POSTURES])})[^,]*)"
+
+
+def telling_tags(tags: Column) -> Column:
+    """The tags that hold a colour's or a posture's name, in lower case: no others make a dispute, so ``disputes`` of these are the same."""
+    return F.array_join(F.regexp_extract_all(F.lower(tags), F.lit(_TELLING), 1), ",")
+
+
+def case_by_case(df: DataFrame, work: Callable[[DataFrame], DataFrame], tags: str = "tags", prose: str = "prose") -> DataFrame:
+    """Runs ``work`` on one row of each case, that is each prose and its telling tags, and joins what it adds back to all rows.
+
+    ``work`` gets the columns case, ``tags`` (the telling ones) and ``prose``, and keeps
+    case; it is one of the reconciling steps, say. The rows come back with its columns
+    in place of ``tags`` and ``prose``. They are written once; a case is a hash of both texts.
+    """
+    t, p = telling_tags(F.coalesce(tags, F.lit(""))), F.coalesce(prose, F.lit(""))
+    rest = [c for c in df.columns if c not in (tags, prose)]
+    rows = df.select(*rest, t.alias(tags), prose)
+    case = F.sha2(F.concat(F.length(tags).cast("string"), F.when(F.col(prose).isNull(), ":-").otherwise(":+"), tags, p), 256)
+    rows = settle(rows.withColumn("case", F.unhex(case)), "cases")
+    done = settle(work(settle(rows.select("case", tags, prose).distinct(), "distinct")).drop(tags), "worked")
+    return rows.select(*rest, "case").join(done, "case").drop("case")
